@@ -6,13 +6,15 @@ follow (the mantissa).  Bands of registers propose pairs, the registers'
 collision-corrected Jaccard estimate drops hopeless ones, and the full shingle
 sets confirm the rest.
 
-Large groups: documents with equal sets are one class from the start; within a
-band's bucket only pairs with a pivot are proposed (one in the first round,
-more in later ones), confirmed links are contracted, and only buckets that
-still hold several components go on to the next round, without their pivots.
-So a group of n near copies costs about n pairs, and no pair of different sets
-that shares a bucket is left uncompared unless both are already in one
-component.
+Large groups: documents with equal sets are one class from the start.  In a
+band's bucket each member is first paired with one pivot only, and confirmed
+links are contracted.  Buckets that still hold several components are compared
+pair by pair when they are small (a constant bound); members of larger ones
+meet in an exact prefix join of their shingle sets: rarest shingles first, a
+pair that reaches the threshold must share one of the first few, and how few
+follows from the sizes that meet.  A family of n near copies whose own edits
+are rare shingles so costs about n pairs, and no pair of different sets that
+shares a bucket is left uncompared unless both are already in one component.
 
 Recall: at the threshold 0.85 a pair misses all 25 bands of 5 registers with
 probability below 1e-6.
@@ -39,9 +41,9 @@ REGISTER_BITS = 7
 MANTISSA_BITS = 10
 BAND_ROWS = 5
 BANDS = REGISTERS // BAND_ROWS
-#: Pivots of a bucket that still holds several components, in the second round and by how much more in each later one.
-FIRST_PIVOTS = 32
-PIVOT_GROWTH = 8
+#: Buckets up to this many members are compared pair by pair.
+SMALL_BUCKET = 32
+PROBES = 256
 EMPTY = np.uint16(0xFFFF)
 _U = np.uint64
 
@@ -75,13 +77,39 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((share - chance) / (1 - chance), 0, 1)
 
 
-def band_keys(regs: np.ndarray) -> list[int | None]:
-    """A 64-bit key for every band, None for a band without any value."""
-    rows = regs[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).astype(_U)
+def _probe_table() -> np.ndarray:
+    at = np.arange(REGISTERS * PROBES, dtype=_U) + _U(1)
+    return (K.mix(at * _U(0x9E3779B97F4A7C15)) % _U(REGISTERS)).astype(np.int64).reshape(REGISTERS, PROBES)
+
+
+_PROBE = _probe_table()
+
+
+def densified(regs: np.ndarray) -> np.ndarray:
+    """Every empty register takes the value of the first filled one on its own fixed probe path.
+
+    So a small set's bands hold as many values as a large one's, and a common
+    passage alone does not make a key.
+    """
+    filled = regs != EMPTY
+    if filled.all() or not filled.any():
+        return regs
+    out = regs.copy()
+    holes = np.flatnonzero(~filled)
+    path = _PROBE[holes]
+    hit = filled[path]
+    found = path[np.arange(len(holes)), hit.argmax(axis=1)]
+    out[holes] = np.where(hit.any(axis=1), regs[found], regs[np.flatnonzero(filled)[0]])
+    return out
+
+
+def band_keys(regs: np.ndarray) -> list[int]:
+    """A 64-bit key for every band."""
+    rows = densified(regs)[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).astype(_U)
     key = np.arange(1, BANDS + 1, dtype=_U)
     for i in range(BAND_ROWS):
         key = K.mix(key * _U(0x9E3779B97F4A7C15) + rows[:, i])
-    return [None if e else k for k, e in zip(key.view(np.int64).tolist(), (rows == EMPTY).all(axis=1).tolist())]
+    return key.view(np.int64).tolist()
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -109,10 +137,9 @@ def _band_reader(batches):
     for batch in batches:
         ids, keys = [], []
         for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("regs")):
-            for key in band_keys(np.frombuffer(raw.as_buffer(), dtype=np.uint16)):
-                if key is not None:
-                    ids.append(doc)
-                    keys.append(key)
+            own = band_keys(np.frombuffer(raw.as_buffer(), dtype=np.uint16))
+            ids += [doc] * len(own)
+            keys += own
         yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], ["key", "id"])
 
 
@@ -181,28 +208,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = scratch.save(buckets.join(crowded, "key"), "buckets0")
 
     regs = classes.select("doc_id", "regs")
-    links = spark.createDataFrame([], "u long, v long")
-    seen = spark.createDataFrame([], "u long, v long")
-    step = 0
-    while True:
-        pairs = _proposals(held)
-        if step:
-            pairs = pairs.join(seen, ["u", "v"], "left_anti")
-        with_regs = pairs.join(regs.select(F.col("doc_id").alias("u"), F.col("regs").alias("ra")), "u").join(regs.select(F.col("doc_id").alias("v"), F.col("regs").alias("rb")), "v")
-        near = scratch.save(with_regs.select("u", "v", "ra", "rb").mapInArrow(_promising(num / den - slack), "u long, v long"), f"near{step}")
-        wanted = near.select(F.col("u").alias("id")).union(near.select(F.col("v").alias("id"))).distinct()
-        sets = source.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_set_reader(width), "id long, shingles binary")
-        sets = scratch.save(sets, f"sets{step}")
+
+    def confirmed(pairs: DataFrame, name: str, estimated: bool = True) -> DataFrame:
+        near = pairs
+        if estimated:
+            both = pairs.join(regs.select(F.col("doc_id").alias("u"), F.col("regs").alias("ra")), "u").join(regs.select(F.col("doc_id").alias("v"), F.col("regs").alias("rb")), "v")
+            near = both.select("u", "v", "ra", "rb").mapInArrow(_promising(num / den - slack), "u long, v long")
+        near = scratch.save(near, f"near_{name}")
+        sets = scratch.save(_sets_of(near.select(F.col("u").alias("doc_id")).union(near.select("v"))), f"sets_{name}")
         both = near.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sb")), "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("sa")), "u")
-        found = scratch.save(both.select("u", "v", "sa", "sb").mapInArrow(_confirm(num, den), "u long, v long"), f"links{step}")
-        scratch.drop(f"sets{step}")
-        links = links.union(found)
-        seen = seen.union(near)
-        joined = connected_components(links, scratch, f"cc{step}_")
-        held = scratch.save(_unsettled(held, joined, FIRST_PIVOTS * PIVOT_GROWTH**step), f"buckets{step + 1}")
-        step += 1
-        if held.isEmpty():
-            break
+        found = scratch.save(both.select("u", "v", "sa", "sb").mapInArrow(_confirm(num, den), "u long, v long"), f"links_{name}")
+        scratch.drop(f"sets_{name}")
+        return found
+
+    def _sets_of(ids: DataFrame) -> DataFrame:
+        return source.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_set_reader(width), "id long, shingles binary")
+
+    pivot = held.groupBy("key").agg(F.min("id").alias("p"))
+    stars = held.join(pivot, "key").where("id <> p").select(F.col("p").alias("u"), F.col("id").alias("v")).distinct()
+    links = confirmed(stars, "star")
+    joined = connected_components(links, scratch, "cc0_")
+    mixed = scratch.save(_mixed(held, joined), "mixed")
+    small = mixed.where(F.col("n") <= SMALL_BUCKET)
+    other = small.select("key", F.col("id").alias("v"), F.col("component").alias("other"))
+    pairs = small.select("key", F.col("id").alias("u"), "component").join(other, "key").where("u < v and component <> other").select("u", "v").distinct()
+    links = links.union(confirmed(pairs, "small"))
+    large = mixed.where(F.col("n") > SMALL_BUCKET).select(F.col("id").alias("doc_id"), "component").distinct()
+    if not large.isEmpty():
+        joined = connected_components(links, scratch, "cc1_")
+        large = large.select("doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+        sets = scratch.save(_sets_of(large.select("doc_id")).dropDuplicates(["id"]), "sets_large")
+        tokens = sets.mapInArrow(_explode, "id long, n long, token long")
+        pairs = _prefix_pairs(tokens.join(large.withColumnRenamed("doc_id", "id"), "id"), num, den)
+        links = links.union(confirmed(scratch.save(pairs, "pairs_large"), "large", estimated=False))
+    joined = connected_components(links, scratch, "cc2_")
 
     label = joined.select(F.col("id").alias("rep"), "component")
     named = classes.select(F.col("doc_id").alias("rep"), F.col("sig").alias("csig"), F.col("n_shingles").alias("cn")).join(label, "rep", "left").select("csig", "cn", F.coalesce("component", "rep").alias("component"))
@@ -211,26 +250,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def _proposals(buckets: DataFrame) -> DataFrame:
-    """Distinct pairs u < v of a bucket's pivots with its members of other components."""
-    if "component" not in buckets.columns:
-        pivot = buckets.groupBy("key").agg(F.min("id").alias("p"))
-        pairs = buckets.join(pivot, "key").where("id <> p")
-        return pairs.select(F.least("id", "p").alias("u"), F.greatest("id", "p").alias("v")).distinct()
-    pivots = buckets.where("pivot").select("key", F.col("id").alias("p"), F.col("component").alias("pc"))
-    pairs = buckets.join(pivots, "key").where("component <> pc and (not pivot or id < p)")
-    return pairs.select(F.least("id", "p").alias("u"), F.greatest("id", "p").alias("v")).distinct()
+def _mixed(buckets: DataFrame, joined: DataFrame) -> DataFrame:
+    """``(key, id, component, n)``: members of the buckets that hold several components."""
+    members = buckets.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    several = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    return members.join(several.select("key", "n"), "key")
+
+
+def _explode(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), dtype=_U) for x in batch.column("shingles")]
+        n = np.array([len(s) for s in sets], dtype=np.int64)
+        token = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+        yield pa.record_batch([pa.array(np.repeat(np.array(batch.column("id").to_pylist(), np.int64), n)), pa.array(np.repeat(n, n)), pa.array(token)], ["id", "n", "token"])
 
 
-def _unsettled(buckets: DataFrame, joined: DataFrame, pivots: int) -> DataFrame:
-    """Members of buckets that still hold several components, without the pivots just used, with the next pivots.
+def _prefix_pairs(tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that may reach the threshold, of different components, by an exact prefix join.
 
-    Pivots come from a bucket's smallest components first: a stray member
-    beside a large component is settled in one round.
+    With tokens in ascending frequency, a pair that shares at least ``need``
+    of them shares one whose place leaves room for that many in both sets.
+    The least size that meets at a token bounds ``need`` from below before
+    anything is paired, and tokens with one component left are dropped.
     """
-    members = buckets.where("not pivot") if "pivot" in buckets.columns else buckets
-    members = members.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    order = Window.partitionBy("key").orderBy("m", "component", "id")
-    return members.join(sizes.join(mixed, "key"), ["key", "component"]).select("key", "id", "component", (F.row_number().over(order) <= pivots).alias("pivot"))
+    need = lambda x, y: f"ceil({num} * ({x} + {y}) / {num + den})"
+    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    rows = tokens.join(frequency, "token").withColumn("place", place).where(F.expr(f"place <= n - ceil({num} * n / {den}) + 1 and df > 1"))
+    least = rows.groupBy("token").agg(F.min("n").alias("least"))
+    rows = rows.join(least, "token").where(F.expr(f"n - place + 1 >= {need('n', f'greatest(least, ceil({num} * n / {den}))')}")).select("token", "id", "n", "place", "component")
+    several = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
+    rows = rows.join(several, "token", "left_semi")
+    x, y = rows.alias("x"), rows.alias("y")
+    fits = F.expr(f"x.token = y.token and x.id < y.id and x.component <> y.component and least(x.n - x.place, y.n - y.place) + 1 >= {need('x.n', 'y.n')}")
+    return x.join(y, fits).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
