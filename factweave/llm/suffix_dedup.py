@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkernel as K
-from .scratch import Scratch, partitions
+from .scratch import partitions
 
 LENGTH = 50
 GRAM = 20
@@ -351,30 +351,25 @@ def repeated_strings(data: np.ndarray, start: np.ndarray, group: np.ndarray, doc
 
 # --- 3 and 4: documents ------------------------------------------------------
 
-FINAL, SPAN, WAITING = 0, 1, 2
+SPANS, RANGES = 0, 1
 _SPAN_TYPES = (_U, np.int64, np.uint32, np.uint32, np.uint8, np.uint8)  # anchor, document, text check, first start, anchor's place, bytes
-OUT = "kind int, key long, payload binary, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_RANGE_TYPES = (np.int64, np.uint32, np.uint32, np.uint32)  # document, begin, size, text check
 
 
-def _cut(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[int, int, int, str]:
+def _merge(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges with ascending ends: overlapping and touching ones as one."""
     if not len(begin):
-        return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
-    delta = np.zeros(len(raw) + 1, dtype=np.int32)
-    np.add.at(delta, begin, 1)
-    np.add.at(delta, end, -1)
-    gone = np.cumsum(delta[:-1]) > 0
-    rises = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return len(raw), int(gone.sum()), rises, hashlib.sha256(raw[~gone].tobytes()).hexdigest()
+        return begin, end
+    new = np.concatenate([[True], begin[1:] > end[:-1]])
+    return begin[new], end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(end) - 1]])]
 
 
-def _final_table(rows, extra=()) -> pa.Table:
-    kinds = [FINAL] * len(rows) + [x[0] for x in extra]
-    keys = [None] * len(rows) + [x[1] for x in extra]
-    payload = [None] * len(rows) + [x[2] for x in extra]
-    ids = [r[0] for r in rows] + [x[3] for x in extra]
-    none = [None] * len(extra)
-    columns = [pa.array([r[i] for r in rows] + none, pa.int64() if i < 4 else pa.string()) for i in range(1, 5)]
-    return pa.table([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(payload, pa.binary()), pa.array(ids, pa.int64()), *columns], names=["kind", "key", "payload", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _range_rows(doc, begin, size, check, parts: int):
+    keys, payloads = [], []
+    for part, i in _by(np.mod(doc, parts)):
+        keys.append(part)
+        payloads.append(pack(_delta(doc[i]), begin[i].astype(np.uint32), size[i].astype(np.uint32), check[i].astype(np.uint32)))
+    return keys, payloads
 
 
 def _pack_spans(a, doc, check, lo, place, size, body: bytes) -> bytes:
@@ -388,142 +383,152 @@ def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> bytes:
     return data[at].tobytes()
 
 
+def _text(value) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid else np.zeros(0, np.uint8)
+
+
 def _meeting(buckets: int, length: int, gram: int):
-    """Documents of a part with their flags: final rows, spans to sort, and documents that wait for them."""
+    """Flagged documents of a part: ranges that are settled, and spans to sort."""
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
+        ranges, sort, single = [], [], []  # settled; whole spans; single strings
         flags = [_read_flags(x.as_py()) for x in right["payload"]]
-        doc, at, check, flag = (np.concatenate(x) for x in zip(*flags)) if flags else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.uint8))
-        order = np.lexsort((at, doc))
-        doc, at, check, flag = doc[order], at[order], check[order], flag[order]
-        rows, extra = [], []
-        sort, single = [], []  # of whole spans, of single strings
-        waiting: list[tuple[int, np.ndarray, list, list, int]] = []
-        for batch in left.to_batches():
-            for part, data, offsets in K.slices(batch):
-                ids = part.column(0).to_pylist()
-                for i, d in enumerate(ids):
-                    first, last = np.searchsorted(doc, d), np.searchsorted(doc, d, side="right")
-                    raw = data[offsets[i] : offsets[i + 1]]
-                    if first == last:
-                        rows.append((d, *_cut(raw, at[:0], at[:0])))
+        if flags:
+            doc, at, check, flag = (np.concatenate(x) for x in zip(*flags))
+            order = np.lexsort((at, doc))
+            doc, at, check, flag = doc[order], at[order], check[order], flag[order]
+            for d, value in zip(left["doc_id"].to_pylist(), left["text"]):
+                own = slice(np.searchsorted(doc, d), np.searchsorted(doc, d, side="right"))
+                if own.start == own.stop:
+                    continue
+                raw = _text(value)
+                crc = zlib.crc32(raw)
+                for _, bases, piece, cuts in pieces([d], raw, np.array([0, len(raw)]), length):
+                    base = int(bases[0])
+                    x = spans(piece, cuts, length, gram)
+                    if not len(x["at"]):
                         continue
-                    begin, end, wait, crc = [], [], False, zlib.crc32(raw)
-                    for _, bases, piece, cuts in pieces([d], raw, np.array([0, len(raw)]), length):
-                        base = int(bases[0])
-                        x = spans(piece, cuts, length, gram)
-                        if not len(x["at"]):
-                            continue
-                        # A span cut by a piece's end can share its anchor's position with the next piece's.
-                        k = np.searchsorted(x["at"] + base, at[first:last])
-                        k = np.minimum(k, len(x["at"]) - 1)
-                        hit = (x["at"][k] + base == at[first:last]) & ((x["s"][k] >> _U(16)).astype(np.uint16) == check[first:last])
-                        k, f = k[hit], flag[first:last][hit]
-                        j = k[f == FULL]
-                        begin.append(x["lo"][j] + base)
-                        end.append(x["hi"][j] + base + length)
-                        j = np.unique(k[f == SORT])
-                        if len(j):
-                            wait = True
-                            size = x["hi"][j] - x["lo"][j] + length
-                            sort.append((x["a"][j], np.full(len(j), d), np.full(len(j), crc), x["lo"][j] + base, x["at"][j] - x["lo"][j], size, np.frombuffer(_gather(piece, x["lo"][j], size), np.uint8)))
-                        j = np.unique(k[f == SORT_HOT])
-                        if len(j):
-                            count = x["hi"][j] - x["lo"][j] + 1
-                            s = np.repeat(x["lo"][j] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                            h = K.span_hash(K.prefix_hash(piece), s, s + length)
-                            single.append((h, np.full(len(s), d), np.full(len(s), crc), s + base, np.full(len(s), len(waiting)), np.frombuffer(_gather(piece, s, np.full(len(s), length)), np.uint8).reshape(len(s), length)))
-                            wait = True
-                    if wait:
-                        waiting.append((d, raw, begin, end, crc))
-                    else:
-                        rows.append((d, *_cut(raw, *(np.concatenate([at[:0], *x]) for x in (begin, end)))))
-        if single:
-            h, d, crc, s, who, body = (np.concatenate(x) for x in zip(*single))
+                    k = np.minimum(np.searchsorted(x["at"] + base, at[own]), len(x["at"]) - 1)
+                    hit = (x["at"][k] + base == at[own]) & ((x["s"][k] >> _U(16)).astype(np.uint16) == check[own])
+                    k, f = k[hit], flag[own][hit]
+                    j = np.unique(k[f == FULL])
+                    if len(j):
+                        b, e = _merge(x["lo"][j] + base, x["hi"][j] + base + length)
+                        ranges.append((np.full(len(b), d), b, e - b, np.full(len(b), crc)))
+                    j = np.unique(k[f == SORT])
+                    if len(j):
+                        size = x["hi"][j] - x["lo"][j] + length
+                        sort.append((x["a"][j], np.full(len(j), d), np.full(len(j), crc), x["lo"][j] + base, x["at"][j] - x["lo"][j], size, np.frombuffer(_gather(piece, x["lo"][j], size), np.uint8)))
+                    j = np.unique(k[f == SORT_HOT])
+                    if len(j):
+                        count = x["hi"][j] - x["lo"][j] + 1
+                        s = np.repeat(x["lo"][j] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                        h = K.span_hash(K.prefix_hash(piece), s, s + length)
+                        single.append((h, np.full(len(s), d), np.full(len(s), crc), s + base, np.frombuffer(_gather(piece, s, np.full(len(s), length)), np.uint8).reshape(len(s), length)))
+        kinds, keys, payloads = [], [], []
+        if single:  # one string for each document that is the first to have it here
+            h, d, crc, s, body = (np.concatenate(x) for x in zip(*single))
             order = np.lexsort((d, h))
-            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-            late = d[order] > d[order][new][np.cumsum(new) - 1]
-            for w, i in _by(who[order[late]]):
-                waiting[w][2].append(s[order[late]][i])
-                waiting[w][3].append(s[order[late]][i] + length)
-            i = order[~late]
-            sort.append((h[i], d[i], crc[i], s[i], np.zeros(len(i), np.int64), np.full(len(i), length), body[i].reshape(-1)))
+            h, d, crc, s, body = h[order], d[order], crc[order], s[order], body[order]
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            late = d > d[new][np.cumsum(new) - 1]
+            ranges.append((d[late], s[late], np.full(late.sum(), length), crc[late]))
+            sort.append((h[~late], d[~late], crc[~late], s[~late], np.zeros((~late).sum(), np.int64), np.full((~late).sum(), length), body[~late].reshape(-1)))
         if sort:
             a, d, crc, lo, place, size, body = (np.concatenate(x) for x in zip(*sort))
-            at = np.concatenate([[0], np.cumsum(size)])
+            begin = np.concatenate([[0], np.cumsum(size)])
             for bucket, i in _by((K.mix(a) % _U(buckets)).astype(np.int64)):
-                extra.append((SPAN, bucket, _pack_spans(a[i], d[i], crc[i], lo[i], place[i], size[i], _gather(body, at[i], size[i])), None))
-        for d, raw, begin, end, crc in waiting:
-            b, e = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (begin, end))
-            extra.append((WAITING, int(d % buckets), np.array([len(b), crc], np.int64).tobytes() + b.tobytes() + e.tobytes() + _squeeze(raw.tobytes()), d))
-        return _final_table(rows, extra)
+                kinds.append(SPANS)
+                keys.append(bucket)
+                payloads.append(_pack_spans(a[i], d[i], crc[i], lo[i], place[i], size[i], _gather(body, begin[i], size[i])))
+        if ranges:
+            more, packed = _range_rows(*(np.concatenate(x) for x in zip(*ranges)), buckets)
+            kinds, keys, payloads = kinds + [RANGES] * len(more), keys + more, payloads + packed
+        return pa.table([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())], names=["kind", "key", "payload"])
 
     return read
 
 
 def _sorter(parts: int, length: int):
     def read(table: pa.Table) -> pa.Table:
-        held, bodies = [], []
-        for raw in table["payload"]:
+        held, bodies, keys, payloads = [], [], [], []
+        for kind, key, raw in zip(table["kind"].to_pylist(), table["key"].to_pylist(), table["payload"]):
             raw = raw.as_py()
+            if kind == RANGES:
+                keys.append(key)
+                payloads.append(raw)
+                continue
             n = int(np.frombuffer(raw, np.int64, 1)[0])
             held.append(unpack(raw[8 : 8 + n], *_SPAN_TYPES))
             bodies.append(np.frombuffer(_expand(raw[8 + n :]), np.uint8))
-        a, doc, check, lo, place, size = (np.concatenate(x) for x in zip(*held))
-        data = np.concatenate(bodies)
-        size = size.astype(np.int64)
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        count = size - length + 1
-        owner = np.repeat(np.arange(len(a)), count)
-        k = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-        group = K.mix(a[owner] + (place[owner].astype(np.int64) - k).astype(_U) * _U(0x9E3779B97F4A7C15))
-        gone = repeated_strings(data, begin[owner] + k, group, doc[owner], length)
-        i = np.flatnonzero(gone)
-        keys, payloads = [], []
-        d, c, s = doc[owner[i]], check[owner[i]], lo[owner[i]].astype(np.int64) + k[i]
-        for part, j in _by(np.mod(d, parts)):
-            j = j[np.lexsort((s[j], d[j]))]
-            keys.append(part)
-            payloads.append(pack(_delta(d[j]), _delta(s[j].astype(np.uint32)), c[j]))
+        if held:
+            a, doc, check, lo, place, size = (np.concatenate(x) for x in zip(*held))
+            data, size = np.concatenate(bodies), size.astype(np.int64)
+            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+            count = size - length + 1
+            owner = np.repeat(np.arange(len(a)), count)
+            k = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+            group = K.mix(a[owner] + (place[owner].astype(np.int64) - k).astype(_U) * _U(0x9E3779B97F4A7C15))
+            i = np.flatnonzero(repeated_strings(data, begin[owner] + k, group, doc[owner], length))
+            if len(i):  # neighbouring strings of one span as one range
+                new = np.concatenate([[True], (owner[i][1:] != owner[i][:-1]) | (k[i][1:] != k[i][:-1] + 1)])
+                first, last = i[new], i[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(i) - 1]])]
+                o = owner[first]
+                more, packed = _range_rows(doc[o], lo[o].astype(np.int64) + k[first], k[last] - k[first] + length, check[o], parts)
+                keys, payloads = keys + more, payloads + packed
         return pa.table([pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())], names=["part", "payload"])
 
     return read
 
 
-def _finish(length: int):
-    def read(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [unpack(x.as_py(), np.int64, np.uint32, np.uint32) for x in right["payload"]]
-        doc, s, check = (np.concatenate(x) for x in zip(*[(np.cumsum(d), np.cumsum(s, dtype=np.uint32), c) for d, s, c in found])) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(doc, kind="stable")
-        doc, s, check = doc[order], s[order].astype(np.int64), check[order]
-        rows = []
-        for d, raw in zip(left["doc_id"].to_pylist(), left["payload"]):
-            raw = raw.as_py()
-            n, crc = np.frombuffer(raw, np.int64, 2)
-            b, e = np.frombuffer(raw, np.int64, 2 * n, 16).reshape(2, n)
-            i = slice(np.searchsorted(doc, d), np.searchsorted(doc, d, side="right"))
-            own = s[i][check[i] == crc]
-            text = np.frombuffer(_expand(raw[16 + 16 * int(n) :]), np.uint8)
-            rows.append((d, *_cut(text, np.concatenate([b, own]), np.concatenate([e, own + length]))))
-        return _final_table(rows)
+def _cut(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[int, int, int, str]:
+    if not len(begin):
+        return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
+    delta = np.zeros(len(raw) + 1, dtype=np.int32)
+    np.add.at(delta, begin, 1)
+    np.add.at(delta, end, -1)
+    gone = np.cumsum(delta[:-1]) > 0
+    rises = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+    return len(raw), int(gone.sum()), rises, hashlib.sha256(raw[~gone].tobytes()).hexdigest()
 
-    return read
+
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
+    """All documents of a part, cut."""
+    found = [unpack(x.as_py(), *_RANGE_TYPES) for x in right["payload"]]
+    none = np.zeros(0, np.int64)
+    doc, begin, size, check = (np.concatenate(x).astype(np.int64) for x in zip(*[(np.cumsum(d), b, n, c) for d, b, n, c in found])) if found else (none, none, none, none)
+    order = np.argsort(doc, kind="stable")
+    doc, begin, size, check = doc[order], begin[order], size[order], check[order]
+    rows = []
+    for d, value in zip(left["doc_id"].to_pylist(), left["text"]):
+        raw = _text(value)
+        own = slice(np.searchsorted(doc, d), np.searchsorted(doc, d, side="right"))
+        b, e = none, none
+        if own.start < own.stop:
+            mine = check[own] == zlib.crc32(raw)
+            b, e = begin[own][mine], (begin[own] + size[own])[mine]
+        rows.append((d, *_cut(raw, b, e)))
+    return pa.table([pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(5)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row with an id."""
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row with an id.
+
+    One lazy plan: both times that documents meet their flags or ranges they
+    come from the same shuffle, so texts move once.
+    """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "suffix")
     buckets = _prime(4 * partitions(spark) + 1)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     anchors = source.mapInArrow(_anchor_reader(buckets, buckets, length, gram), "kind int, key long, payload binary")
-    # Flags that a task settled by itself ride along to any bucket.
-    flags = anchors.groupBy(F.when(F.col("kind") == ANCHORS, F.col("key")).otherwise(F.pmod(F.xxhash64("payload"), F.lit(buckets))).alias("bucket")).applyInArrow(_repeat_reader(buckets), "part long, payload binary")
-    parted = source.withColumn("part", F.pmod("doc_id", F.lit(buckets)).cast("long"))
-    met = parted.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(_meeting(buckets, length, gram), OUT)
-    met = scratch.save(met, "met")
-    sorted_ = met.where(F.col("kind") == SPAN).groupBy("key").applyInArrow(_sorter(buckets, length), "part long, payload binary")
-    waiting = met.where(F.col("kind") == WAITING).select("key", "doc_id", "payload")
-    late = waiting.groupBy("key").cogroup(sorted_.groupBy("part")).applyInArrow(_finish(length), OUT)
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return met.where(F.col("kind") == FINAL).select(columns).union(late.select(columns))
+    # What a task settled by itself rides along to any bucket.
+    bucket = F.when(F.col("kind") == ANCHORS, F.col("key")).otherwise(F.pmod(F.xxhash64("payload"), F.lit(buckets)))
+    flags = anchors.groupBy(bucket.alias("bucket")).applyInArrow(_repeat_reader(buckets), "part long, payload binary")
+    parted = source.withColumn("part", F.pmod("doc_id", F.lit(buckets)).cast("long")).groupBy("part")
+    met = parted.cogroup(flags.groupBy("part")).applyInArrow(_meeting(buckets, length, gram), "kind int, key long, payload binary")
+    bucket = F.when(F.col("kind") == SPANS, F.col("key")).otherwise(F.pmod(F.xxhash64("payload"), F.lit(buckets)))
+    ranges = met.groupBy(bucket.alias("bucket")).applyInArrow(_sorter(buckets, length), "part long, payload binary")
+    return parted.cogroup(ranges.groupBy("part")).applyInArrow(_finish, OUT)
