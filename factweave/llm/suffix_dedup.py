@@ -35,10 +35,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkernel as K
+from .packing import by_value as _by, delta as _delta, expand as _expand, pack, prime as _prime, rows as _rows, squeeze as _squeeze, unpack
 from .scratch import partitions
 
 LENGTH = 50
@@ -52,12 +52,6 @@ _INDEX_MASK = np.uint64((1 << 22) - 1)
 _U = np.uint64
 
 
-def _prime(n: int) -> int:
-    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
-
-
 def pieces(ids: list[int], data: np.ndarray, offsets: np.ndarray, length: int):
     """(ids, bases, data, offsets): documents, long ones as pieces that overlap by ``length`` - 1 bytes."""
     if len(data) <= 2 * K.SLICE_BYTES:
@@ -100,52 +94,6 @@ def spans(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     return {"doc": np.searchsorted(offsets, lo, side="right") - 1, "at": at, "lo": lo, "hi": hi, "a": grams[at], "s": s}
 
 
-# --- packing -----------------------------------------------------------------
-
-_squeeze = lambda x: zstandard.ZstdCompressor(level=1).compress(x)
-_expand = lambda x: zstandard.ZstdDecompressor().decompress(x)
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, each as compressed byte planes; a first difference helps the sorted ones."""
-    n = len(arrays[0])
-    head = np.array([n, len(arrays)], dtype=np.int64).tobytes()
-    body, sizes = [], []
-    for x in arrays:
-        planes = np.ascontiguousarray(x.view(np.uint8).reshape(n, x.dtype.itemsize).T).tobytes()
-        body.append(_squeeze(planes))
-        sizes.append(len(body[-1]))
-    return head + np.array(sizes, dtype=np.int64).tobytes() + b"".join(body)
-
-
-def unpack(raw: bytes, *dtypes) -> list[np.ndarray]:
-    n, k = np.frombuffer(raw, np.int64, 2)
-    sizes = np.frombuffer(raw, np.int64, k, 16)
-    out, at = [], 16 + 8 * int(k)
-    for size, dtype in zip(sizes, dtypes, strict=True):
-        dtype = np.dtype(dtype)
-        planes = np.frombuffer(_expand(raw[at : at + size]), np.uint8).reshape(dtype.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
-        at += size
-    return out
-
-
-def _delta(x: np.ndarray) -> np.ndarray:
-    return np.diff(x, prepend=x.dtype.type(0))
-
-
-def _by(key: np.ndarray):
-    """(value, indexes) for each distinct value."""
-    order = np.argsort(key, kind="stable")
-    cut = np.flatnonzero(np.diff(key[order])) + 1
-    for part in np.split(order, cut) if len(order) else []:
-        yield int(key[part[0]]), part
-
-
-def _rows(kinds, keys, payloads) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())], ["kind", "key", "payload"])
-
-
 ANCHORS, FLAGS = 0, 1
 _FLAG_TYPES = (np.int64, np.uint32, np.uint16, np.uint8)  # document, position, check, flag
 
