@@ -27,6 +27,7 @@ columns other than the id and the text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textkernel as K
 from .components import connected_components
+from .packing import Bloom
 from .scratch import Scratch
 
 REGISTERS = 128
@@ -155,6 +157,14 @@ def _promising(floor: float):
     return read
 
 
+def _wanted(bloom: Bloom):
+    def read(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.has(batch.column(0).to_numpy(zero_copy_only=False))))
+
+    return read
+
+
 def _set_reader(width: int):
     def read(batches):
         for batch in batches:
@@ -208,6 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = scratch.save(buckets.join(crowded, "key"), "buckets0")
 
     regs = classes.select("doc_id", "regs")
+    numbers = count()
 
     def confirmed(pairs: DataFrame, name: str, estimated: bool = True) -> DataFrame:
         near = pairs
@@ -222,7 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return found
 
     def _sets_of(ids: DataFrame) -> DataFrame:
-        return source.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_set_reader(width), "id long, shingles binary")
+        ids = scratch.save(ids.distinct(), f"wanted{next(numbers)}")
+        return source.mapInArrow(_wanted(Bloom(ids)), "doc_id long, text string").join(ids, "doc_id", "left_semi").mapInArrow(_set_reader(width), "id long, shingles binary")
 
     pivot = held.groupBy("key").agg(F.min("id").alias("p"))
     stars = held.join(pivot, "key").where("id <> p").select(F.col("p").alias("u"), F.col("id").alias("v")).distinct()

@@ -73,16 +73,53 @@ def vector_rows(x: np.ndarray, salt: int, chunk: int = 1 << 13) -> pa.RecordBatc
     return pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([squeeze(p.tobytes()) for p in parts], pa.binary())], ["chunk", "salt", "payload"])
 
 
-def sum_vectors(vectors: DataFrame, dtype=np.int64) -> np.ndarray:
-    """The sum of all tasks' vectors, in two levels so that no task reads more than a fraction of them; the result has a vector's size."""
+def sum_vectors(vectors: DataFrame, dtype=np.int64, merge=np.add) -> np.ndarray:
+    """The sum (or other merger) of all tasks' vectors, in two levels so that no task reads more than a fraction of them; the result has a vector's size."""
 
     def add(table: pa.Table) -> pa.Table:
         total = None
         for raw in table["payload"]:
             x = np.frombuffer(expand(raw.as_py()), dtype)
-            total = x.copy() if total is None else total + x
+            total = x.copy() if total is None else merge(total, x)
         return pa.table([table["chunk"].slice(0, 1), pa.array([-1], pa.int32()), pa.array([squeeze(total.tobytes())], pa.binary())], names=["chunk", "salt", "payload"])
 
     some = vectors.groupBy("chunk", "salt").applyInArrow(add, VECTOR_ROWS)
     found = {r.chunk: np.frombuffer(expand(bytes(r.payload)), dtype) for r in some.groupBy("chunk").applyInArrow(add, VECTOR_ROWS).select("chunk", "payload").collect()}
     return np.concatenate([found[i] for i in sorted(found)]) if found else np.zeros(0, dtype)
+
+
+BLOOM_BITS = (16, 27)
+
+
+class Bloom:
+    """Membership of 64-bit ids, without false negatives, in at most 16 MB.
+
+    It goes before a join to keep most rows out of its shuffle; the join stays
+    exact.  With more ids than the bound holds it lets more rows through.
+    """
+
+    def __init__(self, ids: DataFrame):
+        bits = min(max(int(16 * ids.count()).bit_length(), BLOOM_BITS[0]), BLOOM_BITS[1])
+
+        def mark(batches):
+            own = np.zeros(1 << (bits - 3), dtype=np.uint8)
+            for batch in batches:
+                for at in _places(batch.column(0).to_numpy(zero_copy_only=False), bits):
+                    np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            yield vector_rows(own, int(own.sum()) & 15, 1 << 16)
+
+        self.bits, self.table = bits, sum_vectors(ids.mapInArrow(mark, VECTOR_ROWS), np.uint8, np.bitwise_or)
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        found = np.ones(len(ids), dtype=bool)
+        for at in _places(ids, self.bits):
+            found &= (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return found
+
+
+def _places(ids: np.ndarray, bits: int):
+    from .textkernel import mix
+
+    h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1))
+    yield (h >> np.uint64(64 - bits)).astype(np.int64)
+    yield (h & np.uint64((1 << bits) - 1)).astype(np.int64)
