@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hyperminhash, mixing, sentence_spans, spaced_seeds, suffix_dedup
+from . import hyperminhash, mixing, nce_lm, sentence_spans, spaced_seeds, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_removed", "n_removed_bytes", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_nce_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nce_lm.score(_documents(spark, sf_dir))
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
