@@ -469,7 +469,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     come from the same shuffle, so texts move once.
     """
     spark = docs.sparkSession
-    buckets = _prime(4 * partitions(spark) + 1)
+    buckets = _prime(2 * partitions(spark) + 1)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     anchors = source.mapInArrow(_anchor_reader(buckets, buckets, length, gram), "kind int, key long, payload binary")
     # What a task settled by itself rides along to any bucket.
