@@ -328,7 +328,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "nce")
-    buckets = prime(4 * partitions(spark) + 1)
+    buckets = prime(2 * partitions(spark) + 1)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = source.mapInArrow(_count_reader(buckets, split), "bucket long, payload binary").groupBy("bucket").applyInArrow(_count_merger(top), COUNTS)
     counts = scratch.save(counts, "counts")

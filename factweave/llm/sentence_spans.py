@@ -197,7 +197,7 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
     """``(doc_id, n_sentences, n_removed, n_removed_bytes, kept)`` for every row with an id; ``kept`` is the text that stays."""
     spark = docs.sparkSession
-    buckets = prime(4 * partitions(spark) + 1)
+    buckets = prime(2 * partitions(spark) + 1)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     found = source.mapInArrow(_span_reader(buckets, buckets, min_words, lone_words), "kind int, key long, payload binary")
     bucket = F.when(F.col("kind") == SPANS, F.col("key")).otherwise(F.pmod(F.xxhash64("payload"), F.lit(buckets)))
