@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hyperminhash, mixing, nce_lm, sentence_spans, spaced_seeds, suffix_dedup
+from . import fuzzy_lines, hyperminhash, mixing, nce_lm, sentence_spans, spaced_seeds, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op6_nce_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nce_lm.score(_documents(spark, sf_dir))
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fuzzy_lines.dedup_lines(_documents(spark, sf_dir))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
