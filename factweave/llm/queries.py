@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fuzzy_lines, hyperminhash, mixing, nce_lm, sentence_spans, spaced_seeds, suffix_dedup
+from . import fuzzy_lines, hyperminhash, mixing, nce_lm, resampling, sentence_spans, spaced_seeds, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_removed", "n_removed_bytes", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0")
+    return resampling.resample(_documents(spark, sf_dir), good)
+
+
 def op6_nce_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nce_lm.score(_documents(spark, sf_dir))
 
