@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fuzzy_lines, hyperminhash, mixing, nce_lm, resampling, sentence_spans, spaced_seeds, suffix_dedup
+from . import fuzzy_lines, hyperminhash, license_scan, mixing, multi_index, nce_lm, resampling, sentence_spans, spaced_seeds, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,14 @@ def op6_nce_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nce_lm.score(_documents(spark, sf_dir))
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_notices(_documents(spark, sf_dir))
+
+
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fuzzy_lines.dedup_lines(_documents(spark, sf_dir))
     return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
@@ -54,4 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_entropy_mixing": mixing.ORACLE_SQL.format(documents="documents")}
+    return {
+        "op3_entropy_mixing": mixing.ORACLE_SQL.format(documents="documents"),
+        "op7_multi_index": multi_index.ORACLE_SQL.format(embeddings="embeddings"),
+    }
