@@ -115,15 +115,20 @@ def ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int, min_z
     return np.where((raw > 0) & (n_target > 0) & (np.abs(z) >= min_z) & (np.abs(ratio) >= min_ratio), ratio, 0.0).astype(np.float32)
 
 
+def _weights(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of n-grams and log weight of each document."""
+    one, two, first = ngrams(data, offsets)
+    a, b = table[0][one], table[1][two]
+    running = np.concatenate([[0.0], np.cumsum(np.where(np.abs(a) < np.abs(b), a, b).astype(np.float64))])
+    return np.diff(first), np.round(running[first[1:]] - running[first[:-1]], 6)
+
+
 def _weigher(table: np.ndarray):
     def read(batches):
         for batch in batches:
             for part, data, offsets in K.slices(batch):
-                one, two, first = ngrams(data, offsets)
-                a, b = table[0][one], table[1][two]
-                running = np.concatenate([[0.0], np.cumsum(np.where(np.abs(a) < np.abs(b), a, b).astype(np.float64))])
-                weight = np.round(running[first[1:]] - running[first[:-1]], 6)
-                yield pa.record_batch([part.column(0), pa.array(np.diff(first)), pa.array(weight)], ["doc_id", "n_ngrams", "log_weight"])
+                n, weight = _weights(table, data, offsets)
+                yield pa.record_batch([part.column(0), pa.array(n), pa.array(weight)], ["doc_id", "n_ngrams", "log_weight"])
 
     return read
 
@@ -148,6 +153,18 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return found.withColumn("accepted", F.col("log_weight") >= floor)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: float = FLOOR, max_target: int = MAX_TARGET) -> DataFrame:
+    """The rows, with all their columns, whose log weight is not below ``floor``; one pass to fit and one to filter."""
+    table = fit(docs, labels, id_col, text_col, max_target)
+
+    def keep(batches):
+        for batch in batches:
+            for part, data, offsets in K.slices(batch, text_col):
+                yield part.filter(pa.array(_weights(table, data, offsets)[1] >= floor))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def gumbel(id_column: Column, seed: int) -> Column:
     """A Gumbel variate fixed by id and seed."""
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_column), 11).cast("double") + 0.5) / float(1 << 53)
