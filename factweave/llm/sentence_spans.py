@@ -15,8 +15,7 @@ task merges equal spans before they move, so a passage that every document
 has is one record for each task.
 
 Edge cases: null, empty and word-free texts have no sentences; repeated rows
-remove each other's text but for one row's at the least id (rows with one id
-are told apart only by their text, so equal rows get equal results); an empty
+(equal id and text) count as one document and get equal results; an empty
 table gives an empty result; rows without id are left out; other columns are
 ignored.
 """
@@ -95,16 +94,18 @@ def _range_rows(doc, a, b, check, parts):
     return keys, payloads
 
 
-def _late(h, doc, a, b):
-    """Order of the spans by hash, document and place, and which of them are not the first of their kind."""
-    order = np.lexsort((b, a, doc, h))
-    return order, np.concatenate([[False], h[order][1:] == h[order][:-1]])
+def _late(h, doc, a, b, check):
+    """Order of the spans by hash, document and place, and which of them are not the first of their kind (an equal row's count as the same)."""
+    order = np.lexsort((check, b, a, doc, h))
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    first = order[new][np.cumsum(new) - 1]
+    return order, (doc[order] != doc[first]) | (a[order] != a[first]) | (b[order] != b[first]) | (check[order] != check[first])
 
 
 def _span_reader(buckets: int, parts: int, min_words: int, lone_words: int):
     def flush(held):
         doc, a, b, h, check = (np.concatenate(x) for x in zip(*held))
-        order, late = _late(h, doc, a, b)
+        order, late = _late(h, doc, a, b, check)
         i = order[late]
         keys, payloads = _range_rows(doc[i], a[i], b[i], check[i], parts)
         yield packed_rows([RANGES] * len(keys), keys, payloads)
@@ -154,7 +155,7 @@ def _repeat_reader(parts: int):
                 held.append((np.cumsum(doc), a.astype(np.int64), a.astype(np.int64) + size, check, h))
         if held:
             doc, a, b, check, h = (np.concatenate(x) for x in zip(*held))
-            order, late = _late(h, doc, a, b)
+            order, late = _late(h, doc, a, b, check)
             i = order[late]
             more, packed = _range_rows(doc[i], a[i], b[i], check[i], parts)
             keys, payloads = keys + more, payloads + packed
