@@ -67,10 +67,10 @@ def rows(kinds, keys, payloads) -> pa.RecordBatch:
 VECTOR_ROWS = "chunk int, salt int, payload binary"
 
 
-def vector_rows(x: np.ndarray, salt: int, chunk: int = 1 << 13) -> pa.RecordBatch:
+def vector_rows(x: np.ndarray, salt: int, chunk: int = 1 << 13, dtype=None) -> pa.RecordBatch:
     """A dense vector as rows of chunks, to be summed by ``sum_vectors``."""
     parts = [x[i : i + chunk] for i in range(0, len(x), chunk)]
-    return pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([squeeze(p.tobytes()) for p in parts], pa.binary())], ["chunk", "salt", "payload"])
+    return pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([squeeze(p.astype(dtype or x.dtype).tobytes()) for p in parts], pa.binary())], ["chunk", "salt", "payload"])
 
 
 def sum_vectors(vectors: DataFrame, dtype=np.int64, merge=np.add) -> np.ndarray:

@@ -102,7 +102,7 @@ def _counter(batches):
                 total[row] += np.bincount(buckets, minlength=BUCKETS).astype(np.int32)
             size += [len(target), int(target.sum())]
     if size[0]:
-        yield vector_rows(np.concatenate([total.reshape(-1), size]).astype(np.int64), int(total[0].sum()) & 255, 1 << 16)
+        yield vector_rows(np.concatenate([total.reshape(-1), size]), int(total[0].sum()) & 255, 1 << 16, np.int64)
 
 
 def ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int, min_z: float = MIN_Z, min_ratio: float = MIN_RATIO) -> np.ndarray:

@@ -16,7 +16,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 #: The inverse of BASE modulo 2**64.
 BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
