@@ -100,18 +100,18 @@ def _count_reader(buckets: int, split):
     return read
 
 
-COUNTS = "bucket long, payload binary, n long, v long, rest_n array<long>, rest_v array<long>, top array<struct<n:long,h:long,rest:int>>"
+COUNTS = "bucket long, payload binary, n long, v long, ends long, rest_n array<long>, rest_v array<long>, top array<struct<n:long,h:long,rest:int>>"
 
 
 def _count_merger(top: int):
     def read(table: pa.Table) -> pa.Table:
         h, n, rest = merge(*(np.concatenate(x) for x in zip(*[unpack(x.as_py(), _U, np.int64, np.uint8) for x in table["payload"]])))
         spelt = h != END_HASH
-        best = np.union1d(np.lexsort((h, -n))[: top + 1], np.flatnonzero(~spelt))
+        best = np.flatnonzero(spelt)[np.lexsort((h[spelt], -n[spelt]))[:top]]
         rest_n = np.bincount(rest[spelt], weights=n[spelt].astype(float), minlength=REST).astype(np.int64)
         rest_v = np.bincount(rest[spelt], minlength=REST)
         tops = [{"n": int(n[i]), "h": int(h[i].astype(np.int64)), "rest": int(rest[i])} for i in best]
-        return pa.table([table["bucket"].slice(0, 1), pa.array([pack(h, n)], pa.binary()), pa.array([int(n.sum())]), pa.array([len(h)]), pa.array([rest_n.tolist()]), pa.array([rest_v.tolist()]), pa.array([tops], pa.list_(pa.struct([("n", pa.int64()), ("h", pa.int64()), ("rest", pa.int32())])))], names=["bucket", "payload", "n", "v", "rest_n", "rest_v", "top"])
+        return pa.table([table["bucket"].slice(0, 1), pa.array([pack(h, n)], pa.binary()), pa.array([int(n.sum())]), pa.array([len(h)]), pa.array([int(n[~spelt].sum())]), pa.array([rest_n.tolist()]), pa.array([rest_v.tolist()]), pa.array([tops], pa.list_(pa.struct([("n", pa.int64()), ("h", pa.int64()), ("rest", pa.int32())])))], names=["bucket", "payload", "n", "v", "ends", "rest_n", "rest_v", "top"])
 
     return read
 
@@ -141,12 +141,9 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, top: int) -> Vocabulary:
-    sums = [F.sum("n"), F.sum("v"), *(F.sum(F.col(c)[i]) for c in ("rest_n", "rest_v") for i in range(REST))]
-    n, v, *rest = (int(x or 0) for x in counts.agg(*sums).first())
-    ranked = counts.select(F.explode("top").alias("t")).select("t.n", "t.h", "t.rest")
-    signed_end = int(END_HASH.astype(np.int64))
-    ends = int(ranked.where(F.col("h") == signed_end).agg(F.sum("n")).first()[0] or 0)
-    best = [r for r in ranked.orderBy(F.desc("n"), "h").limit(top + 1).collect() if r.h != signed_end][:top]
+    sums = [F.sum("n"), F.sum("v"), F.sum("ends"), *(F.sum(F.col(c)[i]) for c in ("rest_n", "rest_v") for i in range(REST))]
+    n, v, ends, *rest = (int(x or 0) for x in counts.agg(*sums).first())
+    best = counts.select(F.explode("top").alias("t")).select("t.n", "t.h", "t.rest").orderBy(F.desc("n"), "h").limit(top).collect()
     best.sort(key=lambda r: np.int64(r.h).astype(np.uint64))
     rest_n, rest_v = np.array(rest[:REST]), np.array(rest[REST:])
     for r in best:
