@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textkernel as K
 from .packing import VECTOR_ROWS, sum_vectors, vector_rows
-from .scratch import Scratch
+from .scratch import Scratch, bound_batches
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -135,6 +135,7 @@ def _weigher(table: np.ndarray):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> np.ndarray:
     """The two tables of log ratios.  ``labels``: ``doc_id`` of target documents."""
+    bound_batches(docs.sparkSession)
     chosen = labels.select(F.col("doc_id").cast("long").alias("_target")).where("_target is not null").distinct().orderBy(F.xxhash64("_target"), "_target").limit(max_target)
     # At most max_target ids of 8 bytes.
     flagged = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_target"), "left")

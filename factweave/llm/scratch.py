@@ -33,10 +33,22 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+#: Documents in an Arrow batch; with the session's ten thousand, batches of long texts take hundreds of MB twice.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size, if it is larger, to what workers with little memory can hold."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Named intermediate tables of one run of an operator."""
 
     def __init__(self, spark: SparkSession, label: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
@@ -56,4 +68,5 @@ class Scratch:
 
 
 def partitions(spark: SparkSession) -> int:
+    bound_batches(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textkernel as K
+from .scratch import bound_batches
 
 #: Fixed masks of weight 5: 1 looks at a token, 0 ignores it.
 MASKS = ("11111", "1101011", "11011001", "101100011")
@@ -141,6 +142,7 @@ def blocks(items: DataFrame, block_tokens: int = BLOCK_TOKENS):
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_overlap: int = MIN_OVERLAP, min_equal: float = MIN_EQUAL) -> DataFrame:
     """One row for each document and test item that overlap: the longest stretch of at least ``min_overlap`` tokens
     (or the whole of a shorter item) of which at least ``min_equal`` are equal, with its places."""
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     found = docs.sparkSession.createDataFrame([], OUT)
