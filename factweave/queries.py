@@ -279,9 +279,9 @@ def rollup_listagg(t):
     return fd.rolled_up(t.found().where("file < 50"), ["file", "detector_id"], "line", "severity")
 
 
-@query("SELECT file, detector_id, grouping_id(file, detector_id) AS level, count(*) AS n FROM found WHERE file < 20 GROUP BY ROLLUP (file, detector_id)", FOUND)
+@query("SELECT coalesce(file, -1) AS file, coalesce(detector_id, -1) AS detector_id, CAST(grouping_id(file, detector_id) AS BIGINT) AS level, count(*) AS n FROM found WHERE file < 20 GROUP BY ROLLUP (file, detector_id)", FOUND)
 def report_rollup(t):
-    return t.found().where("file < 20").rollup("file", "detector_id").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+    return t.found().where("file < 20").rollup("file", "detector_id").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n")).select(F.coalesce("file", F.lit(-1)).alias("file"), F.coalesce("detector_id", F.lit(-1)).alias("detector_id"), "level", "n")
 
 
 @query("""SELECT file, '{"file":' || file || ',"n":' || count(*) || ',"worst":' || max(sev) || '}' AS report FROM found GROUP BY file""", FOUND)
@@ -318,9 +318,9 @@ def context_lines(t):
     return spans.with_context(t.lines(), "doc_id", "line_no", "text", 2).where(F.col("text").contains("icense")).select("doc_id", "line_no", "context")
 
 
-@query("SELECT func, idx, last_value(CASE WHEN node = 'signup' THEN idx END IGNORE NULLS) OVER (PARTITION BY func ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM steps", FLOW)
+@query("SELECT func, idx, coalesce(last_value(CASE WHEN node = 'signup' THEN idx END IGNORE NULLS) OVER (PARTITION BY func ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS since FROM steps", FLOW)
 def containing_function(t):
-    return spans.last_before(t.steps(), "func", "idx", F.col("node") == "signup", F.col("idx"), "since").select("func", "idx", "since")
+    return spans.last_before(t.steps(), "func", "idx", F.col("node") == "signup", F.col("idx"), "since").select("func", "idx", F.coalesce("since", F.lit(0)).alias("since"))
 
 
 @query("SELECT func, node, n FROM (SELECT func, node, count(*) AS n, row_number() OVER (PARTITION BY func ORDER BY count(*) DESC, node) AS k FROM steps GROUP BY func, node) WHERE k <= 2", FLOW)
@@ -493,9 +493,9 @@ def ancestors(t):
     return graph.ancestors(t.inherits())
 
 
-@query("SELECT child, list_concat([child], list_sort(list(DISTINCT ancestor))) AS chain FROM up GROUP BY child", INHERITS)
+@query("SELECT child, array_to_string(list_concat([child], list_sort(list(DISTINCT ancestor))), ' ') AS chain FROM up GROUP BY child", INHERITS)
 def linearized_inheritance(t):
-    return graph.linearized(graph.ancestors(t.inherits()))
+    return graph.linearized(graph.ancestors(t.inherits())).select("child", F.array_join("chain", " ").alias("chain"))
 
 
 @query(
@@ -548,12 +548,12 @@ def shortest_path(t):
 
 
 @query(
-    "SELECT [a.src, a.dst] AS path, 2 AS length FROM few a JOIN few b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT [a.src, a.dst, b.dst], 3 FROM few a JOIN few b ON b.src = a.dst JOIN few c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst",
+    "SELECT a.src || ' ' || a.dst AS path, 2 AS length FROM few a JOIN few b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT a.src || ' ' || a.dst || ' ' || b.dst, 3 FROM few a JOIN few b ON b.src = a.dst JOIN few c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst",
     CONTRACTS,
     "few AS (SELECT * FROM pairs WHERE src < 25 AND dst < 25)",
 )
 def cycle_enum(t):
-    return graph.simple_cycles(t.contract_edges().where("src < 25 and dst < 25"), 3)
+    return graph.simple_cycles(t.contract_edges().where("src < 25 and dst < 25"), 3).select(F.array_join(F.col("path").cast("array<string>"), " ").alias("path"), "length")
 
 
 @query("SELECT p_partkey, round(greatest(0.0, least(1.0, 0.5 + CASE WHEN p_type = 'STANDARD' THEN 0.2 ELSE 0 END - CASE WHEN p_size > 30 THEN 0.3 ELSE 0 END - CASE WHEN contains(p_name, 'ring') THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS trust FROM part")
@@ -584,6 +584,71 @@ def symbol_resolution(t):
     return dataflow.visible_symbols(scopes, symbols)
 
 
+# --- rules over sources ---------------------------------------------------------
+
+# Fixed texts: one function for each kind of line item, five lines each.
+_BODIES = (
+    "function f{n}() public {{\n        require(tx.origin == owner);\n        total = 1;\n    }}\n",
+    'function f{n}(uint a) external {{\n        msg.sender.call("");\n        balances[msg.sender] = a;\n    }}\n',
+    "function f{n}() external view returns (uint) {{\n        uint x = 1;\n        return total;\n    }}\n",
+    "function setValue{n}(uint a) external {{\n        // the value\n        total = a;\n    }}\n",
+)
+
+
+def contract_sources(t: Tables) -> DataFrame:
+    """A contract for each of some orders, with a function for each line item."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    items = t.lineitem.where("l_orderkey % 25 = 0").select("l_orderkey", F.row_number().over(order).alias("n"), (F.col("l_partkey") % 4).alias("kind"))
+    body = F.lit("")
+    for kind, text in enumerate(_BODIES):
+        first, *rest = text.replace("{{", "{").replace("}}", "}").split("{n}")
+        body = F.when(F.col("kind") == kind, F.concat(F.lit("    " + first), F.col("n").cast("string"), F.lit("".join(rest)))).otherwise(body)
+    grouped = items.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", body.alias("body")))), lambda x: x["body"]), "\n").alias("bodies"))
+    head = F.concat(F.lit("pragma solidity ^0.8.0;\ncontract C"), F.col("l_orderkey").cast("string"), F.lit(" {\n    uint total;\n    mapping(address => uint) balances;\n"))
+    files = grouped.select(F.concat(F.lit("c/"), F.col("l_orderkey").cast("string"), F.lit(".sol")).alias("path"), F.concat(head, "bodies", F.lit("}\n")).alias("content"))
+    return scan.as_sources(files)
+
+
+@query(
+    """SELECT 'c/' || l_orderkey || '.sol' AS path, CAST(5 + 5 * (n - 1) + shift AS INT) AS line, detector_id, severity FROM (
+  SELECT i.*, r.*, row_number() OVER (PARTITION BY i.l_orderkey, r.detector_id ORDER BY i.n) AS k
+  FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS n, l_partkey % 4 AS kind FROM lineitem WHERE l_orderkey % 25 = 0) i
+  JOIN (VALUES (0, 'tx-origin-authentication', 'Critical', 0), (1, 'classic-reentrancy', 'High', 0), (1, 'unchecked-external-call', 'Medium', 1), (3, 'missing-access-modifiers', 'Critical', 0)) r(kind, detector_id, severity, shift) ON r.kind = i.kind) WHERE k <= 3"""
+)
+def rule_findings(t):
+    from .plans.planner import Options, analyze
+
+    ids = ("tx-origin-authentication", "classic-reentrancy", "unchecked-external-call", "missing-access-modifiers")
+    return analyze(contract_sources(t), Options(enable=ids)).select("path", "line", "detector_id", "severity")
+
+
+@query()
+def all_rules(t):
+    from .plans.planner import Options, analyze
+
+    return analyze(contract_sources(t), Options(lint=True))
+
+
+@query(
+    """SELECT 'c/' || l_orderkey || '.sol' AS path, count(*) AS n_functions, count(*) FILTER (l_partkey % 4 = 2) AS n_view, CAST(count(*) * 2 AS BIGINT) - count(*) FILTER (l_partkey % 4 = 3) AS n_statements FROM lineitem WHERE l_orderkey % 25 = 0 GROUP BY l_orderkey"""
+)
+def parsed_contracts(t):
+    from .plans.fixpoint import written
+    from .sources import parser
+
+    sources = contract_sources(t)
+    stream = written(parser.facts(sources))
+    counted = stream.groupBy("file_id").agg(F.count_if(F.col("kind") == "function").alias("n_functions"), F.count_if((F.col("kind") == "function") & (F.col("mutability") == "view")).alias("n_view"), F.count_if(F.col("kind") == "statement").alias("n_statements"))
+    return counted.join(sources.select("file_id", "path"), "file_id").select("path", "n_functions", "n_view", "n_statements")
+
+
+@query("SELECT date_trunc('minute', ts) - INTERVAL (minute(ts) % 5) MINUTE AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed_counts(t):
+    from .streaming.reanalysis import windowed_counts as counts
+
+    return counts(t.events).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """A rule from end to end: files that mention licences and no noise, their lines, findings, one each, counted by severity."""
     t = Tables(spark, folder)
