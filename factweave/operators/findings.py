@@ -68,8 +68,8 @@ def greedy_matches(expected: DataFrame, actual: DataFrame, keys: list[str], tole
 
     def match(e, a):
         out, found = [], {}
-        for row in a.sort_values("act_id").itertuples():
-            found.setdefault(tuple(getattr(row, k) for k in keys), []).append([row.line, row.act_id, True])
+        for row in a.sort_values("_act_id").itertuples(index=False, name=None):
+            found.setdefault(row[: len(keys)], []).append([row[-2], row[-1], True])
         for x in e.sort_values("exp_id").itertuples():
             key = tuple(getattr(x, k) for k in keys)
             for near in found.get(key, ()):
@@ -80,7 +80,10 @@ def greedy_matches(expected: DataFrame, actual: DataFrame, keys: list[str], tole
         return pd.DataFrame(out, columns=[*keys, "exp_id", "act_id"])
 
     share = F.pmod(F.xxhash64(*keys), F.lit(4 * int(expected.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("share")
-    return expected.groupBy(share).cogroup(actual.groupBy(share)).applyInPandas(match, schema)
+    # Names of its own for one side: both may come from one table.
+    actual = actual.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("line").alias("_line"), F.col("act_id").alias("_act_id"))
+    other = F.pmod(F.xxhash64(*(f"_{k}" for k in keys)), F.lit(4 * int(expected.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("_share")
+    return expected.select(*keys, "exp_id", "line_lo", "line_hi").groupBy(share).cogroup(actual.groupBy(other)).applyInPandas(match, schema)
 
 
 def precision_recall(labelled: DataFrame, keys: list[str], predicted: str, actual: str) -> DataFrame:

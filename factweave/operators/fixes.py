@@ -46,5 +46,6 @@ def applied(sources: DataFrame, edits: DataFrame) -> DataFrame:
             out.append((row.file_id, "\n".join(lines)))
         return pd.DataFrame(out, columns=["file_id", "content"])
 
-    touched = sources.join(edits.select("file_id").distinct(), "file_id", "left_semi")
-    return touched.select("file_id", "content").groupBy("file_id").cogroup(without_conflicts(edits).groupBy("file_id")).applyInPandas(apply, "file_id long, content string")
+    chosen = without_conflicts(edits).select(F.col("file_id").alias("_file"), "fix_id", "start_line", "end_line", "replacement")
+    touched = sources.select("file_id", "content").join(chosen.select("_file").distinct(), F.col("file_id") == F.col("_file"), "left_semi")
+    return touched.groupBy("file_id").cogroup(chosen.groupBy("_file")).applyInPandas(apply, "file_id long, content string")
