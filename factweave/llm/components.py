@@ -37,6 +37,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
     while True:
         state = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
+            if n:
+                scratch.drop(f"{label}{n - 1}")
             return held.select(F.col("u").alias("id"), F.col("v").alias("component"))
         before, n = state, n + 1
         held = scratch.save(_small_star(_large_star(held)), f"{label}{n}")

@@ -253,7 +253,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tokens = sets.mapInArrow(_explode, "id long, n long, token long")
         pairs = _prefix_pairs(tokens.join(large.withColumnRenamed("doc_id", "id"), "id"), num, den)
         links = links.union(confirmed(scratch.save(pairs, "pairs_large"), "large", estimated=False))
-    joined = connected_components(links, scratch, "cc2_")
+    joined = scratch.save(connected_components(links, scratch, "cc2_"), "joined")
+    scratch.keep("signatures", "classes", "joined")
 
     label = joined.select(F.col("id").alias("rep"), "component")
     named = classes.select(F.col("doc_id").alias("rep"), F.col("sig").alias("csig"), F.col("n_shingles").alias("cn")).join(label, "rep", "left").select("csig", "cn", F.coalesce("component", "rep").alias("component"))

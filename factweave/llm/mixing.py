@@ -88,6 +88,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     solved = entropy_balance(mass, targets, cap, scratch)
     rates = solved.alias("l").join(targets.alias("t"), F.expr("l.source <=> t.source")).join(sources.alias("n"), F.expr("n.source <=> t.source")).select("t.source", "t.source_size", "t.target", F.coalesce(F.round(F.exp("l.multiplier"), 9), F.lit(0.0)).alias("rate"), F.ceil(F.col("n.n_docs") / BUCKET_ROWS).alias("buckets"))
     rates = scratch.save(rates, "rates")
+    scratch.keep("sized", "rates")
 
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     bucket = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % F.col("buckets")

@@ -51,10 +51,12 @@ class Scratch:
         bound_batches(spark)
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.names: set[str] = set()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads what was written."""
         path = f"{self.root}/{name}"
+        self.names.add(name)
         # Numbers here are mostly hashes: compressing them saves little, and every writer's buffers lie outside the heap.
         text = any(kind in ("string", "binary") or "<" in kind for _, kind in df.dtypes)
         df.write.mode("overwrite").option("compression", "zstd" if text else "uncompressed").parquet(path)
@@ -65,10 +67,16 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
+            self.names.discard(name)
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
 
 
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these, which what is returned still reads."""
+        self.drop(*(self.names - set(names)))
+
+
 def partitions(spark: SparkSession) -> int:
     bound_batches(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
