@@ -1,18 +1,60 @@
-"""Data-flow analyses as closures: ``blocks(func, node, defines, uses)`` and ``edges(func, src, dst)``."""
+"""Data-flow analyses over ``blocks(func, node, defines, uses)`` and ``edges(func, src, dst)``.
+
+Each is solved by function, in one shuffle; the same analyses as rounds over
+whole relations (``local=False``) are for graphs that no worker holds, and
+for checking one against the other.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.fixpoint import closure, least
+from .graph import solved_locally
+
+
+def _flow(blocks: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks and edges of a function in one stream of rows."""
+    none = F.lit(None).cast("string")
+    kind = dict(edges.dtypes)["src"]
+    return blocks.select(*keys, F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst"), F.col("defines").cast("string").alias("defines"), F.col("uses").cast("string").alias("uses")).unionByName(edges.select(*keys, "src", "dst", none.alias("defines"), none.alias("uses")))
+
+
+def _parts(group) -> tuple[dict, dict, list]:
+    """Definition and use of each block, and the edges."""
+    own = group[group.dst.isna()]
+    named = lambda c: {n: v for n, v in zip(own.src, own[c]) if isinstance(v, str)}
+    return named("defines"), named("uses"), list(group.loc[group.dst.notna(), ["src", "dst"]].itertuples(index=False, name=None))
 
 
-def reaching_definitions(blocks: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+def _spread(start: set, step) -> set:
+    known, todo = set(start), list(start)
+    while todo:
+        for x in step(todo.pop()):
+            if x not in known:
+                known.add(x)
+                todo.append(x)
+    return known
+
+
+def reaching_definitions(blocks: DataFrame, edges: DataFrame, keys: list[str], local: bool = True) -> DataFrame:
     """``(keys, def_node, var, node)``: the definition of var in def_node reaches the entry of node.
 
     A definition leaves its own block, and any block it reaches that does not
     define the same variable.
     """
+    if local:
+
+        def solve(group):
+            defines, _, flow = _parts(group)
+            succ: dict = {}
+            for a, b in flow:
+                succ.setdefault(a, []).append(b)
+            start = {(d, v, n) for d, v in defines.items() for n in succ.get(d, ())}
+            return _spread(start, lambda x: [(x[0], x[1], n) for n in succ.get(x[2], ())] if defines.get(x[2]) != x[1] else [])
+
+        kind = dict(blocks.dtypes)["node"]
+        return solved_locally(_flow(blocks, edges, keys), keys, {"def_node": kind, "var": "string", "node": kind}, solve)
     e = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("_to"))
     kills = blocks.select(*keys, "node", F.col("defines").alias("_kill"))
     out = blocks.where("defines is not null").select(*keys, F.col("node").alias("def_node"), F.col("defines").alias("var"), "node")
@@ -25,8 +67,18 @@ def reaching_definitions(blocks: DataFrame, edges: DataFrame, keys: list[str]) -
     return closure(start, step)
 
 
-def live_variables(blocks: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+def live_variables(blocks: DataFrame, edges: DataFrame, keys: list[str], local: bool = True) -> DataFrame:
     """``(keys, node, var)``: var is live at the entry of node; uses come before the block's definition."""
+    if local:
+
+        def solve(group):
+            defines, uses, flow = _parts(group)
+            pred: dict = {}
+            for a, b in flow:
+                pred.setdefault(b, []).append(a)
+            return _spread(set(uses.items()), lambda x: [(p, x[1]) for p in pred.get(x[0], ()) if defines.get(p) != x[1]])
+
+        return solved_locally(_flow(blocks, edges, keys), keys, {"node": dict(blocks.dtypes)["node"], "var": "string"}, solve)
     e = edges.select(*keys, F.col("dst").alias("node"), F.col("src").alias("_from"))
     start = blocks.where("uses is not null").select(*keys, "node", F.col("uses").alias("var"))
     kills = blocks.select(*keys, F.col("node").alias("_from"), F.col("defines").alias("_kill"))

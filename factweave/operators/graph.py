@@ -7,14 +7,24 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..plans.fixpoint import closure, least
 
 
-def reachable(edges: DataFrame, start: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
-    """``(keys, node)`` reached from the start nodes, those included."""
+def reachable(edges: DataFrame, start: DataFrame, keys: list[str], node: str = "node", local: bool | None = None) -> DataFrame:
+    """``(keys, node)`` reached from the start nodes, those included; by function where there are keys, else by rounds over the whole graph."""
+    if bool(keys) if local is None else local:
+        return solved_locally(_with_entries(edges, start, keys, node), keys, {node: dict(edges.dtypes)["src"]}, lambda group: [(n,) for n in _flood(*_successors(group))])
     e = edges.select(*keys, F.col("src").alias(node), F.col("dst").alias("_to"))
     return closure(start.select(*keys, node), lambda d: d.join(e, [*keys, node]).select(*keys, F.col("_to").alias(node)))
 
 
-def reach_pairs(edges: DataFrame, keys: list[str]) -> DataFrame:
+def reach_pairs(edges: DataFrame, keys: list[str], local: bool | None = None) -> DataFrame:
     """``(keys, src, dst)`` with a path of at least one edge."""
+    if bool(keys) if local is None else local:
+        kind = dict(edges.dtypes)["src"]
+
+        def solve(group):
+            _, succ = _successors(group)
+            return [(s, d) for s in succ for d in _flood(succ[s], succ)]
+
+        return solved_locally(edges.select(*keys, "src", "dst"), keys, {"src": kind, "dst": kind}, solve)
     e = edges.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("_to"))
     return closure(edges.select(*keys, "src", "dst"), lambda d: d.join(e, [*keys, "dst"]).select(*keys, "src", F.col("_to").alias("dst")))
 
@@ -43,24 +53,44 @@ def mergeable(nodes: DataFrame, edges: DataFrame, entry: DataFrame, keys: list[s
     return only.select(*keys, F.col("dst").alias("node")).join(entry.select(*keys, "node"), [*keys, "node"], "left_anti")
 
 
-def _local(columns: str):
-    """A solver of one function's graph: functions are small, so it runs where their rows meet, in one shuffle."""
+def solved_locally(rows: DataFrame, keys: list[str], columns: dict[str, str], solve) -> DataFrame:
+    """Runs ``solve(group)`` on every function's rows; it yields tuples of the columns.
+
+    Functions are small, so a whole-graph analysis runs where their rows meet,
+    in one shuffle; many functions share a task's group.
+    """
+    import pandas as pd
+
+    types = dict(rows.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), *(f"{c} {t}" for c, t in columns.items())])
+
+    def each(pdf):
+        out = [(*key, *row) for key, group in pdf.groupby(keys, sort=False) for row in solve(group)]
+        return pd.DataFrame(out, columns=[*keys, *columns])
+
+    share = F.pmod(F.xxhash64(*keys), F.lit(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("share")
+    return rows.groupBy(share).applyInPandas(each, schema)
 
-    def wrap(solve):
-        def run(nodes: DataFrame, edges: DataFrame, entry: DataFrame, keys: list[str]) -> DataFrame:
-            import pandas as pd
 
-            schema = ", ".join([*(f"{k} {dict(nodes.dtypes)[k]}" for k in keys), *(f"{c} {dict(nodes.dtypes)['node']}" for c in columns.split())])
-            rows = edges.select(*keys, "src", "dst").unionByName(entry.select(*keys, F.lit(None).cast(dict(nodes.dtypes)["node"]).alias("src"), F.col("node").alias("dst")))
+def _successors(group) -> tuple[set, dict]:
+    """Start nodes (rows without source) and successor sets."""
+    start = set(group.dst[group.src.isna()])
+    succ: dict = {}
+    for s, d in group.loc[group.src.notna(), ["src", "dst"]].itertuples(index=False, name=None):
+        succ.setdefault(s, set()).add(d)
+    return start, succ
 
-            def group(key, pdf):
-                start = set(pdf.dst[pdf.src.isna()])
-                succ: dict = {}
-                for r in pdf[pdf.src.notna()].itertuples():
-                    succ.setdefault(r.src, set()).add(r.dst)
-                return pd.DataFrame([(*key, *row) for row in solve(start, succ)], columns=[*keys, *columns.split()])
 
-            return rows.groupBy(*keys).applyInPandas(group, schema)
+def _with_entries(edges: DataFrame, entry: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
+    kind = dict(edges.dtypes)["src"]
+    return edges.select(*keys, "src", "dst").unionByName(entry.select(*keys, F.lit(None).cast(kind).alias("src"), F.col(node).alias("dst")))
+
+
+def _local(columns: str):
+    def wrap(solve):
+        def run(nodes: DataFrame, edges: DataFrame, entry: DataFrame, keys: list[str]) -> DataFrame:
+            kind = dict(nodes.dtypes)["node"]
+            return solved_locally(_with_entries(edges, entry, keys), keys, {c: kind for c in columns.split()}, lambda group: solve(*_successors(group)))
 
         run.__doc__ = solve.__doc__
         return run
@@ -68,13 +98,18 @@ def _local(columns: str):
     return wrap
 
 
-def _dominator_sets(start: set, succ: dict) -> dict:
+def _flood(start, succ: dict) -> set:
     seen, todo = set(start), list(start)
     while todo:
         for n in succ.get(todo.pop(), ()):
             if n not in seen:
                 seen.add(n)
                 todo.append(n)
+    return seen
+
+
+def _dominator_sets(start: set, succ: dict) -> dict:
+    seen = _flood(start, succ)
     pred: dict = {n: set() for n in seen}
     for s in seen:
         for d in succ.get(s, ()):

@@ -148,6 +148,12 @@ def test_local_and_relational_fixpoints_agree(spark):
     n = spark.createDataFrame([(f, i) for f in range(6) for i in range(5)], "func long, node long")
     entry = n.where("node = 0")
     reached = {tuple(r) for r in graph.reachable(e, entry, ["func"]).collect()}
+    assert {tuple(r) for r in graph.reachable(e, entry, ["func"], local=False).collect()} == reached
+    pairs, flow = graph.reach_pairs(e, ["func"]), n.select("func", "node", F.when(F.col("node") % 2 == 0, "x").otherwise("y").alias("defines"), F.when(F.col("node") > 2, "x").alias("uses"))
+    assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in graph.reach_pairs(e, ["func"], local=False).collect()}
+    for analysis in (dataflow.reaching_definitions, dataflow.live_variables):
+        local = {tuple(r) for r in analysis(flow, e, ["func"]).collect()}
+        assert local and local == {tuple(r) for r in analysis(flow, e, ["func"], local=False).collect()}
     assert {(r.func, r.node) for r in graph.dominators(n, e, entry, ["func"]).collect()} == reached
     assert {tuple(r) for r in graph.unreachable(n, e, entry, ["func"]).collect()} == {(f, i) for f in range(6) for i in range(5)} - reached
     hops = {(r.func, r.node) for r in graph.shortest_paths(e, entry, ["func"]).collect()}
