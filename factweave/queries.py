@@ -642,11 +642,11 @@ def parsed_contracts(t):
     return counted.join(sources.select("file_id", "path"), "file_id").select("path", "n_functions", "n_view", "n_statements")
 
 
-@query("SELECT date_trunc('minute', ts) - INTERVAL (minute(ts) % 5) MINUTE AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("SELECT strftime(date_trunc('minute', ts) - INTERVAL (minute(ts) % 5) MINUTE, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed_counts(t):
     from .streaming.reanalysis import windowed_counts as counts
 
-    return counts(t.events).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return counts(t.events).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
