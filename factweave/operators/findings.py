@@ -38,6 +38,19 @@ def first_of_bucket(findings: DataFrame, keys: list[str], line: str, rank: Colum
     return first_of(findings.withColumn("_b", F.floor(F.col(line) / width)), [*keys, "_b"], [rank.desc(), *order]).drop("_b")
 
 
+#: Rules whose id holds one of these words are deduplicated by class and bucket of lines.
+MEV_WORDS, VALIDATION_WORDS = ("mev", "sandwich", "front-run"), ("parameter", "validation")
+
+
+def deduplicated_enhanced(findings: DataFrame, file: str, order: list, width: int = 10) -> DataFrame:
+    """First of each rule, file and line; then, of MEV and of validation rules, the most severe of each bucket of lines."""
+    rule = F.col("detector_id").cast("string")
+    group = F.when(rule.rlike("|".join(MEV_WORDS)), "mev").when(rule.rlike("|".join(VALIDATION_WORDS)), "validation")
+    once = first_of(findings, ["detector_id", file, "line"], order).withColumn("_class", group)
+    chosen = first_of_bucket(once.where("_class is not null"), [file, "_class"], "line", severity_ord(F.col("severity")), order, width)
+    return once.where("_class is null").unionByName(chosen).drop("_class")
+
+
 def counts_with_zeros(findings: DataFrame, column: str, domain: DataFrame) -> DataFrame:
     """``domain(column, ...)`` with the number of findings, 0 where there are none."""
     return domain.join(findings.groupBy(column).agg(F.count("*").alias("_c")), column, "left").select(*domain.columns, F.coalesce("_c", F.lit(0)).alias("n"))

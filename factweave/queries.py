@@ -12,8 +12,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .functions import traits
 from .functions.scales import severity_ord
-from .operators import dataflow, findings as fd, graph, spans
+from .operators import dataflow, findings as fd, graph, line_taint, spans
 from .sources import project, scan
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -479,6 +480,58 @@ def fp_likelihood(t):
     return steps.select("func", F.round(dataflow.false_positive_likelihood(F.when(F.col("n") > 60, 11).otherwise(1), F.array_repeat(F.lit(0.5), F.col("k").cast("int"))), 9).alias("likelihood"))
 
 
+@query(
+    """SELECT func, round(exp(sum(ln(f))), 9) AS remaining FROM (SELECT func, CASE op WHEN '+' THEN 0.9 WHEN '*' THEN 0.8 WHEN '==' THEN 0.3 ELSE 1.0 END AS f
+  FROM (SELECT func, CASE node WHEN 'click' THEN '+' WHEN 'view' THEN '*' WHEN 'error' THEN '==' ELSE 'other' END AS op FROM steps WHERE idx < 9)) GROUP BY func""",
+    FLOW,
+)
+def taint_attenuation(t):
+    op = F.when(F.col("node") == "click", "+").when(F.col("node") == "view", "*").when(F.col("node") == "error", "==").otherwise("other")
+    return line_taint.remaining(t.steps().where("idx < 9").select("func", op.alias("op")), ["func"], "op")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, kind, sink, CASE WHEN kind = 'UserInput' AND sink = 'ExternalCall' THEN 'Unvalidated External Call' WHEN kind = 'UserInput' AND sink = 'StateModification' THEN 'Unvalidated State Change'
+    WHEN kind = 'ExternalCall' AND sink = 'StateModification' THEN 'External Data State Change' WHEN kind = 'TimeDependent' AND sink = 'StateModification' THEN 'Time-dependent State Change'
+    WHEN kind = 'UserInput' AND sink = 'EtherTransfer' THEN 'Unvalidated Ether Transfer' ELSE 'Data Flow Vulnerability' END AS vulnerability,
+  CASE WHEN kind = 'UserInput' AND sink = 'SelfDestruct' THEN 'Critical' WHEN kind = 'UserInput' AND sink = 'ExternalCall' OR kind = 'ExternalCall' AND sink = 'StateModification' THEN 'High'
+    WHEN kind = 'UserInput' AND sink = 'EtherTransfer' OR kind = 'TimeDependent' THEN 'Medium' ELSE 'Low' END AS severity
+  FROM (SELECT l_orderkey, l_linenumber, (['UserInput', 'ExternalCall', 'TimeDependent'])[CAST(l_partkey % 3 + 1 AS INT)] AS kind, (['ExternalCall', 'StateModification', 'EtherTransfer', 'SelfDestruct'])[CAST(l_suppkey % 4 + 1 AS INT)] AS sink FROM lineitem WHERE l_orderkey % 10 = 0)"""
+)
+def taint_decision_table(t):
+    pick = lambda names, key: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names) + 1).cast("int"))
+    flows = t.lineitem.where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", pick(("UserInput", "ExternalCall", "TimeDependent"), "l_partkey").alias("kind"), pick(("ExternalCall", "StateModification", "EtherTransfer", "SelfDestruct"), "l_suppkey").alias("sink"))
+    return line_taint.named(flows)
+
+
+@query(
+    """SELECT path, line, source, sink FROM (SELECT 'c/' || l_orderkey || '.sol' AS path, n, kind FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS n, l_partkey % 4 AS kind FROM lineitem WHERE l_orderkey % 25 = 0)) i
+  JOIN LATERAL (SELECT * FROM (VALUES (0, 1, 'TransactionOrigin', NULL), (1, 1, 'MessageSender', 'ExternalCall'), (1, 2, 'MessageSender', 'StateModification')) r(k, shift, source, sink) WHERE r.k = i.kind AND sink IS NOT NULL) x ON true
+  JOIN LATERAL (SELECT CAST(5 + 5 * (i.n - 1) + x.shift AS BIGINT) AS line) y ON true"""
+)
+def taint_lines(t):
+    sources = contract_sources(t)
+    lines = line_taint.classified(scan.lines_of(sources, "file_id", "content")).where("source is not null and sink is not null")
+    return lines.join(sources.select("file_id", "path"), "file_id").select("path", F.col("line_no").alias("line"), "source", "sink")
+
+
+@query("SELECT 'c/' || l_orderkey || '.sol' AS path, bool_or(l_partkey % 4 = 0) AS uses_tx_origin, false AS is_amm FROM lineitem WHERE l_orderkey % 25 = 0 GROUP BY l_orderkey")
+def contract_traits(t):
+    return traits.with_traits(contract_sources(t), "content").select("path", "uses_tx_origin", "is_amm")
+
+
+@query(
+    """SELECT rule, file, line, emit_ord, ord FROM once WHERE class IS NULL UNION ALL
+SELECT rule, file, line, emit_ord, ord FROM (SELECT *, row_number() OVER (PARTITION BY file, class, line // 10 ORDER BY sev DESC, emit_ord, ord, l_extendedprice, rule) AS k FROM once WHERE class IS NOT NULL) WHERE k = 1""",
+    FOUND,
+    """ruled AS (SELECT *, (['mev-a', 'parameter-b', 'other'])[CAST(detector_id % 3 + 1 AS INT)] || detector_id AS rule FROM found),
+once AS (SELECT *, CASE WHEN contains(rule, 'mev') THEN 'mev' WHEN contains(rule, 'parameter') THEN 'validation' END AS class FROM (SELECT *, row_number() OVER (PARTITION BY rule, file, line ORDER BY emit_ord, ord, l_extendedprice, rule) AS first FROM ruled) WHERE first = 1)""",
+)
+def dedup_enhanced(t):
+    ruled = t.found().withColumn("detector_id", F.concat(F.element_at(F.array(F.lit("mev-a"), F.lit("parameter-b"), F.lit("other")), (F.col("detector_id") % 3 + 1).cast("int")), F.col("detector_id").cast("string")))
+    return fd.deduplicated_enhanced(ruled, "file", ["emit_ord", "ord", "l_extendedprice", "detector_id"]).select(F.col("detector_id").alias("rule"), "file", "line", "emit_ord", "ord")
+
+
 @query("SELECT user_id AS func, event_type AS callee, count(*) AS n FROM events WHERE value > 20 AND event_type IN ('click', 'view') GROUP BY ALL")
 def call_graph(t):
     instructions = t.events.where("value > 20").select(F.col("user_id").alias("func"), F.col("event_type").alias("opcode"), F.col("event_type").alias("callee"))
