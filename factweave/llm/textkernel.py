@@ -7,6 +7,7 @@ give the hash of any substring in constant time.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,8 +60,27 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _return_memory() -> None:
+    """Makes a worker give freed arrays back to the system at once.
+
+    Workers are kept from task to task; by default the C library and Arrow
+    keep the largest arrays' memory for them, which adds up on an executor.
+    """
+    if "settled" in _powers:
+        return
+    _powers["settled"] = np.zeros(0)
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):  # another C library
+        return
+    mallopt(-3, 1 << 20)  # from 1 MB on, allocations are mappings of their own
+    mallopt(-1, 1 << 22)  # and the heap's end is trimmed
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch whose texts together stay near ``limit`` bytes (one longer text is a part of its own)."""
+    _return_memory()
     data, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
     first = 0
     while first < batch.num_rows:
