@@ -4,8 +4,8 @@ A seed is a fixed mask over consecutive tokens that looks at some positions
 and ignores the others, so a hit survives a changed word at an ignored one.
 Hashes of every masked window of the test items are matched against every
 masked window of every document; each hit names a diagonal, along which item
-and document are aligned token by token, and the best-scoring stretch of that
-alignment is reported when it is long and equal enough.
+and document are aligned token by token, and the longest stretch of that
+alignment that is equal enough is reported when it is long enough.
 
 Scale: documents are never shuffled.  The test items are indexed in blocks of
 at most ``BLOCK_TOKENS`` tokens (so what a task is sent has a proven bound),
@@ -19,6 +19,8 @@ table on either side gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -93,16 +95,24 @@ class Index:
         return np.concatenate(places), np.concatenate(items)
 
 
-def best_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
-    """The stretch [i, j) with the greatest sum, an equal token counting 1 and another so much less that the ``share`` is kept."""
-    score = np.where(equal, 1.0, -share / (1 - share))
-    total = np.concatenate([[0.0], np.cumsum(score)])
-    low = np.minimum.accumulate(total)
-    j = int(np.argmax(total - low))
-    return int(np.flatnonzero(total[: j + 1] == low[j])[-1]), j
+def longest_stretch(equal: np.ndarray, share: Fraction) -> tuple[int, int]:
+    """The longest stretch [i, j) of which ``share`` is equal; of several, the one with most equal, and of those the last."""
+    score = np.where(equal, share.denominator - share.numerator, -share.numerator)
+    total = np.concatenate([[0], np.cumsum(score)])
+    count = np.concatenate([[0], np.cumsum(equal)])
+    # A stretch keeps the share where its sum is not negative: the last end for each start is the last that reaches its sum.
+    reach = np.maximum.accumulate(total[::-1])[::-1]
+    end = np.searchsorted(-reach, -total, side="right") - 1
+    length = end - np.arange(len(total))
+    longest = np.flatnonzero(length == length.max())
+    most = count[end[longest]] - count[longest]
+    i = int(longest[most == most.max()][-1])
+    return i, int(end[i])
 
 
 def _scanner(index: Index, min_overlap: int, share: float):
+    exact = Fraction(str(share))
+
     def scan(batches):
         for batch in batches:
             out = []
@@ -118,7 +128,7 @@ def _scanner(index: Index, min_overlap: int, share: float):
                     a, b = index.first[i], index.first[i + 1]
                     low, high = max(a, first[d] - shift), min(b, first[d + 1] - shift)
                     same = index.hashes[low:high] == hashes[low + shift : high + shift]
-                    s, e = best_stretch(same, share)
+                    s, e = longest_stretch(same, exact)
                     n = int(same[s:e].sum())
                     if e - s >= min(min_overlap, b - a):
                         row = (e - s, n, int(low + s + shift - first[d]), int(low + s - a), int(b - a))

@@ -189,6 +189,31 @@ def test_spaced_seeds_tolerate_substitutions(spark, docs):
     assert spaced_seeds.decontaminate(docs, benchmark).count() == docs.count()
 
 
+def test_spaced_seeds_find_the_longest_stretch(spark):
+    rng = np.random.default_rng(7)
+    items, rows = [], []
+    for size in (12, 15, 16, 20, 30):
+        for k in range(30):
+            item = [f"i{size}k{k}t{j}" for j in range(size)]
+            changed = [f"x{j}" if rng.random() < 0.15 else w for j, w in enumerate(item)]
+            items.append(item)
+            rows.append(["before", "it"] + changed + ["after"])
+    items.append([f"run{j}" for j in range(15)])  # 11 equal, 1 changed, 3 equal
+    rows.append([w if j != 11 else "x" for j, w in enumerate(items[-1])])
+    want = set()
+    for i, (item, row) in enumerate(zip(items, rows)):
+        shift = row.index(next(w for w in row if w in item)) - item.index(next(w for w in row if w in item))
+        same = [row[j + shift] == w for j, w in enumerate(item)]
+        seeds = (all(same[a + o] for o, c in enumerate(m) if c == "1") for m in spaced_seeds.MASKS for a in range(len(item) - len(m) + 1))
+        found = [(e - s, sum(same[s:e]), s + shift, s) for s in range(len(item)) for e in range(s + 1, len(item) + 1) if 5 * sum(same[s:e]) >= 4 * (e - s)]
+        if any(seeds) and max(found)[0] >= 12:
+            want.add((i, i, *max(found), len(item)))
+    frame = lambda texts, key: spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], f"{key} long, text string")
+    got = {tuple(r) for r in spaced_seeds.contaminated(frame(rows, "doc_id"), frame(items, "item_id")).collect()}
+    assert (len(rows) - 1, len(rows) - 1, 15, 14, 0, 0, 15) in want and len(want) > 50
+    assert got == want
+
+
 def test_spaced_seeds_in_blocks(spark, docs, texts, monkeypatch):
     some = [(i, " ".join(t.split()[5:30])) for i, (d, t) in enumerate(sorted((d, t) for d, t in texts if t and len(t.split()) > 40))]
     benchmark = spark.createDataFrame(some, "item_id long, text string")
