@@ -178,6 +178,45 @@ def test_line_links_equal_all_pairs(spark, monkeypatch):
     assert {r.doc_id for r in fuzzy_lines.dedup_lines(docs).collect() if r._n_removed == 0} == set(label.values())
 
 
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_lines_of_every_size_are_linked_by_edit_similarity_alone(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    lines = []
+    for family, n in enumerate([1, 2, 3, 4, 5, 5, 6, 7, 9, 10, 14, 15, 15, 20, 29, 40, 60] * 2):
+        vocabulary = [f"{'ab'[k % 2] * (k % 9)}{family}q{k}" for k in range(n)] if family % 3 else ["so", "it", f"f{family}"]
+        base = [vocabulary[k] if family % 3 else vocabulary[int(rng.integers(3))] for k in range(n)]
+        lines.append(base)
+        for copy in range(5):
+            words = list(base)
+            for _ in range(int(rng.integers(1, n // 4 + 2))):
+                at, kind = int(rng.integers(len(words))), rng.integers(3)
+                words[at : at + (kind < 2)] = [] if kind == 1 and len(words) > 1 else [f"new{rng.integers(99)}"]
+            lines.append(words)
+    lines += [list("机器学习模型需要大量的数据"), list("机器学习方法需要大量的数据")]
+    text = ["".join(w) if ord(w[0][0]) > 255 else " ".join(w) for w in lines]
+    label = components({i: w for i, w in enumerate(lines)}, lambda a, b: word_edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
+    assert label[len(lines) - 1] == len(lines) - 2 and 50 < len(set(label.values())) < len(lines) - 50
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    kept = lambda: {r.doc_id for r in fuzzy_lines.dedup_lines(docs).collect() if r._n_removed == 0}
+    assert kept() == set(label.values())
+    monkeypatch.setattr(fuzzy_lines, "SMALL_BUCKET", 1)
+    assert kept() == set(label.values())
+
+
+def test_lines_differ_by_punctuation_and_space(spark):
+    rows = [(1, "shared LINE, again"), (2, "Shared  line again!"), (3, "-- * --"), (4, "-- * --"), (5, "==="), (6, " \t")]
+    out = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r._n_removed} == {2, 4}
+
+
 def test_spaced_seeds_tolerate_substitutions(spark, docs):
     item = [f"t{i}" for i in range(20)]
     changed = list(item)
