@@ -150,32 +150,36 @@ def test_lines_keep_one_of_each_group(docs, spark):
     )
 
 
-def test_line_links_equal_all_pairs(spark, monkeypatch):
-    base = [f"wordy{i}" for i in range(40)]
-    lines = [" ".join(base)]
-    for i in range(40):
-        words = list(base)
-        for j in range(1 + i % 3):
-            words[(5 * i + 11 * j) % 40] = f"vwxyz{i}{j}"
-        lines.append(" ".join(words))
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    hashed = {r.doc_id: r.sim & (2**64 - 1) for r in fuzzy_lines.hashed_lines(docs).collect()}
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, before = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(row[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
-        return row[-1]
-
-    worded = [line.split(" ") for line in lines]
-    label = components({i: i for i in range(41)}, lambda a, b: (hashed[a] ^ hashed[b]).bit_count() <= 3 and edits(worded[a], worded[b]) <= int(0.2 * 40 + 1e-9))
-    out = fuzzy_lines.dedup_lines(docs).collect()
-    assert {r.doc_id for r in out if r._n_removed == 0} == set(label.values())
-    assert len(set(label.values())) < 41
-    monkeypatch.setattr(fuzzy_lines, "SMALL_BUCKET", 1)
-    assert {r.doc_id for r in fuzzy_lines.dedup_lines(docs).collect() if r._n_removed == 0} == set(label.values())
+def test_common_runs_are_given_up_for_the_next(spark, monkeypatch):
+    """Lines that share a long passage and little else, so that most of their blocks are crowded."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(25)]
+    lines = [[*passage, *(f"w{i}x{j}" for j in range(20))] for i in range(60)]
+    lines += [[w if rng.random() > 0.1 else f"n{rng.integers(10**6)}" for w in line] for line in lines[:30]]
+    label = components(dict(enumerate(lines)), lambda a, b: word_edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
+    docs = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id long, text string")
+    for small in (32, 2):
+        monkeypatch.setattr(fuzzy_lines, "SMALL_BUCKET", small)
+        assert {r.doc_id for r in fuzzy_lines.dedup_lines(docs).collect() if r._n_removed == 0} == set(label.values())
+
+
+def test_line_pairs_at_the_similarity_are_recalled(spark):
+    """Changed, added and missing words at random places, of lines of every length: nine pairs in ten at least."""
+    rng = np.random.default_rng(23)
+    lines, pairs = [], []
+    for n in [5, 6, 8, 10, 12, 15, 20, 25, 30, 40, 60, 100] * 25:
+        base = [f"w{rng.integers(10**9)}" for _ in range(n)]
+        other = list(base)
+        for _ in range(int(0.2 * n)):
+            at, kind = int(rng.integers(len(other))), int(rng.integers(3))
+            other[at : at + (kind < 2)] = [] if kind == 1 else [f"n{rng.integers(10**9)}"]
+        if word_edits(base, other) <= int(0.2 * max(len(base), len(other)) + 1e-9):
+            pairs.append((len(lines), len(lines) + 1))
+            lines += [base, other]
+    docs = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id long, text string")
+    gone = {r.doc_id for r in fuzzy_lines.dedup_lines(docs).collect() if r._n_removed}
+    assert len(pairs) > 200 and gone <= {b for _, b in pairs}
+    assert len(gone) >= 0.9 * len(pairs)
 
 
 def word_edits(a, b):
