@@ -98,8 +98,8 @@ class Bloom:
     exact.  With more ids than the bound holds it lets more rows through.
     """
 
-    def __init__(self, ids: DataFrame):
-        bits = min(max(int(16 * ids.count()).bit_length(), BLOOM_BITS[0]), BLOOM_BITS[1])
+    def __init__(self, ids: DataFrame, bits_each: int = 16):
+        bits = min(max((bits_each * ids.count()).bit_length(), BLOOM_BITS[0]), BLOOM_BITS[1])
 
         def mark(batches):
             own = np.zeros(1 << (bits - 3), dtype=np.uint8)
@@ -108,7 +108,8 @@ class Bloom:
                     np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
             yield vector_rows(own, int(own.sum()) & 15, 1 << 16)
 
-        self.bits, self.table = bits, sum_vectors(ids.mapInArrow(mark, VECTOR_ROWS), np.uint8, np.bitwise_or)
+        table = sum_vectors(ids.mapInArrow(mark, VECTOR_ROWS), np.uint8, np.bitwise_or)
+        self.bits, self.table = bits, table if len(table) else np.zeros(1 << (bits - 3), np.uint8)
 
     def has(self, ids: np.ndarray) -> np.ndarray:
         found = np.ones(len(ids), dtype=bool)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -257,13 +258,51 @@ def test_spaced_seeds_find_the_longest_stretch(spark):
     assert got == want
 
 
-def test_spaced_seeds_in_blocks(spark, docs, texts, monkeypatch):
-    some = [(i, " ".join(t.split()[5:30])) for i, (d, t) in enumerate(sorted((d, t) for d, t in texts if t and len(t.split()) > 40))]
-    benchmark = spark.createDataFrame(some, "item_id long, text string")
-    want = sorted(map(tuple, spaced_seeds.contaminated(docs, benchmark).collect()))
-    assert {r[1] for r in want} == {i for i, _ in some}
-    monkeypatch.setattr(spaced_seeds.blocks, "__defaults__", (100,))
-    assert sorted(map(tuple, spaced_seeds.contaminated(docs, benchmark).collect())) == want
+def test_spaced_seeds_equal_all_diagonals(spark, monkeypatch):
+    """Items of 1 to 30 tokens with changed tokens, against every diagonal of every pair; tables by broadcast and by shuffle."""
+    rng = np.random.default_rng(13)
+    items = [[f"w{rng.integers(30)}" for _ in range(n)] for n in [*range(1, 31)] * 2] + [[f"w{i}" for i in range(40)]]
+    rows = []
+    for item in items:
+        changed = [f"x{rng.integers(9)}" if rng.random() < 0.18 else w for w in item]
+        rows.append([f"w{rng.integers(30)}" for _ in range(rng.integers(4))] + changed + [f"y{rng.integers(30)}" for _ in range(rng.integers(4))])
+    items, rows = [*items, items[20], []], [*rows, [], ["w1"] * 50, [*items[3], *items[3]]]
+    want = set()
+    for d, row in enumerate(rows):
+        for i, item in enumerate(items):
+            best = ()
+            for shift in range(1 - len(item), len(row)):
+                low, high = max(0, -shift), min(len(item), len(row) - shift)
+                total = np.concatenate([[0], np.cumsum([row[j + shift] == item[j] for j in range(low, high)])])
+                for s in range(high - low):
+                    for e in range(high - low, s, -1):
+                        n = int(total[e] - total[s])
+                        if 5 * n >= 4 * (e - s):
+                            best = max(best, (e - s, n, low + s + shift, low + s)) if e - s >= min(12, len(item)) else best
+                            break
+            if best:
+                want.add((d, i, *best, len(item)))
+    frame = lambda texts, key: spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], f"{key} long, text string")
+    got = lambda: {tuple(r) for r in spaced_seeds.contaminated(frame(rows, "doc_id"), frame(items, "item_id")).collect()}
+    assert len(want) > 80 and got() == want
+    monkeypatch.setattr(spaced_seeds, "BROADCAST_BYTES", 0)
+    assert got() == want
+
+
+def test_seeds_miss_no_placing_of_changed_tokens():
+    for size in (*range(5, 12), 12, 13, 14, 15, 16, 20):
+        for changed in itertools.combinations(range(size), size // 5):
+            same = [i not in changed for i in range(size)]
+            assert any(all(same[a + o] for o, c in enumerate(m) if c == "1") for m, _ in spaced_seeds.masks_of(size) for a in range(size - len(m) + 1)), (size, changed)
+
+
+def test_decontaminate_tells_rows_of_one_id_apart(spark):
+    leak = " ".join(f"t{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, leak, "a"), (1, "clean words", "b"), (None, leak, "c"), (None, None, "d"), (2, "", "e")], "doc_id long, text string, item_id string")
+    benchmark = spark.createDataFrame([(7, leak, 1)], "item_id long, text string, doc_id int")
+    assert sorted(r.item_id for r in spaced_seeds.decontaminate(docs, benchmark).collect()) == ["b", "d", "e"]
+    none = benchmark.limit(0)
+    assert spaced_seeds.decontaminate(docs, none).count() == 5 and spaced_seeds.contaminated(docs.limit(0), benchmark).count() == 0
 
 
 def test_empty_tables(spark, empty):
