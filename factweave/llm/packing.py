@@ -22,6 +22,16 @@ def prime(n: int) -> int:
     return n
 
 
+#: Text of a part.  The number of parts so follows the input, not the session's partitions.
+PART_BYTES = 8 << 20
+
+
+def parts_for(source: DataFrame, text_col: str = "text", least: int = 11) -> int:
+    """Into how many parts to deal the texts (and what is found in them) so that a part has about ``PART_BYTES``."""
+    total = source.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return prime(max(least, -(-total // PART_BYTES)))
+
+
 def squeeze(x: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(x)
 

@@ -8,19 +8,26 @@ every suffix, so the sort is sparse:
    is its anchor (winnowing), so equal strings have equal anchors at equal
    offsets.  Consecutive strings with one anchor form a span.
 2. *Repeats.*  Packed (anchor, span hash, document, position) blocks meet by
-   anchor.  A span that a smaller document has too is removed whole; where the
-   spans of one anchor differ, the first of each goes on to the suffix sort.
+   anchor and are sorted by span hash.  A span that a smaller document has too
+   is flagged with the place of its first occurrence; where the spans of one
+   anchor differ, the first of each goes on to the suffix sort.
 3. *Suffix sort.*  The suffixes of those spans are mergesorted; two suffixes
    are compared by a binary search over polynomial prefix hashes for their
    common extension.  Runs that agree on ``length`` bytes are verified byte by
    byte, and all but the smallest document's strings are removed.
-4. *Cutting.*  Removed ranges meet their documents again.
+4. *Verification.*  Flagged spans that follow each other along one diagonal
+   are one stretch; its bytes go to the part of the first document and are
+   compared with it there.  What differs stays.  So nothing is removed on the
+   word of a hash.
+5. *Cutting.*  Removed ranges meet their documents again.
 
 Scale: what moves is about a seventh of the text as anchor blocks, the text
-once, and the spans that need sorting.  Within a task equal spans are merged
-before they move, and an anchor with very many different spans is dealt out
-by single strings, so no group is bounded by one task.  Texts longer than a
-slice are processed in overlapping pieces.
+once, the repeated text once, and the spans that need sorting.  Parts have a
+bounded share of the bytes, however many partitions the session or the files
+have.  Within a task equal spans are merged before they move, and an anchor
+with very many different spans is dealt out by single strings, so no group is
+bounded by one task.  Texts longer than a slice are processed in overlapping
+pieces.
 
 Edge cases: null texts are empty; texts shorter than ``length`` stay whole;
 rows with one id do not remove each other's text (repeated rows get equal
@@ -38,8 +45,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkernel as K
-from .packing import by_value as _by, delta as _delta, expand as _expand, pack, prime as _prime, rows as _rows, squeeze as _squeeze, unpack
-from .scratch import partitions
+from .packing import by_value as _by, delta as _delta, expand as _expand, pack, parts_for, rows as _rows, squeeze as _squeeze, unpack
+from .scratch import bound_batches
 
 LENGTH = 50
 GRAM = 20
@@ -95,21 +102,22 @@ def spans(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
 
 
 ANCHORS, FLAGS = 0, 1
-_FLAG_TYPES = (np.int64, np.uint32, np.uint16, np.uint8)  # document, position, check, flag
+#: Document, position, check, flag; of a whole span also the first document that has it and how far back it lies there.
+_FLAG_TYPES = (np.int64, np.uint32, np.uint16, np.uint8, np.int64, np.int64)
 
 
-def _flag_rows(doc, at, check, flag, parts: int):
+def _flag_rows(doc, at, check, flag, first, back, parts: int):
     keys, payloads = [], []
     for part, i in _by(np.mod(doc, parts)):
         i = i[np.lexsort((at[i], doc[i]))]
         keys.append(part)
-        payloads.append(pack(_delta(doc[i]), _delta(at[i].astype(np.uint32)), check[i], flag[i]))
+        payloads.append(pack(_delta(doc[i]), _delta(at[i].astype(np.uint32)), check[i], flag[i], first[i], back[i]))
     return keys, payloads
 
 
 def _read_flags(raw: bytes):
-    doc, at, check, flag = unpack(raw, *_FLAG_TYPES)
-    return np.cumsum(doc), np.cumsum(at, dtype=np.uint32).astype(np.int64), check, flag
+    doc, at, check, flag, first, back = unpack(raw, *_FLAG_TYPES)
+    return np.cumsum(doc), np.cumsum(at, dtype=np.uint32).astype(np.int64), check, flag, first, back
 
 
 # --- 1: anchors --------------------------------------------------------------
@@ -125,11 +133,12 @@ def _anchor_reader(buckets: int, parts: int, length: int, gram: int):
         if len(twice):  # of equal spans only the smallest document's need to move
             i = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, pair), len(twice) - 1)] == pair)
             i = i[np.lexsort((doc[i], pair[i]))]
-            first = np.concatenate([[True], pair[i][1:] != pair[i][:-1]])
-            least = doc[i][first][np.cumsum(first) - 1]
-            late = i[doc[i] > least]
+            new = np.concatenate([[True], pair[i][1:] != pair[i][:-1]])
+            least = i[new][np.cumsum(new) - 1]
+            later = doc[i] > doc[least]
+            late, least = i[later], least[later]
             keep[late] = False
-            keys, payloads = _flag_rows(doc[late], at[late], (s[late] >> _U(16)).astype(np.uint16), np.full(len(late), FULL, np.uint8), parts)
+            keys, payloads = _flag_rows(doc[late], at[late], (s[late] >> _U(16)).astype(np.uint16), np.full(len(late), FULL, np.uint8), doc[least], at[late] - at[least], parts)
             yield _rows([FLAGS] * len(keys), keys, payloads)
         doc, at, a, s = doc[keep], at[keep], a[keep], s[keep]
         keys, payloads = [], []
@@ -195,12 +204,14 @@ def _repeat_reader(parts: int):
             new_a = np.concatenate([[True], a[1:] != a[:-1]])
             new_s = new_a | np.concatenate([[True], s[1:] != s[:-1]])
             group, run = np.cumsum(new_a) - 1, np.cumsum(new_s) - 1
-            full = doc > doc[new_s][run]
+            least = np.flatnonzero(new_s)[run]
+            full = doc > doc[least]
             kinds = np.bincount(group[new_s])  # different spans of each anchor
             apart = np.maximum.reduceat(doc, np.flatnonzero(new_a)) > np.minimum.reduceat(doc, np.flatnonzero(new_a))
             flag = np.where(full, FULL, np.where((kinds[group] > 1) & apart[group], np.where(kinds[group] > HOT_SPANS, SORT_HOT, SORT), 0)).astype(np.uint8)
             i = np.flatnonzero(flag)
-            more_keys, more = _flag_rows(doc[i], at[i], s[i].astype(np.uint16), flag[i], parts)
+            back = np.where(full, at.astype(np.int64) - at[least], 0)
+            more_keys, more = _flag_rows(doc[i], at[i], s[i].astype(np.uint16), flag[i], np.where(full, doc[least], 0)[i], back[i], parts)
             keys, payloads = keys + more_keys, payloads + more
         return pa.table([pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())], names=["part", "payload"])
 
@@ -299,17 +310,23 @@ def repeated_strings(data: np.ndarray, start: np.ndarray, group: np.ndarray, doc
 
 # --- 3 and 4: documents ------------------------------------------------------
 
-SPANS, RANGES = 0, 1
+SPANS, RANGES, STRETCHES = 0, 1, 2
+_STRETCH_TYPES = (np.int64, np.int64, np.int64, np.uint32, np.uint32, np.uint32)  # first document, its begin, document, begin, size, text check
 _SPAN_TYPES = (_U, np.int64, np.uint32, np.uint32, np.uint8, np.uint8)  # anchor, document, text check, first start, anchor's place, bytes
 _RANGE_TYPES = (np.int64, np.uint32, np.uint32, np.uint32)  # document, begin, size, text check
 
 
-def _merge(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranges with ascending ends: overlapping and touching ones as one."""
-    if not len(begin):
-        return begin, end
-    new = np.concatenate([[True], begin[1:] > end[:-1]])
-    return begin[new], end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(end) - 1]])]
+def _merge(begin: np.ndarray, end: np.ndarray, first: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges with ascending ends: those that overlap or touch and lie as far back in one first document, as one."""
+    new = np.concatenate([[True], (begin[1:] > end[:-1]) | (first[1:] != first[:-1]) | (back[1:] != back[:-1])])
+    return begin[new], end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(end) - 1]])], first[new], back[new]
+
+
+def _equal_stretches(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and size of the maximal runs of at least ``length`` equal bytes."""
+    begin, end = K.runs(a == b, np.array([0, len(a)]))
+    long = end - begin >= length
+    return begin[long], (end - begin)[long]
 
 
 def _range_rows(doc, begin, size, check, parts: int):
@@ -339,12 +356,12 @@ def _meeting(buckets: int, length: int, gram: int):
     """Flagged documents of a part: ranges that are settled, and spans to sort."""
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
-        ranges, sort, single = [], [], []  # settled; whole spans; single strings
+        ranges, sort, single, stretches = [], [], [], []  # settled; whole spans; single strings; to be verified
         flags = [_read_flags(x.as_py()) for x in right["payload"]]
         if flags:
-            doc, at, check, flag = (np.concatenate(x) for x in zip(*flags))
+            doc, at, check, flag, first, back = (np.concatenate(x) for x in zip(*flags))
             order = np.lexsort((at, doc))
-            doc, at, check, flag = doc[order], at[order], check[order], flag[order]
+            doc, at, check, flag, first, back = doc[order], at[order], check[order], flag[order], first[order], back[order]
             for d, value in zip(left["doc_id"].to_pylist(), left["text"]):
                 own = slice(np.searchsorted(doc, d), np.searchsorted(doc, d, side="right"))
                 if own.start == own.stop:
@@ -359,10 +376,11 @@ def _meeting(buckets: int, length: int, gram: int):
                     k = np.minimum(np.searchsorted(x["at"] + base, at[own]), len(x["at"]) - 1)
                     hit = (x["at"][k] + base == at[own]) & ((x["s"][k] >> _U(16)).astype(np.uint16) == check[own])
                     k, f = k[hit], flag[own][hit]
-                    j = np.unique(k[f == FULL])
+                    j, i = np.unique(k[f == FULL], return_index=True)
                     if len(j):
-                        b, e = _merge(x["lo"][j] + base, x["hi"][j] + base + length)
-                        ranges.append((np.full(len(b), d), b, e - b, np.full(len(b), crc)))
+                        i = np.flatnonzero(hit)[f == FULL][i]
+                        b, e, one, far = _merge(x["lo"][j], x["hi"][j] + length, first[own][i], back[own][i])
+                        stretches.append((one, b + base - far, np.full(len(b), d), b + base, e - b, np.full(len(b), crc), np.frombuffer(_gather(piece, b, e - b), np.uint8)))
                     j = np.unique(k[f == SORT])
                     if len(j):
                         size = x["hi"][j] - x["lo"][j] + length
@@ -379,7 +397,8 @@ def _meeting(buckets: int, length: int, gram: int):
             order = np.lexsort((d, h))
             h, d, crc, s, body = h[order], d[order], crc[order], s[order], body[order]
             new = np.concatenate([[True], h[1:] != h[:-1]])
-            late = d > d[new][np.cumsum(new) - 1]
+            least = np.flatnonzero(new)[np.cumsum(new) - 1]
+            late = (d > d[least]) & (body == body[least]).all(axis=1)
             ranges.append((d[late], s[late], np.full(late.sum(), length), crc[late]))
             sort.append((h[~late], d[~late], crc[~late], s[~late], np.zeros((~late).sum(), np.int64), np.full((~late).sum(), length), body[~late].reshape(-1)))
         if sort:
@@ -389,6 +408,14 @@ def _meeting(buckets: int, length: int, gram: int):
                 kinds.append(SPANS)
                 keys.append(bucket)
                 payloads.append(_pack_spans(a[i], d[i], crc[i], lo[i], place[i], size[i], _gather(body, begin[i], size[i])))
+        if stretches:
+            one, place, d, b, size, crc, body = (np.concatenate(x) for x in zip(*stretches))
+            begin = np.concatenate([[0], np.cumsum(size)])
+            for part, i in _by(np.mod(one, buckets)):
+                head = pack(one[i], place[i], d[i], b[i].astype(np.uint32), size[i].astype(np.uint32), crc[i].astype(np.uint32))
+                kinds.append(STRETCHES)
+                keys.append(part)
+                payloads.append(np.int64(len(head)).tobytes() + head + _squeeze(_gather(body, begin[i], size[i])))
         if ranges:
             more, packed = _range_rows(*(np.concatenate(x) for x in zip(*ranges)), buckets)
             kinds, keys, payloads = kinds + [RANGES] * len(more), keys + more, payloads + packed
@@ -397,18 +424,51 @@ def _meeting(buckets: int, length: int, gram: int):
     return read
 
 
-def _sorter(parts: int, length: int):
-    def read(table: pa.Table) -> pa.Table:
-        held, bodies, keys, payloads = [], [], [], []
-        for kind, key, raw in zip(table["kind"].to_pylist(), table["key"].to_pylist(), table["payload"]):
+def _verified(texts: dict[int, list[np.ndarray]], stretches: list[bytes], length: int):
+    """Ranges of the stretches that are equal, byte by byte, to the first document's."""
+    out = []
+    for raw in stretches:
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        body, at = np.frombuffer(_expand(raw[8 + n :]), np.uint8), 0
+        for one, place, doc, begin, size, check in zip(*(x.tolist() for x in unpack(raw[8 : 8 + n], *_STRETCH_TYPES))):
+            own, at = body[at : at + size], at + size
+            for text in texts.get(one, ()):  # several where rows share an id
+                low, high = max(0, -place), min(size, len(text) - place)
+                if high - low < length:
+                    continue
+                there = text[place + low : place + high]
+                if np.array_equal(own[low:high], there):
+                    out.append((doc, begin + low, high - low, check))
+                else:
+                    out += [(doc, begin + low + b, n, check) for b, n in zip(*(x.tolist() for x in _equal_stretches(own[low:high], there, length)))]
+    return out
+
+
+def _settler(parts: int, length: int):
+    """The suffix sort of a bucket's spans, and what a part's documents are the first to have."""
+
+    def read(left: pa.Table, right: pa.Table) -> pa.Table:
+        held, bodies, stretches, keys, payloads = [], [], [], [], []
+        for kind, key, raw in zip(right["kind"].to_pylist(), right["key"].to_pylist(), right["payload"]):
             raw = raw.as_py()
             if kind == RANGES:
                 keys.append(key)
                 payloads.append(raw)
                 continue
+            if kind == STRETCHES:
+                stretches.append(raw)
+                continue
             n = int(np.frombuffer(raw, np.int64, 1)[0])
             held.append(unpack(raw[8 : 8 + n], *_SPAN_TYPES))
             bodies.append(np.frombuffer(_expand(raw[8 + n :]), np.uint8))
+        if stretches:
+            texts: dict[int, list[np.ndarray]] = {}
+            for d, value in zip(left["doc_id"].to_pylist(), left["text"]):
+                texts.setdefault(d, []).append(_text(value))
+            found = _verified(texts, stretches, length)
+            if found:
+                more, packed = _range_rows(*(np.array(x, np.int64) for x in zip(*sorted(found))), parts)
+                keys, payloads = keys + more, payloads + packed
         if held:
             a, doc, check, lo, place, size = (np.concatenate(x) for x in zip(*held))
             data, size = np.concatenate(bodies), size.astype(np.int64)
@@ -465,18 +525,18 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row with an id.
 
-    One lazy plan: both times that documents meet their flags or ranges they
-    come from the same shuffle, so texts move once.
+    One lazy plan: each time that documents meet their flags, stretches or
+    ranges they come from the same shuffle, so texts move once.
     """
-    spark = docs.sparkSession
-    buckets = _prime(2 * partitions(spark) + 1)
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    buckets = parts_for(source)
     anchors = source.mapInArrow(_anchor_reader(buckets, buckets, length, gram), "kind int, key long, payload binary")
     # What a task settled by itself rides along to any bucket.
     bucket = F.when(F.col("kind") == ANCHORS, F.col("key")).otherwise(F.pmod(F.xxhash64("payload"), F.lit(buckets)))
     flags = anchors.groupBy(bucket.alias("bucket")).applyInArrow(_repeat_reader(buckets), "part long, payload binary")
     parted = source.withColumn("part", F.pmod("doc_id", F.lit(buckets)).cast("long")).groupBy("part")
     met = parted.cogroup(flags.groupBy("part")).applyInArrow(_meeting(buckets, length, gram), "kind int, key long, payload binary")
-    bucket = F.when(F.col("kind") == SPANS, F.col("key")).otherwise(F.pmod(F.xxhash64("payload"), F.lit(buckets)))
-    ranges = met.groupBy(bucket.alias("bucket")).applyInArrow(_sorter(buckets, length), "part long, payload binary")
+    bucket = F.when(F.col("kind") != RANGES, F.col("key")).otherwise(F.pmod(F.xxhash64("payload"), F.lit(buckets)))
+    ranges = parted.cogroup(met.groupBy(bucket.alias("part"))).applyInArrow(_settler(buckets, length), "part long, payload binary")
     return parted.cogroup(ranges.groupBy("part")).applyInArrow(_finish, OUT)

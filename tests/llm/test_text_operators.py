@@ -322,3 +322,32 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(chain, "u long, v long"), Scratch(spark, "test")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
     assert collections.Counter(got.values())[0] == 40
+
+
+def test_suffix_dedup_verifies_what_hashes_say(docs, monkeypatch):
+    """With spans told apart by one bit of their hash, only bytes that are equal go."""
+    want = sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect()))
+    text = np.frombuffer(b"x" * 20 + bytes(range(60)) + b"y" + bytes(range(60, 120)), np.uint8)
+    other = text.copy()
+    other[30] = 0
+    begin, size = suffix_dedup._equal_stretches(text, other, 50)
+    assert list(zip(begin.tolist(), size.tolist())) == [(31, 110)]
+    head = suffix_dedup.pack(*(np.array([v], t) for v, t in zip((7, 0, 9, 0, 141, 5), suffix_dedup._STRETCH_TYPES)))
+    raw = np.int64(len(head)).tobytes() + head + suffix_dedup._squeeze(text.tobytes())
+    assert suffix_dedup._verified({7: [other]}, [raw], 50) == [(9, 31, 110, 5)]
+    assert suffix_dedup._verified({7: [text[::-1]]}, [raw], 50) == [] and suffix_dedup._verified({8: [text]}, [raw], 50) == []
+    assert any(r[2] for r in want)
+
+
+def test_parts_follow_bytes_not_partitions(spark, docs):
+    from factweave.llm.packing import parts_for
+
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        counts = set()
+        for n in (2, 96):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            counts.add(parts_for(docs))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert counts == {11}
