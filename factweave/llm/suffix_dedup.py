@@ -287,13 +287,17 @@ def sort_suffixes(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, group
 def repeated_strings(data: np.ndarray, start: np.ndarray, group: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """Which strings of ``length`` bytes also start in a smaller document of the same group."""
     out = np.zeros(len(start), dtype=bool)
-    order = np.argsort(group, kind="stable")
-    g = group[order]
-    same = g[1:] == g[:-1]
-    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    if not len(order):
+    if not len(start):
         return out
     prefix = K.prefix_hash(data)
+    # Only strings whose hash comes up again in their group can be repeated.
+    h = K.span_hash(prefix, start, start + length) ^ group
+    ordered = np.sort(h)
+    twice = ordered[:-1][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return out
+    order = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h)
+    order = order[np.argsort(group[order], kind="stable")]
     order = order[sort_suffixes(data, prefix, start[order], group[order], length)]
     at, g = start[order], group[order]
     same = (g[1:] == g[:-1]) & (common_extension(prefix, at[1:], at[:-1], length) >= length)
