@@ -1,37 +1,52 @@
 """Quality by importance resampling: a ratio of hashed n-gram models, sampled by Gumbel top-k.
 
-Two generative models count, in hashed buckets, the documents that have a
-unigram or bigram: one over target documents (labelled good), one over all.
-A document's log weight is the sum of the log ratios of its distinct n-grams.
-Only ratios that are both large and beyond chance are kept, else thousands of
-rare words would drown the few that tell: a bucket counts when its target
-count is ``min_z`` standard deviations from what the raw model expects and the
-ratio is at least ``exp(min_ratio)`` either way.  An n-gram is hashed into two
-tables and the ratio nearer to 0 counts, so a collision with a telling n-gram
-in one of them does no harm.  Documents below ``floor`` are rejected; of the
-others a sample without replacement, in proportion to the weights, is the top
-k of log weight plus Gumbel noise.
+Two generative models draw, for each hashed unigram and bigram, how often a
+document has it: one of target documents (labelled good), one of all.  Under
+Poisson rates the log weight of a document is the sum of the log ratios of
+its n-grams' rates, each as often as it occurs, less a constant of all
+documents.  Rates are estimated by documents that have the n-gram, so that a
+burst in one counts once.
+
+The target model is smoothed towards the raw one by a spike and slab: an
+n-gram's ratio is 1 but with probability ``TELLING``, and then Gamma-distributed
+with mean 1.  The log ratio is the posterior's, ``P(slab) * log((count + SHAPE)
+/ (expected + SHAPE))``: near 0 for what chance explains, full for what it
+doesn't, without a threshold, at every size of the tables.  An n-gram is hashed
+into two tables and the ratio nearer to 0 counts, so a collision with a
+telling n-gram in one of them does no harm.
+
+Documents below the floor are rejected.  The floor is calibrated on one in
+``CALIBRATION`` target documents, which the models do not see: at most
+``REJECTED_GOOD`` of them lie below it, and where they are too few to tell, it
+lies as far below the least as that is below the median.  Of the others a sample without
+replacement, in proportion to the weights, is the top k of log weight plus
+Gumbel noise.  ``accepted``, the filter, takes as many documents as lie above
+the floor, by log weight plus Gumbel noise whose scale is ``NOISE`` of the way
+from the floor to the median.
 
 Tokens are runs of letters and digits, lower-cased, and runs of punctuation.
-Two patterns are n-grams of their own whatever the words: eleven words of which
-five or more repeat the one before, and two words in capitals, so stutter and
-shouting are seen as such.
-
-Bounds: the target model is fitted on at most ``max_target`` labelled rows
-(the first by a hash of the id); the raw model counts every document.  A task
-sends its counts by bucket for either model; no document moves.
-
-Edge cases: null and empty texts have no n-grams, weight 0, and are accepted;
-without labels every weight is 0; repeated rows get equal weights and keys;
-null ids are weighted like others; an empty table gives an empty result;
-labels without a document and other columns are ignored.
+
+Bounds: the models are fitted and calibrated on at most ``max_target`` labelled
+rows (the first by a hash of the id); the raw model counts every document.  A
+task sends its counts by bucket for either model; no document moves.
+
+Edge cases: null and empty texts have no n-grams, weight 0, and are accepted
+where 0 is not below the floor; very long ones are counted whole; without
+labels every weight is 0 and nothing is rejected; repeated rows get equal
+weights and keys, and rows that tie with the k-th are selected with it; null
+ids are weighted like others; an empty table gives an empty result; labels
+without a document and other columns, also of clashing names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textkernel as K
 from .packing import VECTOR_ROWS, sum_vectors, vector_rows
@@ -40,10 +55,10 @@ from .scratch import Scratch, bound_batches
 BITS = 20
 BUCKETS = 1 << BITS
 MAX_TARGET = 50_000
-MIN_Z = 4.0
-MIN_RATIO = 1.0
-FLOOR = -1.5
-PRIOR = 1.0
+TELLING, SHAPE = 1e-3, 0.5
+CALIBRATION = 5
+REJECTED_GOOD = 0.005
+NOISE = 0.02
 #: A histogram's bins when the k-th key is searched for, and rows that may then be sorted at once.
 BINS, FEW = 4096, 10_000
 _U = np.uint64
@@ -52,13 +67,10 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MARK = ~_WORD & ~_SPACE
-_UPPER = np.zeros(256, dtype=bool)
-_UPPER[65:91] = True
-_STUTTER, _CAPITALS = _U(0x7D1CE7D1CE7D1CE5), _U(0xCA917A15CA917A15)
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each document's distinct n-grams as buckets of the two tables, and each document's first index."""
+def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's distinct n-grams as buckets of the two tables, how often each occurs, and each document's first index."""
     docs = len(offsets) - 1
     word_starts, word_ends = K.runs(_WORD[data], offsets)
     mark_starts, mark_ends = K.runs(_MARK[data], offsets)
@@ -66,28 +78,20 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], ends[order]
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(docs + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(docs + 1, np.int64)
     h = K.span_hash(K.prefix_hash(K.lower(data)), starts, ends)
     doc = np.searchsorted(offsets, starts, side="right") - 1
     pair = K.mix(h[:-1] * _U(0x9E3779B97F4A7C15) + h[1:])
     inside = doc[:-1] == doc[1:]
-    patterns, owners = [], []
-    if len(word_starts) > 1:
-        own = np.searchsorted(starts, word_starts)
-        wh, wdoc = h[own], doc[own]
-        near = wdoc[1:] == wdoc[:-1]
-        repeats = np.concatenate([[0], np.cumsum((wh[1:] == wh[:-1]) & near)])
-        capitals = np.concatenate([[0], np.cumsum(_UPPER[data])])
-        loud = (capitals[word_ends] - capitals[word_starts] == word_ends - word_starts) & (word_ends - word_starts >= 2)
-        shouted = np.flatnonzero(loud[1:] & loud[:-1] & near)
-        stutter = np.flatnonzero((repeats[10:] - repeats[:-10] >= 5) & (wdoc[10:] == wdoc[:-10])) if len(repeats) > 10 else shouted[:0]
-        patterns, owners = [np.full(len(stutter), _STUTTER), np.full(len(shouted), _CAPITALS)], [wdoc[stutter], wdoc[shouted]]
-    hashes = np.concatenate([h, pair[inside], *patterns])
-    owner = np.concatenate([doc, doc[:-1][inside], *owners]).astype(_U)
+    hashes = np.concatenate([h, pair[inside]])
+    owner = np.concatenate([doc, doc[:-1][inside]]).astype(_U)
     # 44 bits of an n-gram behind the document's number in its slice.
-    keys = np.unique((owner << _U(44)) | (hashes >> _U(20)))
+    keys = np.sort((owner << _U(44)) | (hashes >> _U(20)))
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    times = np.diff(np.append(new, len(keys)))
+    keys = keys[new]
     first = np.searchsorted(keys, np.arange(docs + 1, dtype=_U) << _U(44))
-    return (keys & _U(BUCKETS - 1)).astype(np.int64), ((keys >> _U(BITS)) & _U(BUCKETS - 1)).astype(np.int64), first
+    return (keys & _U(BUCKETS - 1)).astype(np.int64), ((keys >> _U(BITS)) & _U(BUCKETS - 1)).astype(np.int64), times, first
 
 
 def _counter(batches):
@@ -96,7 +100,7 @@ def _counter(batches):
     for batch in batches:
         for part, data, offsets in K.slices(batch):
             target = np.array(part.column(part.schema.get_field_index("target")).to_pylist(), dtype=bool)
-            one, two, first = ngrams(data, offsets)
+            one, two, _, first = ngrams(data, offsets)
             wanted = np.repeat(target, np.diff(first))
             for row, buckets in enumerate((one, two, one[wanted], two[wanted])):
                 total[row] += np.bincount(buckets, minlength=BUCKETS).astype(np.int32)
@@ -105,21 +109,27 @@ def _counter(batches):
         yield vector_rows(np.concatenate([total.reshape(-1), size]), int(total[0].sum()) & 255, 1 << 16, np.int64)
 
 
-def ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int, min_z: float = MIN_Z, min_ratio: float = MIN_RATIO) -> np.ndarray:
-    """Log ratio of each bucket, 0 where it is small or may be chance."""
-    share = raw / max(n_raw, 1)
-    expected = n_target * share
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.log((target + PRIOR * share) / ((n_target + PRIOR) * share))
-        z = (target - expected) / np.sqrt(expected)
-    return np.where((raw > 0) & (n_target > 0) & (np.abs(z) >= min_z) & (np.abs(ratio) >= min_ratio), ratio, 0.0).astype(np.float32)
+def ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int, telling: float = TELLING, shape: float = SHAPE) -> np.ndarray:
+    """Log ratio of each bucket's rates under the spike and slab."""
+    out = np.zeros(len(raw), np.float32)
+    seen = np.flatnonzero(raw > 0) if n_raw and n_target else []
+    if not len(seen):
+        return out
+    count, expected = target[seen].astype(np.float64), raw[seen] * (n_target / n_raw)
+    values, place = np.unique(count, return_inverse=True)
+    rising = np.array([math.lgamma(v + shape) - math.lgamma(shape) for v in values])[place]
+    # Log of the count's likelihood under the slab (negative binomial) over that under the spike (Poisson).
+    slab = rising + shape * np.log(shape / (shape + expected)) - count * np.log(shape + expected) + expected
+    odds = np.log(telling / (1 - telling)) + slab
+    out[seen] = np.log((count + shape) / (expected + shape)) / (1 + np.exp(-np.clip(odds, -60, 60)))
+    return out
 
 
 def _weights(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of n-grams and log weight of each document."""
-    one, two, first = ngrams(data, offsets)
+    """Number of distinct n-grams and log weight of each document."""
+    one, two, times, first = ngrams(data, offsets)
     a, b = table[0][one], table[1][two]
-    running = np.concatenate([[0.0], np.cumsum(np.where(np.abs(a) < np.abs(b), a, b).astype(np.float64))])
+    running = np.concatenate([[0.0], np.cumsum(np.where(np.abs(a) < np.abs(b), a, b).astype(np.float64) * times)])
     return np.diff(first), np.round(running[first[1:]] - running[first[:-1]], 6)
 
 
@@ -133,37 +143,68 @@ def _weigher(table: np.ndarray):
     return read
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> np.ndarray:
-    """The two tables of log ratios.  ``labels``: ``doc_id`` of target documents."""
+@dataclass
+class Model:
+    table: np.ndarray
+    floor: float
+    median: float
+
+
+def floor_of(weights: list[float], rejected: float = REJECTED_GOOD) -> tuple[float, float]:
+    """The floor, and the median, for weights of good documents that the models have not seen."""
+    if not weights:
+        return float("-inf"), 0.0
+    ordered = sorted(weights)
+    k, median = int(rejected * (len(ordered) + 1)), ordered[len(ordered) // 2]
+    # Rounded away from what a document may weigh.
+    return (ordered[k - 1] if k else 2 * ordered[0] - median) - 1e-6, median
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> Model:
+    """The two tables of log ratios, and the floor.  ``labels``: ``doc_id`` of target documents."""
     bound_batches(docs.sparkSession)
     chosen = labels.select(F.col("doc_id").cast("long").alias("_target")).where("_target is not null").distinct().orderBy(F.xxhash64("_target"), "_target").limit(max_target)
+    apart = F.pmod(F.xxhash64(F.lit(2), "_target"), F.lit(CALIBRATION)) == 0
     # At most max_target ids of 8 bytes.
-    flagged = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_target"), "left")
+    source = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    flagged = source.join(F.broadcast(chosen.where(~apart)), F.col("doc_id") == F.col("_target"), "left")
     total = sum_vectors(flagged.select("text", F.col("_target").isNotNull().alias("target")).mapInArrow(_counter, VECTOR_ROWS))
     if not len(total):
-        return np.zeros((2, BUCKETS), np.float32)
+        return Model(np.zeros((2, BUCKETS), np.float32), float("-inf"), 0.0)
     counts, (n_raw, n_target) = total[:-2].reshape(4, BUCKETS), total[-2:]
-    return np.stack([ratios(counts[i], counts[2 + i], int(n_raw), int(n_target)) for i in range(2)])
+    table = np.stack([ratios(counts[i], counts[2 + i], int(n_raw), int(n_target)) for i in range(2)])
+    held = source.join(F.broadcast(chosen.where(apart)), F.col("doc_id") == F.col("_target")).select("doc_id", "text")
+    # One weight for each of the at most max_target ids.
+    weights = held.mapInArrow(_weigher(table), "doc_id long, n_ngrams long, log_weight double").groupBy("doc_id").agg(F.min("log_weight").alias("w")).collect()
+    return Model(table, *floor_of([r.w for r in weights] if n_target else []))
 
 
-def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: float = FLOOR, max_target: int = MAX_TARGET) -> DataFrame:
+def weigh(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_ngrams, log_weight, accepted)`` for every row."""
-    table = fit(docs, labels, id_col, text_col, max_target)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = source.mapInArrow(_weigher(table), "doc_id long, n_ngrams long, log_weight double")
-    return found.withColumn("accepted", F.col("log_weight") >= floor)
+    found = source.mapInArrow(_weigher(model.table), "doc_id long, n_ngrams long, log_weight double")
+    return found.withColumn("accepted", F.col("log_weight") >= F.lit(model.floor))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: float = FLOOR, max_target: int = MAX_TARGET) -> DataFrame:
-    """The rows, with all their columns, whose log weight is not below ``floor``; one pass to fit and one to filter."""
-    table = fit(docs, labels, id_col, text_col, max_target)
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET, seed: int = 1) -> DataFrame:
+    """The rows, with all their columns, that a Gumbel top-k takes, k being how many lie above the floor."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    model = fit(docs, labels, id_col, text_col, max_target)
+    weight = next(name for name in (f"_weight{i}" for i in range(len(docs.columns) + 1)) if name not in {c.lower() for c in docs.columns})
 
-    def keep(batches):
+    def add(batches):
         for batch in batches:
             for part, data, offsets in K.slices(batch, text_col):
-                yield part.filter(pa.array(_weights(table, data, offsets)[1] >= floor))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_weights(model.table, data, offsets)[1])], names=[*part.schema.names, weight])
 
-    return docs.mapInArrow(keep, docs.schema)
+    weighed = docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(weight, DoubleType())]))
+    scale = NOISE * (model.median - model.floor) if model.floor > float("-inf") else 0.0
+    noise = scale * gumbel(F.struct(F.col(id_col), F.xxhash64(F.col(text_col))), seed)
+    held = scratch.save(weighed, "weighed")
+    k = held.where(F.col(weight) >= model.floor).count()
+    keyed = held.select(*(F.col(f"`{c}`") for c in docs.columns), (F.col(weight) + noise).alias(weight))
+    least = kth_largest(keyed.select(F.col(weight).alias("key")), k)
+    return keyed.where(F.col(weight) >= F.lit(least if least is not None else float("inf"))).drop(weight)
 
 
 def gumbel(id_column: Column, seed: int) -> Column:
@@ -193,10 +234,11 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
     return rows[0]
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", floor: float = FLOOR, max_target: int = MAX_TARGET) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> DataFrame:
     """``weigh`` with ``key`` and ``selected``: the top ``share`` of the accepted rows by log weight plus Gumbel noise."""
     scratch = Scratch(docs.sparkSession, "resampling")
-    keyed = scratch.save(weigh(docs, labels, id_col, text_col, floor, max_target).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "keyed")
-    accepted = keyed.where("accepted").select("key")
-    least = kth_largest(accepted, int(accepted.count() * share))
+    weighed = weigh(docs, fit(docs, labels, id_col, text_col, max_target), id_col, text_col)
+    keyed = scratch.save(weighed.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "keyed")
+    taken = keyed.where("accepted").select("key")
+    least = kth_largest(taken, int(taken.count() * share))
     return keyed.withColumn("selected", F.col("accepted") & (F.col("key") >= F.lit(least if least is not None else float("inf"))))

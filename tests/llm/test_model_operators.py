@@ -75,6 +75,64 @@ def test_classifier_drops_the_telling_documents(spark):
     assert kept.count() == len(accepted) and "accepted" in kept.columns
 
 
+def test_importance_weights_equal_brute_force(docs):
+    """Every weight from plain counts of n-grams, hashed as the operator hashes them."""
+    from factweave.llm import textkernel as K
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    good = {d for d, _ in rows if d is not None and d % 2 == 0}
+    spark = docs.sparkSession
+    model = resampling.fit(docs, spark.createDataFrame([(d,) for d in sorted(good)], "doc_id long"))
+    apart = {r.doc_id for r in spark.createDataFrame([(d,) for d in good], "doc_id long").where(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(resampling.CALIBRATION)) == 0).collect()}
+    word = lambda w: int(K.span_hash(K.prefix_hash(w), np.array([0]), np.array([len(w)]))[0])
+    pair = lambda a, b: int(K.mix(np.array([a], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b))[0])
+    grams = []
+    for _, t in rows:
+        low = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())
+        h = [word(np.frombuffer(m, np.uint8)) for m in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\t-\r ]+", low)]
+        grams.append(collections.Counter(x >> 20 for x in [*h, *map(pair, h[:-1], h[1:])]))
+    ratio = []
+    for shift in (0, resampling.BITS):
+        bucket = lambda g: (g >> shift) & (resampling.BUCKETS - 1)  # noqa: B023, E731
+        count = lambda keep: collections.Counter(bucket(g) for (d, _), c in zip(rows, grams) if keep(d) for g in c)  # noqa: B023, E731
+        target = lambda d: d in good and d not in apart
+        raw, own, share = count(lambda d: True), count(target), sum(target(d) for d, _ in rows) / len(rows)
+        a, tell, out = resampling.SHAPE, resampling.TELLING, {}
+        for b, n in raw.items():
+            c, e = own[b], n * share
+            slab = math.exp(math.lgamma(c + a) - math.lgamma(a) - math.lgamma(c + 1)) * (a / (a + e)) ** a * (e / (a + e)) ** c
+            spike = math.exp(-e) * e**c / math.factorial(c)
+            out[b] = tell * slab / (tell * slab + (1 - tell) * spike) * math.log((c + a) / (e + a))
+        ratio.append((bucket, out))
+    want = [sum(n * min((ratio[0][1][g & (resampling.BUCKETS - 1)], ratio[1][1][(g >> resampling.BITS) & (resampling.BUCKETS - 1)]), key=abs) for g, n in c.items()) for c in grams]
+    got = resampling.weigh(docs, model).collect()
+    assert len(got) == len(rows) and sum(abs(w) > 0.001 for w in want) > 40
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    mine, theirs = sorted(((r.doc_id, r.log_weight) for r in got), key=key), sorted(((d, w) for (d, _), w in zip(rows, want)), key=key)
+    assert all(a == b and math.isclose(x, y, abs_tol=2e-4, rel_tol=1e-4) for (a, x), (b, y) in zip(mine, theirs))
+    assert all(r.accepted == (r.log_weight >= model.floor) for r in got)
+
+
+def test_floor_of_good_weights():
+    assert resampling.floor_of([]) == (float("-inf"), 0.0)
+    assert resampling.floor_of([1.0, 2.0, 4.0])[0] == pytest.approx(0.0, abs=1e-5)
+    many = [float(i) for i in range(1000)]
+    assert resampling.floor_of(many)[0] == pytest.approx(4.0, abs=1e-5) and resampling.floor_of(many[::-1])[1] == 500.0
+
+
+def test_classifier_weighs_small_tables(spark, empty):
+    """Two hundred documents are enough for weights that tell, and nothing switches off."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choice(words, 50)) + (" foul foul foul" if i % 4 == 0 else "")) for i in range(200)]
+    docs, good = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(200) if i % 4], "doc_id long")
+    weights = {r.doc_id: r.log_weight for r in resampling.resample(docs, good).collect()}
+    assert max(w for d, w in weights.items() if d % 4 == 0) < min(w for d, w in weights.items() if d % 4)
+    assert {r.doc_id for r in resampling.accepted(docs, good).collect()} == {d for d in weights if d % 4}
+    assert resampling.resample(empty, good).count() == 0 and resampling.accepted(empty, good).count() == 0
+    assert resampling.accepted(docs, good.limit(0)).count() == 200
+
+
 def test_kth_largest(spark, monkeypatch):
     monkeypatch.setattr(resampling, "FEW", 5)
     monkeypatch.setattr(resampling, "BINS", 4)
