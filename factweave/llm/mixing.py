@@ -1,11 +1,20 @@
 """Mixing sources to target weights by entropy balancing, with DataFrame operations only.
 
-Document rates (expected copies) stay as close as they can, in word-weighted
-relative entropy, to one copy each while every source's words add up to its
-target.  The convex dual has one multiplier for each source; its Newton steps
-need only a gradient and a curvature for each source, both sums over documents
-that are pre-aggregated to one row for each source and tilt value.  The
-solution is an exponential tilt, ``rate = exp(multiplier * tilt)``.
+Document rates (expected copies) stay as close as they can, in relative
+entropy, to one copy each while every source's words add up to its target and
+no rate exceeds ``cap``.  A document's entropy counts ``size / tilt`` times,
+its tilt being ``STEPS`` + floor(``STEPS`` * log2(size)); so by the dual the
+rate is an exponential tilt, ``least(cap, exp(multiplier * tilt))``: a source
+that has to grow repeats its long documents rather than its short ones, and
+one that has to shrink keeps the short ones.
+
+The convex dual has one multiplier for each source.  Its gradient (words taken
+less target) and curvature are sums over the source's documents.  Documents of
+one source and tilt share a rate, so they are pre-aggregated to a row each, at
+most ``STEPS`` for every doubling of the size however many documents there
+are; a source's rows are one list of bounded length, and all its Newton steps
+run in one expression, each kept inside the bracket of the root.  Steps start
+with the whole bracket and halve it where Newton leaves it, so they converge.
 
 Rates become copies by systematic rounding inside small hash buckets of a
 source (so a source with a third of all rows is many windows, none large).
@@ -14,8 +23,10 @@ partial copies, so each source meets its target to within half a word for
 every thousand documents, and nothing is taken more than ``cap`` times.
 
 Edge cases: a null text has no words, a null source is a source of its own
-(last in order), empty texts are taken zero times, repeated rows are mixed
-like others, an empty table gives an empty result, other columns are ignored.
+(last in order), empty texts are taken zero times, very long ones are counted
+whole, ties in size are broken by a digest of the id, repeated rows are mixed
+like others, an empty table gives an empty result, other columns, also of
+clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +38,12 @@ from .scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUCKET_ROWS = 1024
-MAX_STEPS = 100
+#: Tilts for every doubling of a size.
+STEPS = 8
+#: Newton steps; with brackets halved in between, more than doubles can tell apart.
+NEWTON_STEPS = 60
+#: Rates are counted in these.
+UNIT = 1_000_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -55,24 +71,42 @@ def capped_targets(sources: DataFrame, share: float, cap: float, weights: tuple[
     return final.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def entropy_balance(mass: DataFrame, targets: DataFrame, cap: float, scratch: Scratch, tolerance: float = 1e-12) -> DataFrame:
-    """Multipliers by Newton's method: ``mass(source, tilt, words)`` and ``targets(source, target)`` -> ``(source, multiplier)``.
+def tilt_of(size: Column) -> Column:
+    """Steps of the logarithm of a size; 0 for no words."""
+    return F.when(size > 0, STEPS + F.floor(STEPS * F.log2(size) + 1e-9)).otherwise(0).cast("long")
 
-    Started at the multiplier of the cap, above the root, where the dual's
-    gradient is convex and increasing: the steps fall to the root and never
-    overshoot.  A source without words or with target 0 has a null multiplier.
+
+def multiplier(mass: str, target: str, cap: float) -> Column:
+    """The root of the dual's gradient for ``mass``, an array of ``(tilt, words)``; null where no finite one is needed (target at or above the cap) or possible (target 0).
+
+    State of a step: bracket and place.  The gradient grows with the multiplier;
+    below a tilt of 1 step nothing lies, so the bracket's ends are safe.
+    """
+    taken = f"aggregate({mass}, 0D, (a, m) -> a + m.words * least({cap}D, exp(s.at * m.tilt)))"
+    slope = f"aggregate({mass}, 0D, (a, m) -> a + if(exp(s.at * m.tilt) < {cap}D, m.words * m.tilt * exp(s.at * m.tilt), 0D))"
+    low, high = "if(s.g < 0D, s.at, s.low)", "if(s.g < 0D, s.high, s.at)"
+    newton = "s.at - s.g / s.c"
+    start = f"named_struct('low', -50D, 'high', ln({cap}D) / {STEPS}, 'at', 0D)"
+    step = (
+        f"aggregate(array(named_struct('low', s.low, 'high', s.high, 'at', s.at, 'g', {taken} - {target}, 'c', {slope})), s, (z, s) -> "
+        f"named_struct('low', {low}, 'high', {high}, 'at', if(s.g = 0D, s.at, if(s.c > 0D and {newton} > {low} and {newton} < {high}, {newton}, ({low} + {high}) / 2))))"
+    )
+    solved = f"aggregate(sequence(1, {NEWTON_STEPS}), {start}, (s, i) -> {step}, s -> s.at)"
+    whole = f"aggregate({mass}, 0D, (a, m) -> a + m.words) * {cap}D"
+    return F.expr(f"case when {target} > 0D and {target} < {whole} then {solved} end")
+
+
+def entropy_balance(mass: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
+    """``mass(source, tilt, words)`` and ``targets(source, target)`` -> ``(source, tilt, rate)``, rates in billionths.
+
+    A source whose target is at the cap has the cap as its rate; one with target 0 has 0.
     """
-    held = scratch.save(targets.select("source", "target", F.when(F.col("target") > 0, F.log(F.lit(cap)).cast("double")).alias("multiplier")), "newton0")
-    for n in range(1, MAX_STEPS + 1):
-        at = mass.alias("m").join(held.alias("h"), F.expr("m.source <=> h.source"))
-        grown = F.expr("m.words * exp(h.multiplier * m.tilt)")
-        sums = at.groupBy("h.source", "h.target", "h.multiplier").agg(F.sum(grown * F.col("m.tilt")).alias("g"), F.sum(grown * F.col("m.tilt") * F.col("m.tilt")).alias("c"))
-        after = sums.select("source", "target", (F.col("multiplier") - F.try_divide(F.col("g") - F.col("target"), F.col("c"))).alias("multiplier"), F.abs(F.try_divide(F.col("g") - F.col("target"), F.col("target"))).alias("off"))
-        held = scratch.save(after, f"newton{n}")
-        scratch.drop(f"newton{n - 1}")
-        if (held.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
-            break
-    return held.select("source", "multiplier")
+    lists = mass.where("tilt > 0").groupBy("source").agg(F.sort_array(F.collect_list(F.struct(F.col("tilt").cast("double").alias("tilt"), F.col("words").cast("double").alias("words")))).alias("mass"))
+    held = lists.alias("m").join(targets.alias("t"), F.expr("m.source <=> t.source")).select("t.source", "t.target", "m.mass")
+    solved = held.withColumn("multiplier", multiplier("mass", "target", cap))
+    each = solved.select("source", "target", "multiplier", F.explode("mass.tilt").alias("tilt"))
+    rate = F.when(F.col("multiplier").isNotNull(), F.least(F.lit(cap), F.exp(F.col("multiplier") * F.col("tilt")))).when(F.col("target") > 0, F.lit(cap)).otherwise(0.0)
+    return each.select("source", F.col("tilt").cast("long").alias("tilt"), F.round(rate * UNIT).cast("long").alias("rate"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -82,36 +116,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     sized = scratch.save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sized")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    sized = sized.withColumn("tilt", tilt_of(F.col("size")))
+    mass = scratch.save(sized.groupBy("source", "tilt").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mass")
+    sources = mass.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_docs"))
     targets = scratch.save(capped_targets(sources.select("source", "source_size"), share, cap, weights), "targets")
-    mass = targets.select("source", F.lit(1.0).alias("tilt"), F.col("source_size").cast("double").alias("words"))
-    solved = entropy_balance(mass, targets, cap, scratch)
-    rates = solved.alias("l").join(targets.alias("t"), F.expr("l.source <=> t.source")).join(sources.alias("n"), F.expr("n.source <=> t.source")).select("t.source", "t.source_size", "t.target", F.coalesce(F.round(F.exp("l.multiplier"), 9), F.lit(0.0)).alias("rate"), F.ceil(F.col("n.n_docs") / BUCKET_ROWS).alias("buckets"))
-    rates = scratch.save(rates, "rates")
+    rates = mass.select("source", "tilt").alias("m").join(entropy_balance(mass, targets, cap).alias("e"), F.expr("m.source <=> e.source and m.tilt = e.tilt"), "left").select("m.source", "m.tilt", F.coalesce("e.rate", F.lit(0).cast("long")).alias("rate"))
+    rates = rates.alias("r").join(targets.alias("t"), F.expr("r.source <=> t.source")).join(sources.alias("n"), F.expr("n.source <=> r.source"))
+    rates = scratch.save(rates.select("r.source", "r.tilt", "t.source_size", "t.target", "r.rate", F.ceil(F.col("n.n_docs") / BUCKET_ROWS).alias("buckets")), "rates")
     scratch.keep("sized", "rates")
 
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     bucket = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % F.col("buckets")
-    placed = sized.alias("d").join(rates.alias("r"), F.expr("d.source <=> r.source")).select("d.doc_id", "d.source", "d.size", "r.source_size", "r.target", "r.rate", "r.buckets", digest.alias("digest")).withColumn("bucket", bucket)
+    placed = sized.alias("d").join(rates.alias("r"), F.expr("d.source <=> r.source and d.tilt = r.tilt")).select("d.doc_id", "d.source", "d.size", "r.source_size", "r.target", "r.rate", "r.buckets", digest.alias("digest")).withColumn("bucket", bucket)
     part = Window.partitionBy("source", "bucket")
     order = part.orderBy(F.desc("size"), "digest", "doc_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    at = F.row_number().over(order)
-    whole = placed.withColumn("copies", (F.floor(F.col("rate") * at + 0.5) - F.floor(F.col("rate") * (at - 1) + 0.5)).cast("long"))
+    # Running sums of the rates, in whole billionths: a document gets a copy for each half unit that its share passes.
+    upto, past = F.sum("rate").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.coalesce(F.sum("rate").over(before), F.lit(0))
+    passed = lambda x: F.floor((x + UNIT // 2) / F.lit(UNIT)).cast("long")
+    whole = placed.withColumn("copies", passed(upto) - passed(past))
     whole = whole.withColumn("whole", F.col("copies") * F.col("size")).withColumn("room", (F.lit(cap) * F.col("size")).cast("long") - F.col("whole"))
-    owed = whole.withColumn("owed", F.round(F.col("rate") * F.sum("size").over(part)).cast("long") - F.sum("whole").over(part))
+    owed = whole.withColumn("owed", F.expr(f"cast((sum(rate * size) over (partition by source, bucket) + {UNIT // 2}) div {UNIT} as long)") - F.sum("whole").over(part))
     owed = owed.withColumn("room_before", F.coalesce(F.sum("room").over(before), F.lit(0))).withColumn("whole_before", F.coalesce(F.sum("whole").over(before), F.lit(0)))
     nothing = F.lit(0).cast("long")
     more = F.greatest(nothing, F.least("room", F.col("owed") - F.col("room_before")))
     less = F.greatest(nothing, F.least("whole", -F.col("owed") - F.col("whole_before")))
     taken = F.col("whole") + more - less
-    return owed.select("doc_id", "source", "size", "source_size", "target", "rate", F.coalesce(F.try_divide(taken, F.col("size")).cast("long"), nothing).alias("copies"), taken.alias("taken"))
+    return owed.select("doc_id", "source", "size", "source_size", "target", (F.col("rate") / UNIT).alias("rate"), F.coalesce(F.try_divide(taken, F.col("size")).cast("long"), nothing).alias("copies"), taken.alias("taken"))
 
 
-#: The same rows in DuckDB's SQL, with the closed form of the dual's solution.
+#: The same rows in DuckDB's SQL: the root of the dual by bisection.
 ORACLE_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM {documents}
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, size, CASE WHEN size > 0 THEN 8 + CAST(floor(8 * log2(size) + 1e-9) AS BIGINT) ELSE 0 END AS tilt
+  FROM (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM {documents})
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM sized GROUP BY source
 ), weighted AS (
@@ -123,19 +161,33 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, n_docs, least(2.0::DOUBLE * source_size, coalesce(max(CASE WHEN level * weight <= 2.0::DOUBLE * source_size THEN level END) OVER () * weight, 2.0::DOUBLE * source_size)) AS target
   FROM levels
+), mass AS (
+  SELECT source, list({{'tilt': tilt::DOUBLE, 'words': words::DOUBLE}} ORDER BY tilt) AS mass
+  FROM (SELECT source, tilt, sum(size) AS words FROM sized WHERE size > 0 GROUP BY source, tilt) GROUP BY source
+), steps AS (
+  SELECT t.source, t.target, m.mass, -50.0::DOUBLE AS low, ln(2.0::DOUBLE) / 8 AS high, 0 AS n
+  FROM targets t JOIN mass m ON t.source IS NOT DISTINCT FROM m.source WHERE t.target > 0 AND t.target < 2.0::DOUBLE * t.source_size
+  UNION ALL
+  SELECT source, target, mass, CASE WHEN taken < target THEN middle ELSE low END, CASE WHEN taken < target THEN high ELSE middle END, n + 1
+  FROM (SELECT *, (low + high) / 2 AS middle, list_sum(list_transform(mass, lambda x: x.words * least(2.0::DOUBLE, exp((low + high) / 2 * x.tilt)))) AS taken FROM steps WHERE n < 80)
+), solved AS (
+  SELECT source, (low + high) / 2 AS multiplier FROM steps WHERE n = 80
 ), rates AS (
-  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE round(target / source_size, 9) END AS rate, CAST(ceil(n_docs / 1024.0) AS BIGINT) AS buckets FROM targets
+  SELECT t.*, CAST(ceil(n_docs / 1024.0) AS BIGINT) AS buckets, multiplier FROM targets t LEFT JOIN solved s ON t.source IS NOT DISTINCT FROM s.source
 ), placed AS (
-  SELECT d.doc_id, d.source, d.size, r.source_size, r.target, r.rate, md5(CAST(d.doc_id AS VARCHAR)) AS digest,
+  SELECT d.doc_id, d.source, d.size, r.source_size, r.target, md5(CAST(d.doc_id AS VARCHAR)) AS digest,
+         CASE WHEN size = 0 OR target = 0 THEN 0 WHEN multiplier IS NULL THEN 2000000000 ELSE CAST(round(least(2.0::DOUBLE, exp(multiplier * tilt)) * 1000000000) AS BIGINT) END AS rate,
          CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) % r.buckets AS bucket
   FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
-), numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY source, bucket ORDER BY size DESC, digest, doc_id) AS nth FROM placed
+), summed AS (
+  SELECT *, CAST(sum(rate) OVER (PARTITION BY source, bucket ORDER BY size DESC, digest, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto,
+         row_number() OVER (PARTITION BY source, bucket ORDER BY size DESC, digest, doc_id) AS nth
+  FROM placed
 ), wholes AS (
-  SELECT *, CAST(floor(rate * nth + 0.5) - floor(rate * (nth - 1) + 0.5) AS BIGINT) * size AS whole FROM numbered
+  SELECT *, ((upto + 500000000) // 1000000000 - (upto - rate + 500000000) // 1000000000) * size AS whole FROM summed
 ), owed AS (
   SELECT *, 2 * size - whole AS room,
-         CAST(round(rate * sum(size) OVER (PARTITION BY source, bucket)) AS BIGINT) - sum(whole) OVER (PARTITION BY source, bucket) AS owed,
+         CAST((sum(rate * size) OVER (PARTITION BY source, bucket) + 500000000) // 1000000000 AS BIGINT) - CAST(sum(whole) OVER (PARTITION BY source, bucket) AS BIGINT) AS owed,
          coalesce(sum(2 * size - whole) OVER before, 0) AS room_before, coalesce(sum(whole) OVER before, 0) AS whole_before
   FROM wholes
   WINDOW before AS (PARTITION BY source, bucket ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)

@@ -40,14 +40,25 @@ def test_mixing_meets_targets(docs):
 
 
 def test_newton_solves_the_dual_of_uneven_tilts(spark):
-    from factweave.llm.scratch import Scratch
-
-    mass = spark.createDataFrame([("a", 0.5, 100.0), ("a", 1.5, 50.0), (None, 1.0, 10.0)], "source string, tilt double, words double")
-    targets = spark.createDataFrame([("a", 60.0), (None, 15.0), ("b", 0.0)], "source string, target double")
-    # The cap bounds the root for tilts of 1; here 2 lies above the root too.
-    got = {r.source: r.multiplier for r in mixing.entropy_balance(mass, targets, 2.0, Scratch(spark, "t")).collect()}
-    assert math.isclose(0.5 * 100 * math.exp(0.5 * got["a"]) + 1.5 * 50 * math.exp(1.5 * got["a"]), 60, rel_tol=1e-9)
-    assert math.isclose(got[None], math.log(1.5), rel_tol=1e-9)
+    mass = {"a": [(8, 100.0), (24, 50.0), (90, 400.0)], "b": [(8, 10.0), (70, 30.0)], None: [(16, 10.0)], "c": [(9, 4.0)], "d": [(9, 4.0)]}
+    target = {"a": 160.0, "b": 75.0, None: 15.0, "c": 8.0, "d": 0.0}
+    rows = [(s, t, w) for s, own in mass.items() for t, w in own]
+    got = mixing.entropy_balance(spark.createDataFrame(rows, "source string, tilt long, words double"), spark.createDataFrame(list(target.items()), "source string, target double"), 2.0).collect()
+    rate = {(r.source, r.tilt): r.rate / mixing.UNIT for r in got}
+    for s, own in mass.items():
+        assert math.isclose(sum(w * rate[s, t] for t, w in own), target[s], rel_tol=1e-7, abs_tol=1e-7)
+        inner = {math.log(rate[s, t]) / t for t, _ in own if 0 < rate[s, t] < 2 - 1e-6}  # one multiplier for all that are not at the cap
+        assert not inner or max(inner) - min(inner) < 1e-8
+    assert rate["c", 9] == 2 and rate["d", 9] == 0 and rate["a", 90] < rate["a", 8] < 1 < rate["b", 8] < rate["b", 70]
+
+
+def test_mixing_tilts_documents_by_size(docs, empty):
+    rates = {}
+    for r in mixing.mix(docs).collect():
+        rates.setdefault(r.source, {}).setdefault(r["size"], set()).add(r.rate)
+    assert all(len(x) == 1 for own in rates.values() for x in own.values())
+    assert any(len({next(iter(x)) for x in own.values()}) > 3 for own in rates.values())
+    assert mixing.mix(empty).count() == 0
 
 
 def test_classifier_drops_the_telling_documents(spark):
