@@ -7,21 +7,29 @@ apart), and inside those a word has its smoothed share of the class.  The next
 class is scored by a context vector, the sum of one embedding for each of the
 two classes before, against an output embedding and bias.
 
-Training sees every training token: tasks run noise-contrastive steps in numpy
-from one start, with batched matrix products, and their parameters are
-averaged by tokens.  Noise comes from the exact class frequencies.  Scoring is
-normalised: one matrix product gives the normaliser of every context.
+Training sees every training token.  Documents are dealt by a hash of id and
+text into parts of about ``PART_BYTES`` of text; a part, in the order of ids
+and texts and with its number as seed, takes noise-contrastive steps in numpy
+from one start, with batched matrix products, and the parts' parameters are
+averaged by tokens, in integers.  So the model is a function of the rows, not
+of files, partitions or the order of tasks.  Noise comes from the exact class
+frequencies.  Scoring is normalised: one matrix product gives the normaliser of
+every context.
 
 Scale: word counts are exact; tasks send packed distinct words to hash
-buckets.  To score, a part of the documents asks the buckets for the counts of
-its distinct words and gets them back in the order it asked, so what moves is
-the texts once and a few bytes for each distinct word of a part.  What reaches
-the driver are totals, the ``top`` tokens and the parameters.
-
-Edge cases: null and empty texts have one token, the end; a corpus without
-training documents scores with empty counts; repeated rows count as often as
-they occur; a null id counts as the empty text in the split; an empty table
-gives an empty result; other columns are ignored.
+buckets.  To score, a part asks the buckets for the counts of its distinct
+words and gets them back in the order it asked, so what moves is the texts,
+once to train and once to score, and a few bytes for each distinct word of a
+part.  What reaches the driver are totals, the ``top`` tokens and the
+parameters; broadcast are the parameters and the normalisers, (top + REST + 2)
+squared numbers of 4 bytes, 18 MB.
+
+Edge cases: null and empty texts have one token, the end; very long ones are
+scored whole, and a text longer than a part is one; a corpus without training
+documents scores with empty counts; words that tie in count are ranked by
+hash; repeated rows count as often as they occur; a null id counts as the
+empty text in the split; an empty table gives an empty result; other columns,
+also of clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,16 +42,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkernel as K
-from .packing import VECTOR_ROWS, by_value, pack, prime, sum_vectors, unpack, vector_rows
-from .scratch import Scratch, partitions
+from .packing import VECTOR_ROWS, by_value, pack, parts_for, prime, sum_vectors, unpack, vector_rows
+from .scratch import Scratch
 
-TOP = 511
+TOP = 2047
 REST = 64
 DIM = 32
 NOISE = 32
 BATCH = 2048
 RATE = 0.15
 FLUSH = 1 << 22
+#: Parameters are averaged as integers of this fraction.
+FRACTION = 1 << 16
+#: Tokens that count one in the average.
+GRAIN = 1 << 10
 END_HASH = np.uint64(0x5EED0E2D0C5A11ED)
 _U = np.uint64
 
@@ -220,28 +232,39 @@ class Trainer:
         self.tokens += len(target)
 
 
+def _texts(table: pa.Table):
+    """The rows of a part, in the order of ids and texts."""
+    for batch in table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks().to_batches():
+        yield from K.slices(batch)
+
+
 def _trainer(theta: np.ndarray, words: Vocabulary, split):
     noise = (words.class_n + 1) / (words.class_n + 1).sum()
 
-    def train(batches):
-        trainer = None
-        for batch in batches:
-            batch = batch.filter(pa.array([not split(d) for d in batch.column(0).to_pylist()], pa.bool_()))
-            for part, data, offsets in K.slices(batch):
-                if trainer is None:  # a fixed seed for a fixed part of the input
-                    trainer = Trainer(theta, noise, seed=zlib.crc32(data[:4096]))
-                h, rest, first = read_words(data, offsets)
-                target, one, two, _ = sequence(words.class_of(h, rest), first, words.classes)
-                order = trainer.rng.permutation(-(-len(target) // BATCH))
-                for k in order:
-                    i = slice(k * BATCH, (k + 1) * BATCH)
-                    trainer.step(target[i], one[i], two[i])
-        if trainer is not None:
-            yield vector_rows(np.append(trainer.theta.astype(np.float64) * trainer.tokens, trainer.tokens), zlib.crc32(trainer.theta.tobytes()) & 255)
+    def train(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        trainer = Trainer(theta, noise, seed=part)
+        for batch, data, offsets in _texts(table.filter(pa.array([not split(d) for d in table["doc_id"].to_pylist()], pa.bool_()))):
+            h, rest, first = read_words(data, offsets)
+            target, one, two, _ = sequence(words.class_of(h, rest), first, words.classes)
+            for k in trainer.rng.permutation(-(-len(target) // BATCH)):
+                i = slice(k * BATCH, (k + 1) * BATCH)
+                trainer.step(target[i], one[i], two[i])
+        weight = -(-trainer.tokens // GRAIN)
+        held = np.append(np.round(trainer.theta.astype(np.float64) * FRACTION).astype(np.int64) * weight, weight)
+        return pa.Table.from_batches([vector_rows(held, part & 255)])
 
     return train
 
 
+@dataclass
+class Model:
+    """What scoring needs; of bounded size."""
+
+    words: Vocabulary
+    theta: np.ndarray
+
+
 def log_probabilities(theta: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(by class before, by class before that, normaliser of every context), natural logarithms, biases in the first."""
     first, second, out, bias = (x.astype(np.float64) for x in tables(theta, n_classes))
@@ -250,14 +273,12 @@ def log_probabilities(theta: np.ndarray, n_classes: int) -> tuple[np.ndarray, np
     return a, b, np.log(np.exp(a - top_a) @ np.exp(b - top_b).T) + top_a + top_b.T
 
 
+
 # --- scores ------------------------------------------------------------------
 
 
-def _distinct(left: pa.Table) -> np.ndarray:
-    found = []
-    for batch in left.to_batches():
-        for _, data, offsets in K.slices(batch.select(["doc_id", "text"])):
-            found.append(np.unique(read_words(data, offsets)[0]))
+def _distinct(table: pa.Table) -> np.ndarray:
+    found = [np.unique(read_words(data, offsets)[0]) for _, data, offsets in _texts(table)]
     return np.unique(np.concatenate(found)) if found else np.zeros(0, _U)
 
 
@@ -288,9 +309,12 @@ def _answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scorer(theta: np.ndarray, words: Vocabulary, buckets: int, split):
+def _scorer(model, buckets: int, split):
+    """``model``: a broadcast of the words, both tables of logarithms' factors and the normalisers."""
+
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_one, by_two, normal = log_probabilities(theta, words.classes)
+        words, theta, normal = model.value
+        first_table, second_table, out_table, bias = tables(theta, words.classes)
         h = _distinct(left)
         c = np.zeros(len(h), np.int64)
         answers = {b: unpack(p.as_py(), np.int64)[0] for b, p in zip(right["bucket"].to_pylist(), right["payload"])}
@@ -300,42 +324,57 @@ def _scorer(theta: np.ndarray, words: Vocabulary, buckets: int, split):
         share = np.log10(np.concatenate([np.ones(words.classes - REST), words.rest_n + words.rest_v + 1]))
         frequent = words.classes - REST
         out = []
-        for batch in left.to_batches():
-            for part, data, offsets in K.slices(batch.select(["doc_id", "text"])):
-                own, rest, first = read_words(data, offsets)
-                target, one, two, begin = sequence(words.class_of(own, rest), first, words.classes)
-                count = np.full(len(target), words.ends, np.int64)
-                spelt = np.ones(len(target), dtype=bool)
-                spelt[np.append(begin[1:], len(target)) - 1] = False
-                count[spelt] = c[np.searchsorted(h, own)]
-                log_count = np.log10(count + 1)
-                model = (by_one[one, target] + by_two[two, target] - normal[one, two]) / np.log(10) + np.where(target >= frequent, log_count - share[target], 0)
-                ids = part.column(0).to_pylist()
-                out.append((ids, [split(d) for d in ids], np.diff(np.append(begin, len(target))), np.add.reduceat((count > 0).astype(np.int64), begin), np.add.reduceat(log_count - whole, begin), np.add.reduceat(model, begin)))
+        for part, data, offsets in _texts(left):
+            own, rest, first = read_words(data, offsets)
+            target, one, two, begin = sequence(words.class_of(own, rest), first, words.classes)
+            count = np.full(len(target), words.ends, np.int64)
+            spelt = np.ones(len(target), dtype=bool)
+            spelt[np.append(begin[1:], len(target)) - 1] = False
+            count[spelt] = c[np.searchsorted(h, own)]
+            log_count = np.log10(count + 1)
+            logit = np.einsum("ij,ij->i", first_table[one] + second_table[two], out_table[target]) + bias[target]
+            probability = (logit.astype(np.float64) - normal[one, two]) / np.log(10) + np.where(target >= frequent, log_count - share[target], 0)
+            ids = part.column(0).to_pylist()
+            out.append((ids, [split(d) for d in ids], np.diff(np.append(begin, len(target))), np.add.reduceat((count > 0).astype(np.int64), begin), np.add.reduceat(log_count - whole, begin), np.add.reduceat(probability, begin)))
         ids, held, n, known, base, scores = ([y for x in column for y in x] for column in zip(*out)) if out else ([],) * 6
         return pa.table([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([words.tokens] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())], names=[x.split()[0] for x in OUT.split(", ")])
 
     return score
 
 
+def fit(parted: DataFrame, counts: DataFrame, split, top: int, passes: int) -> Model:
+    """``parted(part, doc_id, text)`` and its word counts -> the model."""
+    words = vocabulary(counts, top)
+    theta = start(words.classes, words.class_n)
+    for _ in range(passes):
+        summed = sum_vectors(parted.groupBy("part").applyInArrow(_trainer(theta, words, split), VECTOR_ROWS))
+        if len(summed) and summed[-1]:
+            theta = (summed[:-1] / (float(summed[-1]) * FRACTION)).astype(np.float32)
+    return Model(words, theta)
+
+
+def prepare(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", split=held_out, top: int = TOP, passes: int = 1):
+    """(documents dealt into parts, word counts by bucket, number of buckets, model)."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    parts = parts_for(source)
+    # A bucket's words, distinct in the whole corpus, are fewer than a part's text.
+    buckets = prime(max(11, parts // 8))
+    counts = source.mapInArrow(_count_reader(buckets, split), "bucket long, payload binary").groupBy("bucket").applyInArrow(_count_merger(top), COUNTS)
+    counts = scratch.save(counts, "counts")
+    parted = source.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("long"))
+    return parted, counts, buckets, fit(parted, counts, split, top, passes)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split=held_out, top: int = TOP, passes: int = 1) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row.
 
     The model and the counts learn from the rows for which ``split`` is false.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "nce")
-    buckets = prime(2 * partitions(spark) + 1)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = source.mapInArrow(_count_reader(buckets, split), "bucket long, payload binary").groupBy("bucket").applyInArrow(_count_merger(top), COUNTS)
-    counts = scratch.save(counts, "counts")
-    words = vocabulary(counts, top)
-    theta = start(words.classes, words.class_n)
-    for _ in range(passes):
-        summed = sum_vectors(source.mapInArrow(_trainer(theta, words, split), VECTOR_ROWS), np.float64)
-        if len(summed):
-            theta = (summed[:-1] / summed[-1]).astype(np.float32)
-    parted = source.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(buckets)).cast("long")).groupBy("part")
-    asked = parted.applyInArrow(_asker(buckets), "bucket long, part long, payload binary")
+    parted, counts, buckets, model = prepare(docs, Scratch(spark, "nce"), id_col, text_col, split, top, passes)
+    normal = log_probabilities(model.theta, model.words.classes)[2].astype(np.float32)
+    known = spark.sparkContext.broadcast((model.words, model.theta, normal))
+    dealt = parted.groupBy("part")
+    asked = dealt.applyInArrow(_asker(buckets), "bucket long, part long, payload binary")
     answers = asked.groupBy("bucket").cogroup(counts.select("bucket", "payload").groupBy("bucket")).applyInArrow(_answer, "part long, bucket long, payload binary")
-    return parted.cogroup(answers.groupBy("part")).applyInArrow(_scorer(theta, words, buckets, split), OUT)
+    return dealt.cogroup(answers.groupBy("part")).applyInArrow(_scorer(known, buckets, split), OUT)

@@ -180,7 +180,47 @@ def test_language_model_is_normalised():
     assert np.allclose(p.sum(axis=2), 1)
 
 
-def test_language_model_without_training_rows(spark):
+def test_language_model_does_not_depend_on_the_layout(spark, docs):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in (2, 6):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, nce_lm.score(docs.repartition(n)).collect()), key=str))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert found[0] == found[1]
+
+
+def test_language_model_scores_equal_brute_force(docs):
+    """Each token's probability from the returned parameters, normalised over every class, one token at a time."""
+    from factweave.llm.scratch import Scratch
+
+    *_, model = nce_lm.prepare(docs, Scratch(docs.sparkSession, "t"), top=60)
+    words, n = model.words, model.words.classes
+    first, second, out, bias = (x.astype(float) for x in nce_lm.tables(model.theta, n))
+    split = lambda t: WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+    rows = {(r.doc_id, r.text) for r in docs.collect() if r.text is None or len(r.text) < 4000}
+    counts = collections.Counter(w for r in docs.collect() if not nce_lm.held_out(r.doc_id) for w in split(r.text))
+    hashed = {w: nce_lm.read_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[:2] for _, t in rows for w in split(t)}
+    got = {}
+    for r in nce_lm.score(docs, top=60).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    for d, t in rows:
+        before, total = [n, n], 0.0
+        for w in [*split(t), None]:
+            c = int(words.class_of(*hashed[w])[0]) if w else 0
+            logits = (first[before[-1]] + second[before[-2]]) @ out.T + bias
+            total += (logits[c] - np.log(np.exp(logits).sum())) / np.log(10)
+            if c >= n - nce_lm.REST:  # a word has its smoothed share of its class
+                k = c - (n - nce_lm.REST)
+                total += math.log10((counts[w] + 1) / (words.rest_n[k] + words.rest_v[k] + 1))
+            before.append(c)
+        assert any(math.isclose(total, x, rel_tol=1e-5, abs_tol=1e-4) for x in got[d])
+
+
+def test_language_model_without_training_rows(spark, empty):
+    assert nce_lm.score(empty).count() == 0
     held = [i for i in range(60) if nce_lm.held_out(i)]
     rows = nce_lm.score(spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows} == {(3, 0, 0, 0.0)}
