@@ -1,23 +1,26 @@
 """Substring dedup over sliding spans of sentences.
 
-From every sentence a span runs forward, and to every sentence one runs
-backward, until it holds several sentences and enough words.  Equal spans meet
-by hash; sentences covered by any span that is not the first of its kind (by
-document id, then place) are removed.  A repeated passage of whole sentences
-with at least ``min_words`` words is so covered from end to end, wherever it
-stands, while a single common line or phrase is left alone.
+Every run of two and every run of three consecutive sentences, from each
+sentence on, is hashed; equal runs meet by hash, and sentences covered by any
+run that is not the first of its kind (by document id, then place) are
+removed.  A repeated passage of two or more whole sentences is so covered from
+end to end, wherever it stands, while a common sentence between others is left
+alone.  Runs of fewer than ``min_words`` words ("Yes.  No.") are not passages.
 
 A sentence ends at a word that ends in ``.``, ``!`` or ``?``, or at a line
-break; spans compare words without case and spacing.
-
-Scale: what moves is one packed record for each span and the texts once; a
-task merges equal spans before they move, so a passage that every document
-has is one record for each task.
-
-Edge cases: null, empty and word-free texts have no sentences; repeated rows
-(equal id and text) count as one document and get equal results; an empty
-table gives an empty result; rows without id are left out; other columns are
-ignored.
+break; runs compare words without case and spacing.
+
+Scale: what moves is one packed record for each run and the texts once; a
+task merges equal runs before they move, so a passage that every document has
+is one record for each task.  Records are dealt into as many buckets, and
+texts into as many parts, as follows from the bytes.
+
+Edge cases: null, empty and word-free texts have no sentences; very long ones
+are one row and cut whole; where documents tie (rows that share an id) the
+first by place, then by check sum, is kept; repeated rows (equal id and text)
+count as one document and get equal results; an empty table gives an empty
+result; rows without id are left out; other columns, also of clashing names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkernel as K
-from .packing import by_value, delta, pack, prime, rows as packed_rows, unpack
-from .scratch import partitions
+from .packing import by_value, delta, pack, parts_for, rows as packed_rows, unpack
+from .scratch import bound_batches
 
-MIN_WORDS = 24
-#: A single sentence counts as a span from this many words on.
-LONE_WORDS = 40
+#: Sentences of a run.
+RUNS = (2, 3)
+MIN_WORDS = 10
 FLUSH = 1 << 21
 SPANS, RANGES = 0, 1
 _U = np.uint64
@@ -61,27 +64,17 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"first": first, "last": last, "begin": starts[first], "doc": np.searchsorted(first_word, first, side="right") - 1, "running": running}
 
 
-def spans(s: dict[str, np.ndarray], min_words: int, lone_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (from sentence, to sentence inclusive) spans and their hashes."""
+def spans(s: dict[str, np.ndarray], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(from sentence, to sentence inclusive) of every run, and their hashes."""
     first, last, doc = s["first"], s["last"], s["doc"]
-    n = len(first)
-    if not n:
-        return first, first, np.zeros(0, _U)
-    k = np.arange(n)
-    enough = np.searchsorted(last, first + min_words)
-    alone = np.searchsorted(last, first + lone_words)
-    to = np.maximum(enough, np.minimum(k + 1, alone))
-    enough = np.searchsorted(first, last - min_words, side="right") - 1
-    alone = np.searchsorted(first, last - lone_words, side="right") - 1
-    since = np.minimum(enough, np.maximum(k - 1, alone))
-    ahead = to < n
-    ahead[ahead] = doc[to[ahead]] == doc[ahead]
-    back = since >= 0
-    back[back] = doc[since[back]] == doc[back]
-    pair = np.unique(np.concatenate([k[ahead] * n + to[ahead], since[back] * n + k[back]]))
-    a, b = pair // n, pair % n
+    a = np.concatenate([np.arange(max(0, len(first) - n + 1)) for n in RUNS])
+    b = a + np.repeat(RUNS, [max(0, len(first) - n + 1) for n in RUNS]) - 1
+    inside = doc[a] == doc[b]
+    a, b = a[inside], b[inside]
+    words = last[b] - first[a]
+    a, b, words = (x[words >= min_words] for x in (a, b, words))
     _, down = K.powers(len(s["running"]))
-    h = K.mix((s["running"][last[b]] - s["running"][first[a]]) * down[first[a]] + (last[b] - first[a]).astype(_U) * _U(0xD6E8FEB86659FD93))
+    h = K.mix((s["running"][last[b]] - s["running"][first[a]]) * down[first[a]] + words.astype(_U) * _U(0xD6E8FEB86659FD93))
     return a, b, h
 
 
@@ -102,7 +95,7 @@ def _late(h, doc, a, b, check):
     return order, (doc[order] != doc[first]) | (a[order] != a[first]) | (b[order] != b[first]) | (check[order] != check[first])
 
 
-def _span_reader(buckets: int, parts: int, min_words: int, lone_words: int):
+def _span_reader(buckets: int, parts: int, min_words: int):
     def flush(held):
         doc, a, b, h, check = (np.concatenate(x) for x in zip(*held))
         order, late = _late(h, doc, a, b, check)
@@ -123,7 +116,7 @@ def _span_reader(buckets: int, parts: int, min_words: int, lone_words: int):
         for batch in batches:
             for part, data, offsets in K.slices(batch):
                 s = sentences(data, offsets)
-                a, b, h = spans(s, min_words, lone_words)
+                a, b, h = spans(s, min_words)
                 doc = s["doc"]
                 first = np.searchsorted(doc, np.arange(part.num_rows))
                 crc = np.array([zlib.crc32(data[offsets[i] : offsets[i + 1]]) for i in range(part.num_rows)], np.int64)
@@ -195,12 +188,12 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[i] for r in out], pa.string() if i == 4 else pa.int64()) for i in range(5)], names=["doc_id", "n_sentences", "n_removed", "n_removed_bytes", "kept"])
 
 
-def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, n_sentences, n_removed, n_removed_bytes, kept)`` for every row with an id; ``kept`` is the text that stays."""
-    spark = docs.sparkSession
-    buckets = prime(2 * partitions(spark) + 1)
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    found = source.mapInArrow(_span_reader(buckets, buckets, min_words, lone_words), "kind int, key long, payload binary")
+    buckets = parts_for(source)
+    found = source.mapInArrow(_span_reader(buckets, buckets, min_words), "kind int, key long, payload binary")
     bucket = F.when(F.col("kind") == SPANS, F.col("key")).otherwise(F.pmod(F.xxhash64("payload"), F.lit(buckets)))
     ranges = found.groupBy(bucket.alias("bucket")).applyInArrow(_repeat_reader(buckets), "part long, payload binary")
     parted = source.withColumn("part", F.pmod("doc_id", F.lit(buckets)).cast("long")).groupBy("part")

@@ -124,12 +124,7 @@ def test_sentence_spans_equal_brute_force(docs, texts):
             if w[-1] in ".!?" or i + 1 == len(found) or "\n" in t[end : found[i + 1][2]]:
                 sentences.append(current)
                 current = []
-        sizes, pairs = [len(s) for s in sentences], set()
-        enough = lambda i, j: sum(sizes[i : j + 1]) >= 24 and (j > i or sizes[i] >= 40)
-        for k in range(len(sentences)):
-            j = next((j for j in range(k, len(sentences)) if enough(k, j)), None)
-            i = next((i for i in range(k, -1, -1) if enough(i, k)), None)
-            pairs |= ({(k, j)} if j is not None else set()) | ({(i, k)} if i is not None else set())
+        pairs = {(k, k + n - 1) for n in (2, 3) for k in range(len(sentences) - n + 1) if sum(map(len, sentences[k : k + n])) >= 10}
         spans[d, t] = len(sentences), {p: tuple(w for s in sentences[p[0] : p[1] + 1] for w in s) for p in sorted(pairs)}
         for p, key in spans[d, t][1].items():
             first[key] = min(first.get(key, (d, p)), (d, p))
@@ -141,6 +136,14 @@ def test_sentence_spans_equal_brute_force(docs, texts):
         assert gone or rows[d].kept == (t or "")
 
 
+def test_repeated_passages_of_sentences_go_from_end_to_end(spark):
+    passage = "One two three four five. Six seven eight nine ten! Eleven twelve thirteen."
+    rows = [(1, f"Own words of one. {passage} After it."), (2, f"Other start here. {passage.upper()}"), (3, "Yes. No. Yes. No."), (4, "Yes. No. Yes. No."), (5, "Six seven eight nine ten! But not the rest of it at all.")]
+    out = {r.doc_id: r for r in sentence_spans.remove_repeated_spans(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kept string")).collect()}
+    assert {d: r.n_removed for d, r in out.items()} == {1: 0, 2: 3, 3: 0, 4: 0, 5: 0}
+    assert out[2].kept == "Other start here. "
+
+
 def test_lines_keep_one_of_each_group(docs, spark):
     rows = [(1, "First line of eight words that are all kept here.\nshared LINE again\n\n"), (2, " Shared line again\nfirst line of eight words that are all kept HERE. \n\nown"), (3, None), (4, ""), (2, " Shared line again\nfirst line of eight words that are all kept HERE. \n\nown"), (None, "shared line again")]
     out = fuzzy_lines.dedup_lines(spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, _uid string")).collect()
