@@ -1,31 +1,45 @@
 """License notices found by conditional compression.
 
-Candidate blocks are the surroundings of tell-tale words.  A block is
+Candidate blocks follow from the templates alone: places where enough pairs of
+neighbouring words of one template lie within its length.  A block is
 compressed plainly and with each template as a raw zstandard dictionary; the
-template that saves most bytes explains the block best.  The best few are then
-confirmed by exact wording: the template's words are aligned with the block's,
-and what is missing, added or kept is counted.  What a confirmed notice covers
-is cut out and the rest of the block is tried again, so several notices in one
-place are all reported.
-
-Scale: one pass over the texts, nothing is shuffled; templates are a parameter
-of fixed size.
+template that saves most bytes explains the block best.  In that order they
+are confirmed by exact wording: the template's words are aligned with the
+block's, and what is missing, added or kept is counted.  What a confirmed
+notice covers is cut out and the rest of the block is tried again, so several
+notices in one place are all reported.
+
+Candidates: a notice keeps at least ``min_equal`` of its template's words in
+order and adds at most ``max_added`` of them, and a missing or added word
+breaks two pairs at most.  Blocks ask for a fifth of the pairs less three, and
+for one at least, which is the least that so many words, apart or together,
+can leave.  Only where every second word of a short template was changed no
+pair may be left.
+
+Scale: one pass over the texts, nothing is shuffled; pairs are found with
+whole-buffer operations, and only blocks, at most ``BLOCK_CHARS`` characters
+each, are compressed, so the work grows with the notices, however many stand
+in one text.  Templates are a parameter of fixed size.
 
 Edge cases: null, empty and word-free texts have no notices; a very long line
-is searched around its tell-tale words over its whole length; repeated rows
-and repeated notices are each reported; an empty table gives an empty result;
-other columns are ignored.
+or text is searched over its whole length; of templates that save as much the
+first by name is tried first; repeated rows and repeated notices are each
+reported, rows without id too; an empty table gives an empty result; other
+columns, also of clashing names, are ignored.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from . import textkernel as K
 from .scratch import bound_batches
 
 # The wordings of the notices.
@@ -42,21 +56,72 @@ TEMPLATES = {
     "mit-header": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-TELLTALES = ("licen", "copyright", "redistribut", "permission is", "creative commons", "free software")
-TRIED = 3
 MIN_EQUAL = 0.8
 MAX_ADDED = 0.2
+BLOCK_CHARS = 4096
 LEVEL = 3
 OUT = "doc_id long, begin long, end long, license string, rank int, plain_bytes long, saved_bytes long, n_words long, n_equal long, n_added long, n_missing long, exact boolean"
 _WORDS = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*", re.UNICODE)
 
 
+_TOKEN = np.zeros(256, dtype=bool)
+_TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
+
+
+def _pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every pair of neighbouring words (0 across texts), and where its first begins and its second ends."""
+    starts, ends = K.runs(_TOKEN[data], offsets)
+    h = K.span_hash(K.prefix_hash(K.lower(data)), starts, ends)
+    doc = np.searchsorted(offsets, starts, side="right")
+    pair = K.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) | np.uint64(1)
+    return np.where(doc[1:] == doc[:-1], pair, np.uint64(0)), starts[:-1], ends[1:]
+
+
 class Templates:
     def __init__(self, templates: dict[str, str]):
         self.words = {name: [w.lower() for w in _WORDS.findall(text)] for name, text in templates.items()}
-        self.reach = 2 * max(len(t) for t in templates.values())
+        self.counts = {name: Counter(words) for name, words in self.words.items()}
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.by = {name: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in templates.items()}
+        self.pairs = {}
+        for name, text in templates.items():
+            raw = np.frombuffer(text.encode(), np.uint8)
+            found = np.unique(_pairs(raw, np.array([0, len(raw)]))[0])
+            self.pairs[name] = found, len(self.words[name]), max(1, int(0.2 * len(found)) - 3)
+        self.every = np.unique(np.concatenate([p for p, _, _ in self.pairs.values()])) if templates else np.zeros(0, np.uint64)
+
+    def candidates(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Byte ranges of a slice in which a notice may lie, in order and apart from each other, each within one text."""
+        pair, begin, end = _pairs(data, offsets)
+        if not len(pair) or not len(self.every):
+            return []
+        known = np.flatnonzero(self.every[np.minimum(np.searchsorted(self.every, pair), len(self.every) - 1)] == pair)
+        found = []
+        for wanted, n, least in self.pairs.values():
+            at = known[wanted[np.minimum(np.searchsorted(wanted, pair[known]), len(wanted) - 1)] == pair[known]]
+            if len(at) < least:
+                continue
+            reach = int(1.2 * n) + 2
+            # A run of ``least`` pairs within reach makes all its places candidates.
+            first = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] <= reach)
+            near = np.unique(first[:, None] + np.arange(least)) if len(first) else first
+            low, high = np.maximum(at[near] - reach, 0), np.minimum(at[near] + reach, len(pair) - 1)
+            found += zip(begin[low].tolist(), end[high].tolist())
+        out: list[list[int]] = []
+        for b, e in sorted(found):
+            if out and b <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], e)
+            else:
+                out.append([b, e])
+        apart = []
+        for b, e in out:
+            doc = int(np.searchsorted(offsets, b, side="right")) - 1
+            while b < e:  # a place near a text's end reaches into the next
+                stop = min(e, int(offsets[doc + 1]))
+                if stop > b:
+                    apart.append((b, stop))
+                b, doc = stop, doc + 1
+        return apart
 
     def ranked(self, block: str) -> tuple[int, list[tuple[int, str]]]:
         """Plain size, and (bytes saved, template), most first."""
@@ -85,43 +150,43 @@ class Templates:
         return best
 
     def notices(self, text: str):
-        low = text.lower()
-        if len(low) != len(text):  # some letters change length; their case is kept
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        hits = sorted({m.start() for t in TELLTALES for m in re.finditer(re.escape(t), low)})
-        blocks: list[list[int]] = []
-        for h in hits:
-            begin = max(low.rfind("\n\n", 0, h) + 1, h - self.reach, 0)
-            end = low.find("\n\n", h)
-            end = min(len(low) if end < 0 else end, h + self.reach)
-            if blocks and begin <= blocks[-1][1]:
-                blocks[-1][1] = max(blocks[-1][1], end)
-            else:
-                blocks.append([begin, end])
-        todo = [(b, e) for b, e in blocks]
+        """(begin, end, template, rank, plain bytes, saved bytes, words, equal, added, missing, exact) of the notices in a candidate."""
+        low = 0
+        while low < len(text):
+            high = min(len(text), low + BLOCK_CHARS)
+            done = low
+            for row in sorted(self._within(text, low, high)):
+                # What lies behind the last notice of a block, or crosses its end, is in the next as well.
+                if high == len(text) or row[1] < high:
+                    yield row
+                    done = max(done, row[1])
+            if high == len(text):
+                return
+            low = max(done, high - BLOCK_CHARS // 2)
+
+    def _within(self, text: str, low: int, high: int):
+        todo = [(low, high)]
         while todo:
             begin, end = todo.pop()
-            if not any(begin <= h < end for h in hits):
-                continue
-            row = self._best(text, begin, end, hits)
+            row = self._best(text, begin, end)
             if row is not None:
                 yield row
                 todo += [(begin, row[0]), (row[1], end)]
 
-    def _best(self, text: str, begin: int, end: int, hits: list[int]):
-        """The first confirmed notice at a tell-tale word's line, else in the whole block."""
-        places = []
-        for h in hits:
-            if begin <= h < end:
-                line = max(begin, text.rfind("\n", begin, h) + 1), text.find("\n", h, end)
-                places.append((line[0], line[1] if line[1] >= 0 else end))
-        for b, e in dict.fromkeys([(begin, end), *places]):
-            plain, ranked = self.ranked(text[b:e])
-            for rank, (saved, name) in enumerate(ranked[:TRIED], 1):
-                wording = self.confirm(name, text[b:e]) if saved > 0 else None
-                if wording:
-                    first, last, equal, added, missing = wording
-                    return b + first, b + last, name, rank, plain, saved, len(self.words[name]), equal, added, missing, added == missing == 0
+    def _best(self, text: str, begin: int, end: int):
+        """The confirmed template that explains the block best, ranked in a place of its own length."""
+        block = text[begin:end]
+        counts = Counter(m.group().lower() for m in _WORDS.finditer(block))
+        # No alignment keeps more words than both sides have.
+        possible = [name for name, own in self.counts.items() if own and (own & counts).total() >= MIN_EQUAL * own.total()]
+        if not possible:
+            return None
+        plain, ranked = self.ranked(block)
+        for rank, (saved, name) in enumerate(ranked, 1):
+            wording = self.confirm(name, block) if saved > 0 and name in possible else None
+            if wording:
+                first, last, equal, added, missing = wording
+                return begin + first, begin + last, name, rank, plain, saved, len(self.words[name]), equal, added, missing, added == missing == 0
         return None
 
 
@@ -129,7 +194,13 @@ def _scanner(templates: dict[str, str]):
     def scan(batches):
         known = Templates(templates)
         for batch in batches:
-            rows = [(d, *row) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for row in sorted(known.notices(text))]
+            rows = []
+            for part, data, offsets in K.slices(batch):
+                ids = part.column(0).to_pylist()
+                for b, e in known.candidates(data, offsets):
+                    doc = int(np.searchsorted(offsets, b, side="right")) - 1
+                    before = len(data[offsets[doc] : b].tobytes().decode("utf-8", "replace"))
+                    rows += [(ids[doc], before + row[0], before + row[1], *row[2:]) for row in known.notices(data[b:e].tobytes().decode("utf-8", "replace"))]
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int32()] + [pa.int64()] * 6 + [pa.bool_()]
             yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], [c.split()[0] for c in OUT.split(", ")])
 

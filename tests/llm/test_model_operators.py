@@ -265,6 +265,48 @@ def test_license_scan(spark):
     assert found == [(1, "mit", True, 0), (1, "mit", True, 0), (2, "apache-2.0-header", False, 3), (6, "gpl-3.0", True, 0), (6, "mit", True, 0)]
 
 
+def test_license_scan_finds_what_all_windows_confirm(spark, docs, empty):
+    """Worded notices among prose, against the wording test at every word of every text, whatever its words."""
+    rng = np.random.default_rng(6)
+    known, prose = license_scan.Templates(license_scan.TEMPLATES), [w for r in docs.collect() for w in (r.text or "").split()[:200]]
+    rows = []
+    for i, (name, text) in enumerate(list(license_scan.TEMPLATES.items()) * 4):
+        words = text.split()
+        for _ in range(i % 4 if len(words) > 15 else i % 2):
+            at = int(rng.integers(len(words)))
+            words[at : at + 1] = [[], ["anything"], [words[at], "more"]][int(rng.integers(3))]
+        filler = lambda: " ".join(rng.choice(prose, int(rng.integers(0, 60))))
+        rows.append((i, f"{filler()} {' '.join(words)} {filler()}"))
+    rows += [(100 + i, " ".join(rng.choice(prose, 80))) for i in range(20)] + [(200, None), (201, ""), (202, "the work is under this License")]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license string")
+    found = {}
+    for r in license_scan.find_notices(frame).collect():
+        found.setdefault(r.doc_id, []).append((r.begin, r.end))
+    total = hit = 0
+    for d, t in rows:
+        starts = [m.start() for m in re.finditer(r"\S+", t or "")]
+        confirmed = set()
+        for name, words in known.words.items():
+            for k, at in enumerate(starts):
+                stop = starts[min(k + int(1.4 * len(words)) + 2, len(starts) - 1)] if k + 1 < len(starts) else len(t)
+                w = known.confirm(name, t[at : stop if stop > at else len(t)])
+                if w:
+                    confirmed.add((at + w[0], at + w[1]))
+        total += len(confirmed)
+        hit += sum(any(b < y and x < e for x, y in found.get(d, [])) for b, e in confirmed)
+        assert confirmed or d not in found
+    assert total > 40 and hit >= 0.95 * total
+    assert license_scan.find_notices(empty).count() == 0
+
+
+def test_license_scan_of_many_notices(spark):
+    line = license_scan.TEMPLATES["mit"]
+    text = "\n".join([line, "words between them"] * 400)
+    out = license_scan.find_notices(spark.createDataFrame([(1, text), (1, text), (None, line)], "doc_id long, text string")).collect()
+    assert len(out) == 801 and all(r.license == "mit" and r.exact for r in out)
+    assert {text[r.begin : r.end] for r in out if r.doc_id == 1} == {line[:-1]} and len({r.begin for r in out if r.doc_id == 1}) == 400
+
+
 @pytest.fixture(scope="module")
 def tables(spark, docs, tmp_path_factory):
     root = tmp_path_factory.mktemp("tables")
