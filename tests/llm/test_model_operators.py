@@ -250,6 +250,18 @@ def test_multi_index_is_exact(spark, monkeypatch):
     assert got == want
 
 
+def test_multi_index_takes_every_dimension(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=200 if i % 5 else 130).tolist()) for i in range(150)]
+    got = {tuple(r) for r in multi_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=5).collect()}
+    codes = {i: np.array([x > 0 for x in v] + [False] * (200 - len(v))) for i, v in rows}
+    want = set()
+    for q in (0, 50, 100):
+        near = sorted((int((codes[q] != c).sum()), i) for i, c in codes.items() if i != q)[:5]
+        want |= {(q, rank, i, d) for rank, (d, i) in enumerate(near, 1)}
+    assert got == want
+
+
 def test_multi_index_of_few_rows(spark):
     df = vectors(spark)
     assert multi_index.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
