@@ -20,8 +20,9 @@ Recall: at the threshold 0.85 a pair misses all 25 bands of 5 registers with
 probability below 1e-6.
 
 Edge cases: null, empty and word-free texts have an empty set, no links and
-are kept; repeated rows are one class; an empty table gives an empty result;
-columns other than the id and the text are ignored.
+are kept; a very long text is one set, whole; repeated rows and other equal sets
+are one class, whose smallest id stands for it; an empty table gives an empty
+result; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -64,18 +65,28 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Collision-corrected Jaccard estimates of rows of registers.
+def collision_chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How often the minima of two unrelated sets of n and m values share a register.
 
-    Two different minima share a register by chance when their leading-zero
-    counts and mantissas agree: for k values to a bucket that is about
-    2**-MANTISSA_BITS times a constant near 1/6 + 1/6 (two geometric counts
-    agree with probability 1/3, then the mantissa must agree).
+    The smallest of k uniform values lies in [2**-(z+1), 2**-z), and so has z
+    leading zeros, with probability exp(-k / 2**(z+1)) - exp(-k / 2**z); both
+    counts have to agree, and then the mantissa's bits.
     """
+    z = np.arange(63)
+    each = []
+    for size in (n, m):
+        k = np.asarray(size, np.float64)[:, None] / REGISTERS
+        filled = np.maximum(-np.expm1(-k), 1e-300)
+        each.append((np.exp(-k * 2.0 ** -(z + 1)) - np.exp(-k * 2.0**-z)) / filled)
+    return (each[0] * each[1]).sum(axis=1) * 2.0**-MANTISSA_BITS
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, m: np.ndarray | None = None) -> np.ndarray:
+    """Jaccard estimates of rows of registers, corrected for the collisions that sets of n and m values have by chance."""
     filled = (a != EMPTY) | (b != EMPTY)
     total = filled.sum(axis=1)
     share = ((a == b) & filled).sum(axis=1) / np.maximum(total, 1)
-    chance = (1 / 3) * 2.0**-MANTISSA_BITS
+    chance = collision_chance(n, m) if n is not None and m is not None else (1 / 3) * 2.0**-MANTISSA_BITS
     return np.clip((share - chance) / (1 - chance), 0, 1)
 
 
@@ -151,7 +162,7 @@ def _promising(floor: float):
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-            ok = pa.array(estimate(a, b) >= floor)
+            ok = pa.array(estimate(a, b, *(batch.column(c).to_numpy() for c in ("na", "nb"))) >= floor)
             yield pa.record_batch([batch.column("u").filter(ok), batch.column("v").filter(ok)], ["u", "v"])
 
     return read
@@ -217,14 +228,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     held = scratch.save(buckets.join(crowded, "key"), "buckets0")
 
-    regs = classes.select("doc_id", "regs")
+    regs = classes.select("doc_id", "regs", "n_shingles")
     numbers = count()
 
     def confirmed(pairs: DataFrame, name: str, estimated: bool = True) -> DataFrame:
         near = pairs
         if estimated:
-            both = pairs.join(regs.select(F.col("doc_id").alias("u"), F.col("regs").alias("ra")), "u").join(regs.select(F.col("doc_id").alias("v"), F.col("regs").alias("rb")), "v")
-            near = both.select("u", "v", "ra", "rb").mapInArrow(_promising(num / den - slack), "u long, v long")
+            both = pairs.join(regs.select(F.col("doc_id").alias("u"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na")), "u").join(regs.select(F.col("doc_id").alias("v"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb")), "v")
+            near = both.select("u", "v", "ra", "rb", "na", "nb").mapInArrow(_promising(num / den - slack), "u long, v long")
         near = scratch.save(near, f"near_{name}")
         sets = scratch.save(_sets_of(near.select(F.col("u").alias("doc_id")).union(near.select("v"))), f"sets_{name}")
         both = near.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sb")), "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("sa")), "u")

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one only where none is set (tests)."""
+    """The shared folder named by the session; where none is set, a local one if there are no other machines (tests), else an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     held = getattr(spark.sparkContext, "_scratch_dir", None)
     if held is None:
         held = "file://" + tempfile.mkdtemp(prefix="factweave-")

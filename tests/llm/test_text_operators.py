@@ -110,6 +110,18 @@ def test_registers_estimate_jaccard():
     assert abs(got - true) < 0.2
 
 
+def test_collisions_follow_from_the_sizes():
+    rng = np.random.default_rng(5)
+    for n, m in ((400, 400), (200, 6000), (40, 40)):
+        same = filled = 0
+        for _ in range(1500):
+            a, b = (hyperminhash.registers(np.unique(rng.integers(0, 2**64, k, dtype=np.uint64))) for k in (n, m))
+            both = (a != hyperminhash.EMPTY) & (b != hyperminhash.EMPTY)
+            same, filled = same + int((a[both] == b[both]).sum()), filled + int(both.sum())
+        want = float(hyperminhash.collision_chance(np.array([n]), np.array([m]))[0])
+        assert abs(same / filled - want) < 4 * (want / filled) ** 0.5 + 1e-5
+
+
 def test_sentence_spans_equal_brute_force(docs, texts):
     order = sorted(texts, key=lambda x: (x[0], x[1] or ""))
     ids = [d for d, _ in order]
