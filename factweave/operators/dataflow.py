@@ -106,6 +106,26 @@ def multiply_used(chains: DataFrame, keys: list[str]) -> DataFrame:
     return chains.groupBy(*keys, "def_node").agg(F.count("*").alias("n_uses")).where("n_uses > 1")
 
 
+def multiply_defined(chains: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, use_node, var, n_defs)``: uses that more than one definition reaches."""
+    return chains.groupBy(*keys, "use_node", "var").agg(F.count_distinct("def_node").alias("n_defs")).where("n_defs > 1")
+
+
+def def_use_paths(chains: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, def_node, use_node, hops)``: the least number of chains from a definition over further ones to a use."""
+    e = chains.select(*keys, F.col("def_node").alias("use_node"), F.col("use_node").alias("_to")).distinct()
+    start = chains.select(*keys, "def_node", "use_node").distinct().select("*", F.lit(1).alias("hops"))
+    return least(start, lambda d: d.join(e, [*keys, "use_node"]).select(*keys, "def_node", F.col("_to").alias("use_node"), (F.col("hops") + 1).alias("hops")), [*keys, "def_node", "use_node"], "hops")
+
+
+def def_use_statistics(blocks: DataFrame, chains: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, n_defs, n_uses, n_chains, n_dead, max_uses)``; keys without blocks have no row."""
+    own = blocks.groupBy(*keys).agg(F.count("defines").alias("n_defs"), F.count("uses").alias("n_uses"))
+    each = chains.groupBy(*keys, "def_node", "var").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.sum("_n").alias("n_chains"), F.count("*").alias("_used"), F.max("_n").alias("max_uses"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return own.join(each, keys, "left").select(*keys, "n_defs", "n_uses", zero("n_chains").alias("n_chains"), (F.col("n_defs") - zero("_used")).alias("n_dead"), zero("max_uses").alias("max_uses"))
+
+
 def interference(live: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of variables that are live at one point."""
     other = live.select(*keys, "node", F.col("var").alias("other"))
@@ -148,3 +168,20 @@ def visible_symbols(scopes: DataFrame, symbols: DataFrame) -> DataFrame:
     chain = least(scopes.select("scope_id", F.col("scope_id").alias("at"), F.lit(0).alias("depth")), lambda d: d.join(up, "at").select("scope_id", F.col("_up").alias("at"), (F.col("depth") + 1).alias("depth")), ["scope_id", "at"], "depth")
     held = chain.join(symbols.select(F.col("scope_id").alias("at"), "name", "symbol_id"), "at")
     return held.groupBy("scope_id", "name").agg(F.min_by("symbol_id", F.struct("depth", "symbol_id")).alias("symbol_id"))
+
+
+def resolved_overloads(calls: DataFrame, candidates: DataFrame, converts: DataFrame) -> DataFrame:
+    """``calls(call_id, name, arguments)`` and ``candidates(symbol_id, name, parameters)`` -> ``(call_id, symbol_id, cost, ambiguous)``.
+
+    Candidates take as many arguments; an argument of the parameter's type
+    costs 0 and one that ``converts(source, target)`` allows costs 1.  The
+    cheapest wins; where several cost as much the call is ambiguous and the
+    least symbol is named.  Calls that nothing takes are left out.
+    """
+    fit = calls.join(candidates, "name").where("size(arguments) = size(parameters)")
+    pairs = fit.select("call_id", "symbol_id", F.posexplode_outer(F.arrays_zip("arguments", "parameters")).alias("_i", "_p")).select("call_id", "symbol_id", F.col("_p.arguments").alias("source"), F.col("_p.parameters").alias("target"))
+    known = converts.select("source", "target", F.lit(1).alias("_one")).distinct()
+    cost = F.when(F.col("source").isNull() | (F.col("source") == F.col("target")), 0).otherwise(F.col("_one"))
+    priced = pairs.join(known, ["source", "target"], "left").groupBy("call_id", "symbol_id").agg(F.sum(cost).alias("cost"), F.count_if(cost.isNull()).alias("_bad")).where("_bad = 0")
+    best = priced.groupBy("call_id").agg(F.min("cost").alias("cost"))
+    return priced.join(best, ["call_id", "cost"]).groupBy("call_id").agg(F.min("symbol_id").alias("symbol_id"), F.first("cost").alias("cost"), (F.count("*") > 1).alias("ambiguous"))

@@ -23,6 +23,22 @@ def enabled(findings: DataFrame, on: DataFrame | None = None, off: DataFrame | N
     return findings if off is None else findings.join(off, "detector_id", "left_anti")
 
 
+def worst_first(findings: DataFrame, order: list) -> DataFrame:
+    """Sorted by severity, the worst first, then by ``order``."""
+    return findings.orderBy(severity_ord(F.col("severity")).desc(), *order)
+
+
+def ranked(findings: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """``rank`` of each finding among its keys', by severity, then confidence, the worst first, then by ``order``."""
+    by = Window.partitionBy(*keys).orderBy(severity_ord(F.col("severity")).desc(), confidence_ord(F.col("confidence")).desc(), *order)
+    return findings.withColumn("rank", F.row_number().over(by))
+
+
+def capable(rules: DataFrame, available: list[str]) -> DataFrame:
+    """Rules all of whose ``requires`` are available; null asks for nothing."""
+    return rules.where(F.coalesce(F.size(F.array_except("requires", F.array(*map(F.lit, available)).cast("array<string>"))) == 0, F.lit(True)))
+
+
 def capped(findings: DataFrame, keys: list[str], order: list, limit: int = 3) -> DataFrame:
     """The first ``limit`` of each group in the given order."""
     return findings.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= limit).drop("_n")

@@ -39,7 +39,7 @@ def applied(sources: DataFrame, edits: DataFrame) -> DataFrame:
 
     def apply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for row in left.itertuples():
+        for row in left[left.content.notna()].itertuples():
             lines = row.content.split("\n")
             for e in right.sort_values("start_line", ascending=False).itertuples():
                 lines[e.start_line - 1 : e.end_line] = e.replacement.split("\n")

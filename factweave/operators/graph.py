@@ -30,7 +30,7 @@ def reach_pairs(edges: DataFrame, keys: list[str], local: bool | None = None) ->
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
-    return nodes.join(reachable(edges, start, keys), [*keys, "node"], "left_anti")
+    return nodes.select(*keys, "node").join(reachable(edges, start, keys), [*keys, "node"], "left_anti")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,8 +65,8 @@ def solved_locally(rows: DataFrame, keys: list[str], columns: dict[str, str], so
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), *(f"{c} {t}" for c, t in columns.items())])
 
     def each(pdf):
-        out = [(*key, *row) for key, group in pdf.groupby(keys, sort=False) for row in solve(group)]
-        return pd.DataFrame(out, columns=[*keys, *columns])
+        out = [(*(None if k is None or k != k else k for k in key), *row) for key, group in pdf.groupby(keys, sort=False, dropna=False) for row in solve(group)]
+        return pd.DataFrame(out, columns=[*keys, *columns], dtype=object)
 
     share = F.pmod(F.xxhash64(*keys), F.lit(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("share")
     return rows.groupBy(share).applyInPandas(each, schema)
@@ -108,20 +108,72 @@ def _flood(start, succ: dict) -> set:
     return seen
 
 
-def _dominator_sets(start: set, succ: dict) -> dict:
-    seen = _flood(start, succ)
-    pred: dict = {n: set() for n in seen}
-    for s in seen:
+def _postorder(start: set, succ: dict) -> list:
+    """Nodes by depth-first search from the start nodes, those that end first first."""
+    out, seen = [], set()
+    for root in start:
+        if root in seen:
+            continue
+        seen.add(root)
+        todo = [(root, iter(succ.get(root, ())))]
+        while todo:
+            node, rest = todo[-1]
+            for n in rest:
+                if n not in seen:
+                    seen.add(n)
+                    todo.append((n, iter(succ.get(n, ()))))
+                    break
+            else:
+                todo.pop()
+                out.append(node)
+    return out
+
+
+def _immediate(start: set, succ: dict) -> dict:
+    """Immediate dominator of each reached node, None for those without one: nodes meet along the tree so far, in reverse postorder."""
+    order = _postorder(start, succ)
+    number = {n: i for i, n in enumerate(order)}
+    pred: dict = {}
+    for s in order:
         for d in succ.get(s, ()):
-            pred[d].add(s)
-    dom = {n: {n} if n in start else set(seen) for n in seen}
+            pred.setdefault(d, []).append(s)
+    root = len(order)  # stands before every start node
+    above = {n: root for n in start}
+
+    def meet(a, b):
+        while a != b:
+            while a < b:
+                a = above[order[a]]
+            while b < a:
+                b = above[order[b]]
+        return a
+
     changed = True
     while changed:
         changed = False
-        for n in sorted(seen - start, key=str):
-            new = {n} | (set.intersection(*(dom[p] for p in pred[n])) if pred[n] else set())
-            if new != dom[n]:
-                dom[n], changed = new, True
+        for n in reversed(order):
+            if n in start:
+                continue
+            new = None
+            for p in pred[n]:
+                if p in above:
+                    new = number[p] if new is None else meet(new, number[p])
+            if above.get(n) != new:
+                above[n], changed = new, True
+    return {n: None if above[n] == root else order[above[n]] for n in order}
+
+
+def _dominator_sets(start: set, succ: dict) -> dict:
+    up = _immediate(start, succ)
+    dom: dict = {}
+    for n in up:
+        path = []
+        while n is not None and n not in dom:
+            path.append(n)
+            n = up[n]
+        held = dom[n] if n is not None else frozenset()
+        for x in reversed(path):
+            held = dom[x] = held | {x}
     return dom
 
 
@@ -134,8 +186,7 @@ def dominators(start, succ):
 @_local("idom node")
 def immediate_dominators(start, succ):
     """``(keys, idom, node)``: the deepest strict dominator."""
-    dom = _dominator_sets(start, succ)
-    return [(max(dom[n] - {n}, key=lambda d: len(dom[d])), n) for n in dom if dom[n] - {n}]
+    return [(d, n) for n, d in _immediate(start, succ).items() if d is not None]
 
 
 @_local("node frontier")
@@ -179,16 +230,107 @@ def post_dominators(nodes: DataFrame, edges: DataFrame, exits: DataFrame, keys:
     return dominators(nodes, edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")), exits, keys)
 
 
+def control_dependence(nodes: DataFrame, edges: DataFrame, exits: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, node, on)``: a branch in ``on`` decides whether ``node`` runs; the dominance frontier of the reversed graph."""
+    back = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return dominance_frontier(nodes, back, exits, keys).withColumnRenamed("frontier", "on")
+
+
+@_local("reducible")
+def _reducible(start, succ):
+    dom = _dominator_sets(start, succ)
+    forward = {s: [d for d in succ.get(s, ()) if d not in dom[s]] for s in dom}
+    place = {n: i for i, n in enumerate(_postorder(start, forward))}
+    return [("yes" if all(place[s] > place[d] for s in dom for d in forward[s]) else "no",)]
+
+
+def reducible(nodes: DataFrame, edges: DataFrame, entry: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, reducible)``: whether what is left without the back edges has no cycle."""
+    return _reducible(nodes.withColumn("node", F.col("node").cast("string")), edges, entry, keys).withColumn("reducible", F.col("reducible") == "yes")
+
+
+def dominator_statistics(idoms: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, n_dominated, height, max_children)`` of the dominator tree; ``idoms(keys, idom, node)``."""
+
+    def solve(group):
+        up = dict(zip(group.dst, group.src))
+        depth: dict = {}
+        for n in up:
+            path = []
+            while n in up and n not in depth:
+                path.append(n)
+                n = up[n]
+            for x in reversed(path):
+                depth[x] = depth.get(up[x], 0) + 1
+        return [(len(up), max(depth.values(), default=0), int(group.src.value_counts().max()))]
+
+    tree = idoms.select(*keys, F.col("idom").alias("src"), F.col("node").alias("dst"))
+    return solved_locally(tree, keys, {"n_dominated": "long", "height": "long", "max_children": "long"}, solve)
+
+
 def loop_depth(loops: DataFrame, keys: list[str]) -> DataFrame:
     """In how many loops each node lies."""
     return loops.groupBy(*keys, "node").agg(F.count_distinct("header").alias("depth"))
 
 
-def strongly_connected(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, node, scc)``: the least node of those that reach each other; nodes on no cycle are left out."""
-    pairs = reach_pairs(edges, keys)
-    back = pairs.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return pairs.join(back, [*keys, "src", "dst"], "left_semi").groupBy(*keys, F.col("src").alias("node")).agg(F.min("dst").alias("scc"))
+def trimmed(edges: DataFrame, keys: list[str], max_rounds: int = 10_000) -> DataFrame:
+    """The edges between nodes that have an edge in and an edge out, again and again: what lies on a cycle or between two."""
+    from ..plans.fixpoint import deleted, written
+
+    held = written(edges.select(*keys, "src", "dst").distinct())
+    n = held.count()
+    for _ in range(max_rounds):
+        out = held.select(*keys, F.col("src").alias("dst")).distinct()
+        into = held.select(*keys, F.col("dst").alias("src")).distinct()
+        before, held = held, written(held.join(out, [*keys, "dst"], "left_semi").join(into, [*keys, "src"], "left_semi").select(*keys, "src", "dst"))
+        deleted(before)
+        left = held.count()
+        if left == n:
+            return held
+        n = left
+    raise RuntimeError("no fixpoint within the allowed rounds")
+
+
+def strongly_connected(edges: DataFrame, keys: list[str], local: bool | None = None) -> DataFrame:
+    """``(keys, node, scc)``: the least node of those that reach each other; nodes on no cycle are left out.
+
+    By function where there are keys; a whole graph by trimming and colouring:
+    every node takes the least node that reaches it as its colour, and the
+    nodes of a colour that reach its namesake back are its component.  Those
+    go, and rounds follow for the rest.  No pairs of nodes are formed.
+    """
+    if bool(keys) if local is None else local:
+        kind = dict(edges.dtypes)["src"]
+
+        def solve(group):
+            _, succ = _successors(group)
+            reach = {n: _flood(succ[n], succ) for n in succ}
+            return [(n, min(m for m in reach[n] if n in reach.get(m, ()))) for n in reach if n in reach[n]]
+
+        return solved_locally(edges.select(*keys, "src", "dst"), keys, {"node": kind, "scc": kind}, solve)
+    from ..plans.fixpoint import deleted, written
+
+    rest, out = trimmed(edges, keys), None
+    while not rest.isEmpty():
+        nodes = rest.select(*keys, F.col("src").alias("node")).union(rest.select(*keys, F.col("dst").alias("node"))).distinct()
+        along = rest.select(*keys, F.col("src").alias("node"), F.col("dst").alias("_to"))
+        colour = least(nodes.select("*", F.col("node").alias("scc")), lambda d: d.join(along, [*keys, "node"]).select(*keys, F.col("_to").alias("node"), "scc"), [*keys, "node"], "scc")  # noqa: B023
+        # Back along edges within one colour, from its namesake.
+        same = rest.join(colour.withColumnRenamed("node", "src"), [*keys, "src"]).join(colour.select(*keys, F.col("node").alias("dst"), F.col("scc").alias("_scc")), [*keys, "dst"]).where("scc = _scc")
+        back = written(same.select(*keys, "scc", F.col("dst").alias("node"), F.col("src").alias("_to")))
+        found = closure(colour.where("node = scc").select(*keys, "scc", "node"), lambda d: d.join(back, [*keys, "scc", "node"]).select(*keys, "scc", F.col("_to").alias("node")))  # noqa: B023
+        found = written(found.select(*keys, "node", "scc"))
+        out = found if out is None else out.union(found)
+        gone = found.select(*keys, "node")
+        left = rest.join(gone.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_anti")
+        before, rest = rest, trimmed(left.select(*keys, "src", "dst"), keys)
+        deleted(before, back)
+    if out is None:
+        return rest.select(*keys, F.col("src").alias("node"), F.col("dst").alias("scc"))
+    # A component of one node is on a cycle only by an edge to itself.
+    several = out.groupBy(*keys, "scc").agg(F.count("*").alias("_n")).where("_n > 1").select(*keys, "scc")
+    alone = edges.where("src = dst").select(*keys, F.col("src").alias("scc")).distinct()
+    return out.join(several.union(alone).distinct(), [*keys, "scc"], "left_semi").select(*keys, "node", "scc")
 
 
 def shortest_paths(edges: DataFrame, start: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
@@ -269,3 +411,44 @@ def linearized(up: DataFrame) -> DataFrame:
 def invalidated(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """Changed files and all that depend on them: reachability against the direction of import."""
     return reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), changed, [])
+
+
+def descendants(up: DataFrame) -> DataFrame:
+    """``(parent, n_descendants, depth)``: how many inherit from it, and over how many steps at most; ``up`` as ``ancestors`` returns it."""
+    return up.where("child <> ancestor").groupBy(F.col("ancestor").alias("parent")).agg(F.count("*").alias("n_descendants"), F.max("depth").alias("depth"))
+
+
+def inheritance_cycles(inherits: DataFrame) -> DataFrame:
+    """Contracts that inherit from themselves over any number of steps."""
+    return strongly_connected(inherits.select(F.col("child").alias("src"), F.col("parent").alias("dst")), []).select(F.col("node").alias("child"))
+
+
+def inheritance_statistics(inherits: DataFrame, up: DataFrame) -> DataFrame:
+    """One row: contracts, edges, roots, leaves and the deepest chain."""
+    nodes = inherits.select("child").union(inherits.select("parent")).distinct()
+    roots = nodes.join(inherits.select("child"), "child", "left_anti")
+    leaves = nodes.join(inherits.select(F.col("parent").alias("child")), "child", "left_anti")
+    counts = [nodes.agg(F.count("*").alias("n_contracts")), inherits.agg(F.count("*").alias("n_edges")), roots.agg(F.count("*").alias("n_roots")), leaves.agg(F.count("*").alias("n_leaves")), up.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.join(c, F.lit(True))  # one row each
+    return out
+
+
+def diameter(edges: DataFrame) -> DataFrame:
+    """The longest of the shortest paths between two nodes, 0 without any; all pairs, so for graphs of contracts, not of functions."""
+    e = edges.select(F.col("src").alias("node"), F.col("dst").alias("_to")).distinct()
+    start = e.select(F.col("node").alias("origin"), F.col("_to").alias("node")).select("*", F.lit(1).alias("hops"))
+    hops = least(start, lambda d: d.join(e, "node").select("origin", F.col("_to").alias("node"), (F.col("hops") + 1).alias("hops")), ["origin", "node"], "hops")
+    return hops.where("origin <> node").agg(F.coalesce(F.max("hops"), F.lit(0)).alias("diameter"))
+
+
+def reanalysis_queue(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """``(node, hops, place)``: changed files first, then what depends on them, the nearest first; ties by node."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    near = shortest_paths(back, changed, [])
+    # Places run on over levels: counts of the levels before, and a number within each.
+    levels = near.groupBy("hops").agg(F.count("*").alias("_n"))
+    before = levels.alias("a").join(levels.alias("b"), F.expr("b.hops < a.hops"), "left").groupBy("a.hops").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("hops").orderBy("node"))
+    return near.join(before, "hops").select("node", "hops", (F.col("_before") + within).alias("place"))

@@ -27,17 +27,33 @@ def gated(rows: DataFrame, gate: DataFrame, key: str, keep: bool = True) -> Data
     return rows.join(gate.select(key), key, "left_semi" if keep else "left_anti")
 
 
-def enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, first: str, last: str, order: list) -> DataFrame:
+def enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, first: str, last: str, order: list, width: Column | None = None, bin_of=lambda x: x) -> DataFrame:
     """Each point with the first span of its key, in the given order, that holds it; points without one are left out.
 
-    The key makes this a hash join with the range as a residual.
+    With ``width`` and ``bin_of`` (a number of a place) the line is cut into
+    bins of that width and a span stands in each bin it touches, so a point
+    meets only spans near it; without, all of its key's.
     """
     columns = [F.col(f"p.{c}") for c in points.columns] + [F.col(f"s.{c}").alias(c) for c in spans.columns if c not in points.columns]
-    held = points.alias("p").join(spans.alias("s"), F.col(f"p.{key}") == F.col(f"s.{key}")).where(F.col(f"p.{at}").between(F.col(f"s.{first}"), F.col(f"s.{last}"))).select(*columns)
+    on = F.col(f"p.{key}") == F.col(f"s.{key}")
+    p, s = points, spans
+    if width is not None:
+        p = points.withColumn("_bin", F.floor(bin_of(F.col(at)) / width))
+        s = spans.withColumn("_bin", F.explode(F.sequence(F.floor(bin_of(F.col(first)) / width), F.floor(bin_of(F.col(last)) / width))))
+        on &= F.col("p._bin") == F.col("s._bin")
+    held = p.alias("p").join(s.alias("s"), on).where(F.col(f"p.{at}").between(F.col(f"s.{first}"), F.col(f"s.{last}"))).select(*columns)
     window = Window.partitionBy(*points.columns).orderBy(*order)
     return held.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 
 
+def positions(lines: DataFrame, key: str, at: str, text: str, literal: str) -> DataFrame:
+    """``(key, line, column, length)`` of every place of a literal, columns from 1."""
+    parts = F.split(F.col(text), F.lit("\\Q" + literal + "\\E"))
+    before = F.expr("transform(sequence(1, size(_p) - 1), i -> aggregate(slice(_p, 1, i), 0, (a, x) -> a + length(x)) + (i - 1) * " + str(len(literal)) + " + 1)")
+    found = lines.where(F.col(text).contains(literal)).select(key, F.col(at).alias("line"), parts.alias("_p"))
+    return found.select(key, "line", F.explode(before).alias("column"), F.lit(len(literal)).alias("length"))
+
+
 def last_before(lines: DataFrame, key: str, at: str, is_start: Column, value: Column, name: str) -> DataFrame:
     """As-of lookup: for each line the value of the last line up to it that is a start."""
     window = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)

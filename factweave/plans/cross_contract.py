@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import contains_any
-from ..operators import graph
+from ..operators import findings as fd, graph
 from .planner import Facts
 
 # Fixed values.
@@ -35,12 +35,16 @@ def trust(facts: Facts) -> DataFrame:
 
 
 def findings(facts: Facts, max_cycle: int = 6) -> DataFrame:
-    """``(detector_id, severity, contract, message)`` of the five rules, in canonical order."""
+    """``(detector_id, severity, contract, message)`` of the five rules, worst first, then by rule, contract and message."""
     calls = interactions(facts)
     edges = calls.select("src", "dst").distinct()
     row = lambda df, name, severity, contract, message: df.select(F.lit(name).alias("detector_id"), F.lit(severity).alias("severity"), contract.alias("contract"), message.alias("message"))
     cycles = graph.simple_cycles(edges, max_cycle)
     path = F.array_join("path", " > ")
+    # Rings of more contracts than are enumerated: a component with a contract that lies on none of the cycles.
+    rings = graph.strongly_connected(edges, [])
+    named = cycles.select(F.explode("path").alias("node")).distinct()
+    wide = rings.join(rings.join(named, "node", "left_anti").select("scc").distinct(), "scc", "left_semi").groupBy("scc").agg(F.array_sort(F.collect_set("node")).alias("path"))
     t = trust(facts)
     weak = edges.join(t.where(F.col("trust") < LEAST_TRUST).select(F.col("contract").alias("dst")), "dst").join(t.where("privileged").select(F.col("contract").alias("src")), "src")
     names = facts.state.select("contract", "name").distinct()
@@ -48,6 +52,7 @@ def findings(facts: Facts, max_cycle: int = 6) -> DataFrame:
     several = calls.groupBy("src", "function").agg(F.count_distinct("dst").alias("n"), F.array_join(F.array_sort(F.collect_set("dst")), ", ").alias("all")).where("n > 1")
     found = [
         row(cycles, "circular-dependency", "High", F.col("path")[0], path),
+        row(wide, "circular-dependency", "High", F.col("path")[0], F.array_join("path", ", ")),
         row(weak, "trust-boundary-violation", "High", F.col("src"), F.col("dst")),
         row(shared, "state-inconsistency", "Medium", F.col("contract"), F.concat_ws(": ", "other", "name")),
         row(several, "atomicity-violation", "High", F.col("src"), F.concat_ws(": ", "function", "all")),
@@ -56,4 +61,4 @@ def findings(facts: Facts, max_cycle: int = 6) -> DataFrame:
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    return fd.worst_first(out.distinct(), ["detector_id", "contract", "message"])

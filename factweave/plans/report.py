@@ -18,13 +18,50 @@ def as_json(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(F.struct(*findings.columns)).alias("value"))
 
 
+def critical_files(findings: DataFrame) -> DataFrame:
+    """``(path)`` of every file with a critical finding, sorted."""
+    return findings.where("severity = 'Critical'").select("path").distinct().orderBy("path")
+
+
+def write_report(findings: DataFrame, path: str | None = None, form: str = "json") -> None:
+    """The report as a folder of text files, ``json`` (a finding a line) or ``text``; without a path on standard output."""
+    if form not in ("json", "text"):
+        raise ValueError(f"no such form: {form}")
+    if path is None:
+        print(as_text(findings) if form == "text" else "\n".join(r.value for r in as_json(findings).toLocalIterator()))
+    elif form == "json":
+        as_json(findings).write.mode("overwrite").text(path)
+    else:
+        spark = findings.sparkSession
+        spark.createDataFrame([(as_text(findings),)], "value string").write.mode("overwrite").text(path)
+
+
+#: What identifies a finding in a golden file.
+GOLDEN = ("path", "line", "detector_id", "severity")
+
+
+def write_golden(findings: DataFrame, path: str) -> None:
+    """What later runs are compared with: one sorted JSON line for each distinct finding."""
+    findings.select(*GOLDEN).distinct().orderBy(*GOLDEN).write.mode("overwrite").json(path)
+
+
+def against_golden(findings: DataFrame, path: str, tolerance: int = 0) -> DataFrame:
+    """``(path, line, detector_id, severity, change)``: findings that are ``missing`` or ``added``, lines within ``tolerance`` being the same."""
+    golden = findings.sparkSession.read.schema(findings.select(*GOLDEN).schema).json(path)
+    own = findings.select(*GOLDEN).distinct()
+    same = F.expr(f"a.path = b.path and a.detector_id = b.detector_id and a.severity = b.severity and abs(a.line - b.line) <= {tolerance}")
+    missing = golden.alias("a").join(own.alias("b"), same, "left_anti").withColumn("change", F.lit("missing"))
+    return missing.union(own.alias("a").join(golden.alias("b"), same, "left_anti").withColumn("change", F.lit("added")))
+
+
 def summary(findings: DataFrame) -> dict:
-    """Counts for each severity (with zeros), distinct rules, files with critical findings, score and band; of bounded size but for the file list, which is cut at 100."""
+    """Counts for each severity (with zeros), distinct rules, files with critical findings (their number, and the first 100; ``critical_files`` names all), score and band; of bounded size."""
     n = {r.severity: r["count"] for r in findings.groupBy("severity").count().collect()}
     counts = {s: n.get(s, 0) for s in SEVERITIES}
     risk = min(10.0, 5 * counts["Critical"] + 3 * counts["High"] + 1.5 * counts["Medium"] + 0.5 * counts["Low"])
-    files = [r.path for r in findings.where("severity = 'Critical'").select("path").distinct().orderBy("path").limit(100).collect()]
-    return {"by_severity": counts, "detectors": findings.select("detector_id").distinct().count(), "critical_files": files, "risk": risk, "band": "none" if risk == 0 else "low" if risk < 3 else "medium" if risk < 6 else "high"}
+    critical = critical_files(findings)
+    files = [r.path for r in critical.limit(100).collect()]
+    return {"by_severity": counts, "detectors": findings.select("detector_id").distinct().count(), "critical_files": files, "n_critical_files": critical.count(), "risk": risk, "band": "none" if risk == 0 else "low" if risk < 3 else "medium" if risk < 6 else "high"}
 
 
 def as_text(findings: DataFrame, limit: int = 200) -> str:

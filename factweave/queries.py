@@ -38,25 +38,31 @@ class Tables:
 
     def steps(self) -> DataFrame:
         order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-        return self.events.select(F.col("user_id").alias("func"), F.row_number().over(order).cast("long").alias("idx"), F.col("event_type").alias("node"), F.lead("event_type").over(order).alias("next"), "value")
+        return self.events.select(F.col("user_id").alias("func"), F.row_number().over(order).cast("long").alias("idx"), F.col("event_type").alias("node"), "value").select("*", F.concat("node", F.lit("-"), F.expr("(idx - 1) div 8")).alias("block"))
 
     def nodes(self) -> DataFrame:
-        return self.events.select(F.col("user_id").alias("func"), F.col("event_type").alias("node")).distinct()
+        """Blocks: a user's event types, apart for every eight events, so that later blocks lie behind earlier ones; ``kind`` is the type."""
+        return self.steps().select("func", F.col("block").alias("node"), F.col("node").alias("kind")).distinct()
 
     def edges(self) -> DataFrame:
-        """Flow between the first events of a user: enough of them for some blocks to lie behind others."""
-        return self.steps().where("next is not null and idx < 7").select("func", F.col("node").alias("src"), F.col("next").alias("dst")).distinct()
+        """Flow between the blocks of all events of a user."""
+        then = F.lead("block").over(Window.partitionBy("func").orderBy("idx"))
+        return self.steps().select("func", F.col("block").alias("src"), then.alias("dst")).where("dst is not null").distinct()
 
     def entry(self) -> DataFrame:
-        return self.steps().where("idx = 1").select("func", "node")
+        return self.steps().where("idx = 1").select("func", F.col("block").alias("node"))
+
+    def exits(self) -> DataFrame:
+        """Blocks in which a user's events end."""
+        return self.steps().groupBy("func").agg(F.max_by("block", "idx").alias("node"))
 
     def blocks(self) -> DataFrame:
-        defines = F.when(F.col("node").isin("click", "error"), "cart").when(F.col("node") == "purchase", "total").when(F.col("node") == "signup", "user")
-        uses = F.when(F.col("node") == "purchase", "cart").when(F.col("node") == "view", "user").when(F.col("node") == "error", "total")
+        defines = F.when(F.col("kind").isin("click", "error"), "cart").when(F.col("kind") == "purchase", "total").when(F.col("kind") == "signup", "user")
+        uses = F.when(F.col("kind") == "purchase", "cart").when(F.col("kind") == "view", "user").when(F.col("kind") == "error", "total")
         return self.nodes().select("func", "node", defines.alias("defines"), uses.alias("uses"))
 
     def contract_edges(self) -> DataFrame:
-        folded = self.lineitem.where("l_orderkey % 40 = 0").select((F.col("l_suppkey") % 50).alias("src"), (F.col("l_partkey") % 50).alias("dst"))
+        folded = self.lineitem.select((F.col("l_suppkey") % 50).alias("src"), (F.col("l_partkey") % 50).alias("dst"))
         return folded.where("src <> dst").distinct()
 
     def imports(self) -> DataFrame:
@@ -84,13 +90,14 @@ LINES = r"""lines AS (
          generate_subscripts(string_split(regexp_replace(regexp_replace(text, '\r?\n$', ''), '\r\n', chr(10), 'g'), chr(10)), 1) AS line_no
   FROM documents)"""
 FLOW = """steps AS (
-  SELECT user_id AS func, row_number() OVER w AS idx, event_type AS node, lead(event_type) OVER w AS next, value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
-), nodes AS (SELECT DISTINCT user_id AS func, event_type AS node FROM events),
-edges AS (SELECT DISTINCT func, node AS src, next AS dst FROM steps WHERE next IS NOT NULL AND idx < 7),
-entry AS (SELECT func, node FROM steps WHERE idx = 1),
-blocks AS (SELECT func, node,
-  CASE WHEN node IN ('click', 'error') THEN 'cart' WHEN node = 'purchase' THEN 'total' WHEN node = 'signup' THEN 'user' END AS defines,
-  CASE node WHEN 'purchase' THEN 'cart' WHEN 'view' THEN 'user' WHEN 'error' THEN 'total' END AS uses FROM nodes)"""
+  SELECT user_id AS func, row_number() OVER w AS idx, event_type AS node, value, event_type || '-' || ((row_number() OVER w - 1) // 8) AS block FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), nodes AS MATERIALIZED (SELECT DISTINCT func, block AS node, node AS kind FROM steps),
+edges AS MATERIALIZED (SELECT DISTINCT func, src, dst FROM (SELECT func, block AS src, lead(block) OVER (PARTITION BY func ORDER BY idx) AS dst FROM steps) WHERE dst IS NOT NULL),
+entry AS (SELECT func, block AS node FROM steps WHERE idx = 1),
+exits AS (SELECT func, max_by(block, idx) AS node FROM steps GROUP BY func),
+blocks AS MATERIALIZED (SELECT func, node,
+  CASE WHEN kind IN ('click', 'error') THEN 'cart' WHEN kind = 'purchase' THEN 'total' WHEN kind = 'signup' THEN 'user' END AS defines,
+  CASE kind WHEN 'purchase' THEN 'cart' WHEN 'view' THEN 'user' WHEN 'error' THEN 'total' END AS uses FROM nodes)"""
 REACH = """reach AS (SELECT func, node FROM entry UNION SELECT r.func, e.dst FROM reach r JOIN edges e ON e.func = r.func AND e.src = r.node)"""
 AVOID = """avoid AS (SELECT n.func, n.node AS without, t.node FROM nodes n JOIN entry t ON t.func = n.func AND t.node <> n.node
   UNION SELECT a.func, a.without, e.dst FROM avoid a JOIN edges e ON e.func = a.func AND e.src = a.node WHERE e.dst <> a.without)"""
@@ -105,7 +112,7 @@ LIVE = """live AS (SELECT func, node, uses AS var FROM blocks WHERE uses IS NOT
 FOUND = """found AS (SELECT l_partkey % 20 AS detector_id, l_orderkey % 500 AS file, CAST(l_quantity AS BIGINT) * 3 + l_linenumber AS line,
   (['Info', 'Low', 'Medium', 'High', 'Critical'])[CAST(l_partkey % 5 + 1 AS INT)] AS severity, (['Low', 'Medium', 'High', 'Confirmed'])[CAST(l_suppkey % 4 + 1 AS INT)] AS confidence,
   l_orderkey AS emit_ord, l_linenumber AS ord, l_extendedprice, l_partkey % 5 AS sev, l_suppkey % 4 AS conf FROM lineitem)"""
-CONTRACTS = """pairs AS (SELECT DISTINCT l_suppkey % 50 AS src, l_partkey % 50 AS dst FROM lineitem WHERE l_orderkey % 40 = 0 AND l_suppkey % 50 <> l_partkey % 50)"""
+CONTRACTS = """pairs AS (SELECT DISTINCT l_suppkey % 50 AS src, l_partkey % 50 AS dst FROM lineitem WHERE l_suppkey % 50 <> l_partkey % 50)"""
 IMPORTS = """imports AS (SELECT doc_id AS src, doc_id // 3 AS dst FROM documents WHERE doc_id > 0 UNION ALL SELECT doc_id // 3, doc_id FROM documents WHERE doc_id % 97 = 5)"""
 INHERITS = """inherits AS (SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 up AS (SELECT child, parent AS ancestor, 1 AS depth FROM inherits UNION SELECT u.child, i.parent, u.depth + 1 FROM up u JOIN inherits i ON i.child = u.ancestor)"""
@@ -179,9 +186,28 @@ def function_predicate(t):
     return t.lineitem.where("l_returnflag = 'R' and l_linestatus = 'F' and l_discount > 0.05 and l_linenumber <= 3").select("l_orderkey", "l_linenumber")
 
 
+@query(
+    """SELECT doc_id, line_no AS line, CAST(sum(length(p) + 6) OVER (PARTITION BY doc_id, line_no ORDER BY i) - 6 + 1 AS INT) AS "column", 6 AS length
+  FROM (SELECT doc_id, line_no, unnest(ps[:-2]) AS p, generate_subscripts(ps[:-2], 1) AS i FROM (SELECT doc_id, line_no, string_split(text, 'icense') AS ps FROM lines WHERE contains(text, 'icense')))""",
+    LINES,
+)
+def literal_positions(t):
+    return spans.positions(t.lines(), "doc_id", "line_no", "text", "icense")
+
+
 # --- findings -----------------------------------------------------------------
 
 
+@query("SELECT file, detector_id, line, emit_ord, ord, rank FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY sev DESC, conf DESC, line, detector_id, emit_ord, ord, l_extendedprice) AS rank FROM found)", FOUND)
+def ranked_findings(t):
+    return fd.ranked(t.found(), ["file"], ["line", "detector_id", "emit_ord", "ord", "l_extendedprice"]).select("file", "detector_id", "line", "emit_ord", "ord", "rank")
+
+
+@query("SELECT p_partkey FROM part WHERE list_has_all(['red', 'ring', 'blue', 'bolt', 'gear'], string_split(p_name, ' '))")
+def capability_gate(t):
+    return fd.capable(t.part.withColumn("requires", F.split("p_name", " ")), ["red", "ring", "blue", "bolt", "gear"]).select("p_partkey")
+
+
 @query("SELECT detector_id, file, line, severity, confidence FROM found WHERE sev >= 3 AND conf >= 1", FOUND)
 def severity_filter(t):
     return fd.at_least(t.found(), "High", "Medium").select("detector_id", "file", "line", "severity", "confidence")
@@ -221,7 +247,7 @@ def dedup_bucket(t):
 def enclosing_span_join(t):
     points = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", F.col("l_suppkey").alias("key")).distinct()
     held = t.orders.select("o_orderkey", (F.col("o_custkey") % 100).alias("key"), F.col("o_orderdate").alias("first"), F.expr("o_orderdate + interval 30 days").alias("last"))
-    return spans.enclosing(points, held, "key", "l_shipdate", "first", "last", ["first", "o_orderkey"]).select("l_orderkey", "l_linenumber", "o_orderkey")
+    return spans.enclosing(points, held, "key", "l_shipdate", "first", "last", ["first", "o_orderkey"], F.lit(30 * 86400), lambda x: x.cast("timestamp").cast("long")).select("l_orderkey", "l_linenumber", "o_orderkey")
 
 
 @query("SELECT s.severity, count(f.file) AS n FROM (VALUES ('Info'), ('Low'), ('Medium'), ('High'), ('Critical')) s(severity) LEFT JOIN (SELECT * FROM found WHERE sev IN (1, 3) AND conf = 0) f ON f.severity = s.severity GROUP BY s.severity", FOUND)
@@ -232,11 +258,11 @@ def severity_counts(t):
 
 @query(
     """SELECT file, risk, CASE WHEN risk = 0 THEN 'none' WHEN risk < 3 THEN 'low' WHEN risk < 6 THEN 'medium' ELSE 'high' END AS band FROM (
-  SELECT file, least(10.0, 5.0 * count(*) FILTER (sev = 4) + 3.0 * count(*) FILTER (sev = 3) + 1.5 * count(*) FILTER (sev = 2) + 0.5 * count(*) FILTER (sev = 1))::DOUBLE AS risk FROM found WHERE line < 20 GROUP BY file)""",
+  SELECT file, least(10.0, 5.0 * count(*) FILTER (sev = 4) + 3.0 * count(*) FILTER (sev = 3) + 1.5 * count(*) FILTER (sev = 2) + 0.5 * count(*) FILTER (sev = 1))::DOUBLE AS risk FROM found GROUP BY file)""",
     FOUND,
 )
 def risk_score(t):
-    return fd.risk_score(t.found().where("line < 20"), ["file"]).select("file", F.col("risk").cast("double").alias("risk"), "band")
+    return fd.risk_score(t.found(), ["file"]).select("file", F.col("risk").cast("double").alias("risk"), "band")
 
 
 @query("SELECT file, count(DISTINCT detector_id) AS n_detectors, count(*) AS n FROM found GROUP BY file", FOUND)
@@ -275,14 +301,14 @@ def greedy_match(t):
     return fd.greedy_matches(expected, f.where("ord = 2").select("detector_id", "file", F.col("emit_ord").alias("act_id"), "line"), ["detector_id", "file"])
 
 
-@query("SELECT file, detector_id, min(line) AS line, count(*) AS sites, string_agg(severity, '; ' ORDER BY line, severity) AS messages FROM found WHERE file < 50 GROUP BY file, detector_id", FOUND)
+@query("SELECT file, detector_id, min(line) AS line, count(*) AS sites, string_agg(severity, '; ' ORDER BY line, severity) AS messages FROM found GROUP BY file, detector_id", FOUND)
 def rollup_listagg(t):
-    return fd.rolled_up(t.found().where("file < 50"), ["file", "detector_id"], "line", "severity")
+    return fd.rolled_up(t.found(), ["file", "detector_id"], "line", "severity")
 
 
-@query("SELECT coalesce(file, -1) AS file, coalesce(detector_id, -1) AS detector_id, CAST(grouping_id(file, detector_id) AS BIGINT) AS level, count(*) AS n FROM found WHERE file < 20 GROUP BY ROLLUP (file, detector_id)", FOUND)
+@query("SELECT coalesce(file, -1) AS file, coalesce(detector_id, -1) AS detector_id, CAST(grouping_id(file, detector_id) AS BIGINT) AS level, count(*) AS n FROM found GROUP BY ROLLUP (file, detector_id)", FOUND)
 def report_rollup(t):
-    return t.found().where("file < 20").rollup("file", "detector_id").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n")).select(F.coalesce("file", F.lit(-1)).alias("file"), F.coalesce("detector_id", F.lit(-1)).alias("detector_id"), "level", "n")
+    return t.found().rollup("file", "detector_id").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n")).select(F.coalesce("file", F.lit(-1)).alias("file"), F.coalesce("detector_id", F.lit(-1)).alias("detector_id"), "level", "n")
 
 
 @query("""SELECT file, '{"file":' || file || ',"n":' || count(*) || ',"worst":' || max(sev) || '}' AS report FROM found GROUP BY file""", FOUND)
@@ -294,9 +320,9 @@ def json_report(t):
 # --- windows ------------------------------------------------------------------
 
 
-@query(r"SELECT doc_id, line_no, last_value(CASE WHEN s <> '' THEN s END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM lines) WHERE doc_id < 300", LINES)
+@query(r"SELECT doc_id, line_no, last_value(CASE WHEN s <> '' THEN s END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM lines)", LINES)
 def prev_nonblank(t):
-    return spans.previous_non_blank(t.lines().where("doc_id < 300"), "doc_id").select("doc_id", "line_no", "previous")
+    return spans.previous_non_blank(t.lines(), "doc_id").select("doc_id", "line_no", "previous")
 
 
 @query("SELECT doc_id, line_no, CAST(sum((length(text) - length(replace(text, '.', ''))) - (length(text) - length(replace(text, ',', '')))) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS depth FROM lines", LINES)
@@ -405,6 +431,49 @@ def mergeable_blocks(t):
     return graph.mergeable(t.nodes(), t.edges(), t.entry(), ["func"])
 
 
+_BACK = """back_reach AS (SELECT func, node FROM exits UNION SELECT r.func, e.src FROM back_reach r JOIN edges e ON e.func = r.func AND e.dst = r.node),
+back_avoid AS (SELECT n.func, n.node AS without, t.node FROM nodes n JOIN exits t ON t.func = n.func AND t.node <> n.node
+  UNION SELECT a.func, a.without, e.src FROM back_avoid a JOIN edges e ON e.func = a.func AND e.dst = a.node WHERE e.src <> a.without),
+pdom AS (SELECT r.func, n.node AS dominator, r.node FROM back_reach r JOIN back_reach n ON n.func = r.func
+  WHERE NOT EXISTS (SELECT 1 FROM back_avoid a WHERE a.func = r.func AND a.without = n.node AND a.node = r.node))"""
+
+
+@query("SELECT func, dominator, node FROM pdom", FLOW, _BACK)
+def post_dominators(t):
+    return graph.post_dominators(t.nodes(), t.edges(), t.exits(), ["func"])
+
+
+@query("SELECT DISTINCT p.func, p.dominator AS node, e.src AS \"on\" FROM pdom p JOIN edges e ON e.func = p.func AND e.dst = p.node WHERE NOT EXISTS (SELECT 1 FROM pdom s WHERE s.func = p.func AND s.dominator = p.dominator AND s.node = e.src AND s.dominator <> s.node)", FLOW, _BACK)
+def control_dependence(t):
+    return graph.control_dependence(t.nodes(), t.edges(), t.exits(), ["func"])
+
+
+@query(
+    "SELECT n.func, NOT EXISTS (SELECT 1 FROM path p WHERE p.func = n.func AND p.src = p.dst) AS reducible FROM (SELECT DISTINCT func FROM entry) n",
+    FLOW,
+    REACH,
+    AVOID,
+    DOM,
+    """forward AS (SELECT e.func, e.src, e.dst FROM edges e JOIN reach r ON r.func = e.func AND r.node = e.src WHERE NOT EXISTS (SELECT 1 FROM dom d WHERE d.func = e.func AND d.dominator = e.dst AND d.node = e.src)),
+path AS (SELECT func, src, dst FROM forward UNION SELECT p.func, p.src, f.dst FROM path p JOIN forward f ON f.func = p.func AND f.src = p.dst)""",
+)
+def reducibility(t):
+    return graph.reducible(t.nodes(), t.edges(), t.entry(), ["func"])
+
+
+@query(
+    """SELECT func, count(*) AS n_dominated, max(depth) AS height, (SELECT max(n) FROM (SELECT count(*) AS n FROM up u WHERE u.func = up.func GROUP BY idom)) AS max_children FROM up GROUP BY func""",
+    FLOW,
+    REACH,
+    AVOID,
+    DOM,
+    """deep AS (SELECT func, node, count(*) - 1 AS depth FROM dom GROUP BY func, node),
+up AS (SELECT func, node, depth, idom FROM (SELECT d.func, d.node, x.depth, d.dominator AS idom, row_number() OVER (PARTITION BY d.func, d.node ORDER BY y.depth DESC) AS k FROM dom d JOIN deep x ON x.func = d.func AND x.node = d.node JOIN deep y ON y.func = d.func AND y.node = d.dominator WHERE d.node <> d.dominator) WHERE k = 1)""",
+)
+def dominator_statistics(t):
+    return graph.dominator_statistics(graph.immediate_dominators(t.nodes(), t.edges(), t.entry(), ["func"]), ["func"])
+
+
 # --- data flow ----------------------------------------------------------------
 
 
@@ -428,6 +497,26 @@ def def_use(t):
     return _chains(t)[1]
 
 
+@query("SELECT func, def_node, use_node, min(hops) AS hops FROM walk GROUP BY func, def_node, use_node", FLOW, DEFS, "walk AS (SELECT func, def_node, use_node, 1 AS hops FROM chains UNION SELECT w.func, w.def_node, c.use_node, w.hops + 1 FROM walk w JOIN chains c ON c.func = w.func AND c.def_node = w.use_node WHERE w.hops < 30)")
+def def_use_paths(t):
+    return dataflow.def_use_paths(_chains(t)[1], ["func"])
+
+
+@query(
+    """SELECT b.func, b.n_defs, b.n_uses, coalesce(c.n, 0) AS n_chains, b.n_defs - coalesce(c.used, 0) AS n_dead, coalesce(c.most, 0) AS max_uses FROM (SELECT func, count(defines) AS n_defs, count(uses) AS n_uses FROM blocks GROUP BY func) b
+  LEFT JOIN (SELECT func, CAST(sum(n) AS BIGINT) AS n, count(*) AS used, max(n) AS most FROM (SELECT func, def_node, count(*) AS n FROM chains GROUP BY func, def_node) GROUP BY func) c ON c.func = b.func""",
+    FLOW,
+    DEFS,
+)
+def def_use_statistics(t):
+    return dataflow.def_use_statistics(t.blocks(), _chains(t)[1], ["func"])
+
+
+@query("SELECT func, use_node, var, count(DISTINCT def_node) AS n_defs FROM chains GROUP BY func, use_node, var HAVING count(DISTINCT def_node) > 1", FLOW, DEFS)
+def multiply_defined_uses(t):
+    return dataflow.multiply_defined(_chains(t)[1], ["func"])
+
+
 @query("SELECT b.func, b.node AS def_node, b.defines AS var FROM blocks b WHERE b.defines IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chains c WHERE c.func = b.func AND c.def_node = b.node)", FLOW, DEFS)
 def dead_defs(t):
     return dataflow.dead_definitions(t.blocks(), _chains(t)[1], ["func"])
@@ -448,13 +537,13 @@ def register_pressure(t):
     return dataflow.register_pressure(dataflow.live_variables(t.blocks(), t.edges(), ["func"]), ["func"])
 
 
-_TAINT = """taint AS (SELECT func, node AS source, node, 0 AS hops FROM nodes WHERE node = 'click'
-  UNION SELECT x.func, x.source, c.use_node, x.hops + 1 FROM taint x JOIN chains c ON c.func = x.func AND c.def_node = x.node WHERE x.hops < 6 AND c.use_node <> 'view')"""
+_TAINT = """taint AS (SELECT func, node AS source, node, 0 AS hops FROM nodes WHERE kind = 'click'
+  UNION SELECT x.func, x.source, c.use_node, x.hops + 1 FROM taint x JOIN chains c ON c.func = x.func AND c.def_node = x.node WHERE x.hops < 30 AND NOT starts_with(c.use_node, 'view-'))"""
 
 
 def _taint(t):
     n = t.nodes()
-    return dataflow.tainted(_chains(t)[1], n.where("node = 'click'"), n.where("node = 'view'"), ["func"])
+    return dataflow.tainted(_chains(t)[1], n.where("kind = 'click'"), n.where("kind = 'view'"), ["func"])
 
 
 @query("SELECT func, source, node, min(hops) AS hops, round(pow(0.9, min(hops)), 9) AS confidence FROM taint GROUP BY func, source, node", FLOW, DEFS, _TAINT)
@@ -462,9 +551,9 @@ def taint_paths(t):
     return _taint(t)
 
 
-@query("SELECT func, node AS sink, max(c) AS confidence, count(*) AS n_sources FROM (SELECT func, source, node, round(pow(0.9, min(hops)), 9) AS c FROM taint GROUP BY func, source, node) WHERE node IN ('purchase', 'error') GROUP BY func, node", FLOW, DEFS, _TAINT)
+@query("SELECT func, node AS sink, max(c) AS confidence, count(*) AS n_sources FROM (SELECT func, source, node, round(pow(0.9, min(hops)), 9) AS c FROM taint GROUP BY func, source, node) WHERE starts_with(node, 'purchase-') OR starts_with(node, 'error-') GROUP BY func, node", FLOW, DEFS, _TAINT)
 def taint_severity(t):
-    return dataflow.violations(_taint(t), t.nodes().where("node in ('purchase', 'error')"), ["func"])
+    return dataflow.violations(_taint(t), t.nodes().where("kind in ('purchase', 'error')"), ["func"])
 
 
 @query("SELECT doc_id, line_no, CASE WHEN contains(text, '@') THEN 'source' WHEN contains(text, 'icense') THEN 'sink' WHEN contains(text, '%%%') THEN 'sanitizer' END AS role FROM lines WHERE contains(text, '@') OR contains(text, 'icense') OR contains(text, '%%%')", LINES)
@@ -482,12 +571,12 @@ def fp_likelihood(t):
 
 @query(
     """SELECT func, round(exp(sum(ln(f))), 9) AS remaining FROM (SELECT func, CASE op WHEN '+' THEN 0.9 WHEN '*' THEN 0.8 WHEN '==' THEN 0.3 ELSE 1.0 END AS f
-  FROM (SELECT func, CASE node WHEN 'click' THEN '+' WHEN 'view' THEN '*' WHEN 'error' THEN '==' ELSE 'other' END AS op FROM steps WHERE idx < 9)) GROUP BY func""",
+  FROM (SELECT func, CASE node WHEN 'click' THEN '+' WHEN 'view' THEN '*' WHEN 'error' THEN '==' ELSE 'other' END AS op FROM steps)) GROUP BY func""",
     FLOW,
 )
 def taint_attenuation(t):
     op = F.when(F.col("node") == "click", "+").when(F.col("node") == "view", "*").when(F.col("node") == "error", "==").otherwise("other")
-    return line_taint.remaining(t.steps().where("idx < 9").select("func", op.alias("op")), ["func"], "op")
+    return line_taint.remaining(t.steps().select("func", op.alias("op")), ["func"], "op")
 
 
 @query(
@@ -496,16 +585,16 @@ def taint_attenuation(t):
     WHEN kind = 'UserInput' AND sink = 'EtherTransfer' THEN 'Unvalidated Ether Transfer' ELSE 'Data Flow Vulnerability' END AS vulnerability,
   CASE WHEN kind = 'UserInput' AND sink = 'SelfDestruct' THEN 'Critical' WHEN kind = 'UserInput' AND sink = 'ExternalCall' OR kind = 'ExternalCall' AND sink = 'StateModification' THEN 'High'
     WHEN kind = 'UserInput' AND sink = 'EtherTransfer' OR kind = 'TimeDependent' THEN 'Medium' ELSE 'Low' END AS severity
-  FROM (SELECT l_orderkey, l_linenumber, (['UserInput', 'ExternalCall', 'TimeDependent'])[CAST(l_partkey % 3 + 1 AS INT)] AS kind, (['ExternalCall', 'StateModification', 'EtherTransfer', 'SelfDestruct'])[CAST(l_suppkey % 4 + 1 AS INT)] AS sink FROM lineitem WHERE l_orderkey % 10 = 0)"""
+  FROM (SELECT l_orderkey, l_linenumber, (['UserInput', 'ExternalCall', 'TimeDependent'])[CAST(l_partkey % 3 + 1 AS INT)] AS kind, (['ExternalCall', 'StateModification', 'EtherTransfer', 'SelfDestruct'])[CAST(l_suppkey % 4 + 1 AS INT)] AS sink FROM lineitem)"""
 )
 def taint_decision_table(t):
     pick = lambda names, key: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names) + 1).cast("int"))
-    flows = t.lineitem.where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", pick(("UserInput", "ExternalCall", "TimeDependent"), "l_partkey").alias("kind"), pick(("ExternalCall", "StateModification", "EtherTransfer", "SelfDestruct"), "l_suppkey").alias("sink"))
+    flows = t.lineitem.select("l_orderkey", "l_linenumber", pick(("UserInput", "ExternalCall", "TimeDependent"), "l_partkey").alias("kind"), pick(("ExternalCall", "StateModification", "EtherTransfer", "SelfDestruct"), "l_suppkey").alias("sink"))
     return line_taint.named(flows)
 
 
 @query(
-    """SELECT path, line, source, sink FROM (SELECT 'c/' || l_orderkey || '.sol' AS path, n, kind FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS n, l_partkey % 4 AS kind FROM lineitem WHERE l_orderkey % 25 = 0)) i
+    """SELECT path, line, source, sink FROM (SELECT 'c/' || l_orderkey || '.sol' AS path, n, kind FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS n, l_partkey % 4 AS kind FROM lineitem)) i
   JOIN LATERAL (SELECT * FROM (VALUES (0, 1, 'TransactionOrigin', NULL), (1, 1, 'MessageSender', 'ExternalCall'), (1, 2, 'MessageSender', 'StateModification')) r(k, shift, source, sink) WHERE r.k = i.kind AND sink IS NOT NULL) x ON true
   JOIN LATERAL (SELECT CAST(5 + 5 * (i.n - 1) + x.shift AS BIGINT) AS line) y ON true"""
 )
@@ -515,7 +604,7 @@ def taint_lines(t):
     return lines.join(sources.select("file_id", "path"), "file_id").select("path", F.col("line_no").alias("line"), "source", "sink")
 
 
-@query("SELECT 'c/' || l_orderkey || '.sol' AS path, bool_or(l_partkey % 4 = 0) AS uses_tx_origin, false AS is_amm FROM lineitem WHERE l_orderkey % 25 = 0 GROUP BY l_orderkey")
+@query("SELECT 'c/' || l_orderkey || '.sol' AS path, bool_or(l_partkey % 4 = 0) AS uses_tx_origin, false AS is_amm FROM lineitem GROUP BY l_orderkey")
 def contract_traits(t):
     return traits.with_traits(contract_sources(t), "content").select("path", "uses_tx_origin", "is_amm")
 
@@ -546,6 +635,36 @@ def ancestors(t):
     return graph.ancestors(t.inherits())
 
 
+@query("SELECT ancestor AS parent, count(*) AS n_descendants, max(depth) AS depth FROM (SELECT child, ancestor, min(depth) AS depth FROM up GROUP BY child, ancestor) GROUP BY ancestor", INHERITS)
+def descendants(t):
+    return graph.descendants(graph.ancestors(t.inherits()))
+
+
+@query(
+    """SELECT (SELECT count(*) FROM names) AS n_contracts, (SELECT count(*) FROM inherits) AS n_edges, (SELECT count(*) FROM names WHERE n NOT IN (SELECT child FROM inherits)) AS n_roots,
+  (SELECT count(*) FROM names WHERE n NOT IN (SELECT parent FROM inherits)) AS n_leaves, (SELECT max(depth) FROM up) AS max_depth""",
+    INHERITS,
+    "names AS (SELECT child AS n FROM inherits UNION SELECT parent FROM inherits)",
+)
+def inheritance_statistics(t):
+    return graph.inheritance_statistics(t.inherits(), graph.ancestors(t.inherits()))
+
+
+_OVERLOADS = """symbols AS (SELECT p_partkey AS symbol_id, split_part(p_name, ' ', 1) AS name, (['uint8', 'uint256', 'bytes'])[CAST(p_partkey % 3 + 1 AS INT)] AS a, (['uint8', 'uint256'])[CAST(p_size % 2 + 1 AS INT)] AS b FROM part),
+calls AS (SELECT o.s_suppkey AS call_id, split_part(p.p_name, ' ', 1) AS name, (['uint8', 'bytes'])[CAST(o.s_suppkey % 2 + 1 AS INT)] AS a, (['uint8', 'uint256'])[CAST(o.s_nationkey % 2 + 1 AS INT)] AS b FROM supplier o JOIN part p ON p.p_partkey = o.s_suppkey),
+priced AS (SELECT call_id, symbol_id, CASE WHEN c.a = s.a THEN 0 WHEN c.a = 'uint8' AND s.a = 'uint256' THEN 1 END + CASE WHEN c.b = s.b THEN 0 WHEN c.b = 'uint8' AND s.b = 'uint256' THEN 1 END AS cost FROM calls c JOIN symbols s ON s.name = c.name)"""
+
+
+@query("SELECT call_id, min(symbol_id) AS symbol_id, CAST(cost AS BIGINT) AS cost, count(*) > 1 AS ambiguous FROM priced p WHERE cost = (SELECT min(cost) FROM priced q WHERE q.call_id = p.call_id) GROUP BY call_id, cost", _OVERLOADS)
+def overload_resolution(t):
+    pick = lambda names, key: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names) + 1).cast("int"))
+    name = F.split("p_name", " ")[0].alias("name")
+    candidates = t.part.select(F.col("p_partkey").alias("symbol_id"), name, F.array(pick(("uint8", "uint256", "bytes"), "p_partkey"), pick(("uint8", "uint256"), "p_size")).alias("parameters"))
+    calls = t.supplier.join(t.part.select(F.col("p_partkey").alias("s_suppkey"), name), "s_suppkey")
+    calls = calls.select(F.col("s_suppkey").alias("call_id"), "name", F.array(pick(("uint8", "bytes"), "s_suppkey"), pick(("uint8", "uint256"), "s_nationkey")).alias("arguments"))
+    return dataflow.resolved_overloads(calls, candidates, t.spark.createDataFrame([("uint8", "uint256")], "source string, target string"))
+
+
 @query("SELECT child, array_to_string(list_concat([child], list_sort(list(DISTINCT ancestor))), ' ') AS chain FROM up GROUP BY child", INHERITS)
 def linearized_inheritance(t):
     return graph.linearized(graph.ancestors(t.inherits())).select("child", F.array_join("chain", " ").alias("chain"))
@@ -585,9 +704,22 @@ def topo_levels(t):
     return graph.topological_levels(t.documents.select(F.col("doc_id").alias("node")), t.imports()).select("node", F.col("level").cast("int").alias("level"))
 
 
+_FILE_REACH = "reach AS (SELECT src, dst FROM imports UNION SELECT r.src, i.dst FROM reach r JOIN imports i ON i.src = r.dst)"
+
+
+@query("SELECT r.src AS node, min(r.dst) AS scc FROM reach r JOIN reach b ON b.src = r.dst AND b.dst = r.src GROUP BY r.src", IMPORTS, _FILE_REACH)
+def file_components(t):
+    return graph.strongly_connected(t.imports(), [])
+
+
+@query("SELECT node, hops, row_number() OVER (ORDER BY hops, node) AS place FROM (SELECT node, min(hops) AS hops FROM inv GROUP BY node)", IMPORTS, "inv AS (SELECT doc_id AS node, 0 AS hops FROM documents WHERE doc_id % 50 = 7 UNION SELECT i.src, v.hops + 1 FROM inv v JOIN imports i ON i.dst = v.node WHERE v.hops < 40)")
+def reanalysis_queue(t):
+    return graph.reanalysis_queue(t.imports(), t.documents.where("doc_id % 50 = 7").select(F.col("doc_id").alias("node")))
+
+
 @query("SELECT DISTINCT src AS node FROM reach WHERE src = dst", IMPORTS, "reach AS (SELECT src, dst FROM imports UNION SELECT r.src, i.dst FROM reach r JOIN imports i ON i.src = r.dst)")
 def file_cycles(t):
-    return graph.reach_pairs(t.imports(), []).where("src = dst").select(F.col("src").alias("node"))
+    return graph.strongly_connected(t.imports(), []).select("node")
 
 
 @query("SELECT node FROM (SELECT doc_id AS node FROM documents WHERE doc_id % 50 = 7) UNION SELECT node FROM inv", IMPORTS, "inv AS (SELECT doc_id AS node FROM documents WHERE doc_id % 50 = 7 UNION SELECT i.src FROM inv v JOIN imports i ON i.dst = v.node)")
@@ -601,12 +733,20 @@ def shortest_path(t):
 
 
 @query(
-    "SELECT a.src || ' ' || a.dst AS path, 2 AS length FROM few a JOIN few b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT a.src || ' ' || a.dst || ' ' || b.dst, 3 FROM few a JOIN few b ON b.src = a.dst JOIN few c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst",
+    "SELECT a.src || ' ' || a.dst AS path, 2 AS length FROM pairs a JOIN pairs b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT a.src || ' ' || a.dst || ' ' || b.dst, 3 FROM pairs a JOIN pairs b ON b.src = a.dst JOIN pairs c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst",
     CONTRACTS,
-    "few AS (SELECT * FROM pairs WHERE src < 25 AND dst < 25)",
 )
 def cycle_enum(t):
-    return graph.simple_cycles(t.contract_edges().where("src < 25 and dst < 25"), 3).select(F.array_join(F.col("path").cast("array<string>"), " ").alias("path"), "length")
+    return graph.simple_cycles(t.contract_edges(), 3).select(F.array_join(F.col("path").cast("array<string>"), " ").alias("path"), "length")
+
+
+@query(
+    """SELECT CAST(max(hops) AS INT) AS diameter FROM (SELECT origin, node, min(hops) AS hops FROM walk GROUP BY origin, node) WHERE origin <> node""",
+    CONTRACTS,
+    "walk AS (SELECT src AS origin, dst AS node, 1 AS hops FROM pairs UNION SELECT w.origin, p.dst, w.hops + 1 FROM walk w JOIN pairs p ON p.src = w.node WHERE w.hops < 12)",
+)
+def graph_diameter(t):
+    return graph.diameter(t.contract_edges())
 
 
 @query("SELECT p_partkey, round(greatest(0.0, least(1.0, 0.5 + CASE WHEN p_type = 'STANDARD' THEN 0.2 ELSE 0 END - CASE WHEN p_size > 30 THEN 0.3 ELSE 0 END - CASE WHEN contains(p_name, 'ring') THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS trust FROM part")
@@ -614,9 +754,9 @@ def trust_score(t):
     return t.part.select("p_partkey", graph.trust_score(F.col("p_type") == "STANDARD", F.col("p_size") > 30, F.col("p_name").contains("ring")).alias("trust"))
 
 
-@query("SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b, a.l_partkey AS name FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey WHERE a.l_partkey < 60 AND NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = a.l_partkey AND p.p_type = 'PROMO')")
+@query("SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b, a.l_partkey AS name FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = a.l_partkey AND p.p_type = 'PROMO')")
 def shared_state(t):
-    held = t.lineitem.where("l_partkey < 60").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("name")).distinct()
+    held = t.lineitem.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("name")).distinct()
     quiet = held.join(t.part.where("p_type = 'PROMO'").select(F.col("p_partkey").alias("name")), "name", "left_anti")
     return quiet.join(held.withColumnRenamed("a", "b"), "name").where("a < b").select("a", "b", "name")
 
@@ -628,12 +768,12 @@ def graph_metrics(t):
 
 
 @query(
-    """SELECT scope_id, name, symbol_id FROM (SELECT u.own AS scope_id, s.p_type AS name, s.p_partkey AS symbol_id, row_number() OVER (PARTITION BY u.own, s.p_type ORDER BY u.depth, s.p_partkey) AS k FROM chain u JOIN (SELECT p_partkey % 40 AS scope_id, p_type, p_partkey FROM part WHERE p_partkey % 40 < 12) s ON s.scope_id = u.here) WHERE k = 1""",
+    """SELECT scope_id, name, symbol_id FROM (SELECT u.own AS scope_id, s.p_name AS name, s.p_partkey AS symbol_id, row_number() OVER (PARTITION BY u.own, s.p_name ORDER BY u.depth, s.p_partkey) AS k FROM chain u JOIN (SELECT p_partkey % 40 AS scope_id, p_name, p_partkey FROM part) s ON s.scope_id = u.here) WHERE k = 1""",
     "chain AS (SELECT v AS own, v AS here, 0 AS depth FROM (SELECT unnest(range(40)) AS v) UNION ALL SELECT own, here // 2, depth + 1 FROM chain WHERE here > 0)",
 )
 def symbol_resolution(t):
     scopes = t.spark.range(40).select(F.col("id").alias("scope_id"), F.when(F.col("id") > 0, F.floor(F.col("id") / 2)).alias("parent_id"))
-    symbols = t.part.where("p_partkey % 40 < 12").select((F.col("p_partkey") % 40).alias("scope_id"), F.col("p_type").alias("name"), F.col("p_partkey").alias("symbol_id"))
+    symbols = t.part.select((F.col("p_partkey") % 40).alias("scope_id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("symbol_id"))
     return dataflow.visible_symbols(scopes, symbols)
 
 
@@ -649,9 +789,9 @@ _BODIES = (
 
 
 def contract_sources(t: Tables) -> DataFrame:
-    """A contract for each of some orders, with a function for each line item."""
+    """A contract for each order, with a function for each line item."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    items = t.lineitem.where("l_orderkey % 25 = 0").select("l_orderkey", F.row_number().over(order).alias("n"), (F.col("l_partkey") % 4).alias("kind"))
+    items = t.lineitem.select("l_orderkey", F.row_number().over(order).alias("n"), (F.col("l_partkey") % 4).alias("kind"))
     body = F.lit("")
     for kind, text in enumerate(_BODIES):
         first, *rest = text.replace("{{", "{").replace("}}", "}").split("{n}")
@@ -665,7 +805,7 @@ def contract_sources(t: Tables) -> DataFrame:
 @query(
     """SELECT 'c/' || l_orderkey || '.sol' AS path, CAST(5 + 5 * (n - 1) + shift AS INT) AS line, detector_id, severity FROM (
   SELECT i.*, r.*, row_number() OVER (PARTITION BY i.l_orderkey, r.detector_id ORDER BY i.n) AS k
-  FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS n, l_partkey % 4 AS kind FROM lineitem WHERE l_orderkey % 25 = 0) i
+  FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS n, l_partkey % 4 AS kind FROM lineitem) i
   JOIN (VALUES (0, 'tx-origin-authentication', 'Critical', 0), (1, 'classic-reentrancy', 'High', 0), (1, 'unchecked-external-call', 'Medium', 1), (3, 'missing-access-modifiers', 'Critical', 0)) r(kind, detector_id, severity, shift) ON r.kind = i.kind) WHERE k <= 3"""
 )
 def rule_findings(t):
@@ -683,7 +823,7 @@ def all_rules(t):
 
 
 @query(
-    """SELECT 'c/' || l_orderkey || '.sol' AS path, count(*) AS n_functions, count(*) FILTER (l_partkey % 4 = 2) AS n_view, CAST(count(*) * 2 AS BIGINT) - count(*) FILTER (l_partkey % 4 = 3) AS n_statements FROM lineitem WHERE l_orderkey % 25 = 0 GROUP BY l_orderkey"""
+    """SELECT 'c/' || l_orderkey || '.sol' AS path, count(*) AS n_functions, count(*) FILTER (l_partkey % 4 = 2) AS n_view, CAST(count(*) * 2 AS BIGINT) - count(*) FILTER (l_partkey % 4 = 3) AS n_statements FROM lineitem GROUP BY l_orderkey"""
 )
 def parsed_contracts(t):
     from .plans.fixpoint import written
