@@ -157,6 +157,11 @@ def false_positive_likelihood(path_length, factors):
     return F.greatest(F.lit(0.01), F.least(F.lit(0.9), F.aggregate(factors, base, lambda acc, x: acc * x)))
 
 
+def instruction_mix(instructions: DataFrame, opcodes: list[str], keys: list[str], opcode: str = "opcode") -> DataFrame:
+    """How many of each opcode there are, a column each."""
+    return instructions.groupBy(*keys).agg(*(F.count_if(F.col(opcode) == o).alias(o) for o in opcodes))
+
+
 def call_graph(instructions: DataFrame, calls: list[str], keys: list[str]) -> DataFrame:
     """``(keys, callee, n)`` of the instructions whose opcode calls."""
     return instructions.where(F.col("opcode").isin(calls)).groupBy(*keys, "callee").agg(F.count("*").alias("n"))

@@ -67,6 +67,16 @@ def deduplicated_enhanced(findings: DataFrame, file: str, order: list, width: in
     return once.where("_class is null").unionByName(chosen).drop("_class")
 
 
+def distinct_rules(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, n_detectors, n)``."""
+    return findings.groupBy(*keys).agg(F.count_distinct("detector_id").alias("n_detectors"), F.count("*").alias("n"))
+
+
+def by_origin(findings: DataFrame, dependency: Column) -> DataFrame:
+    """``(origin, severity, n)``, findings in dependencies apart from those in the project's own files."""
+    return findings.groupBy(F.when(dependency, "dep").otherwise("src").alias("origin"), "severity").agg(F.count("*").alias("n"))
+
+
 def counts_with_zeros(findings: DataFrame, column: str, domain: DataFrame) -> DataFrame:
     """``domain(column, ...)`` with the number of findings, 0 where there are none."""
     return domain.join(findings.groupBy(column).agg(F.count("*").alias("_c")), column, "left").select(*domain.columns, F.coalesce("_c", F.lit(0)).alias("n"))

@@ -382,6 +382,12 @@ def interaction_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, F.lit(True)).select("n_nodes", "n_edges", F.round(density, 9).alias("density"), F.round(F.coalesce(F.try_divide(2 * F.col("n_edges"), F.col("n_nodes")), F.lit(0.0)), 9).alias("avg_degree"))
 
 
+def shared_names(held: DataFrame, quiet: DataFrame) -> DataFrame:
+    """``held(owner, name)`` -> ``(a, b, name)`` with a before b, both holding the name; only pairs whose a is in ``quiet(owner)``."""
+    first = held.join(quiet.select("owner").distinct(), "owner", "left_semi").select(F.col("owner").alias("a"), "name").distinct()
+    return first.join(held.select(F.col("owner").alias("b"), "name").distinct(), "name").where("a < b").select("a", "b", "name")
+
+
 def trust_score(standard, complex_, upgradeable):
     """0.5, with 0.2 more for a standard interface, 0.3 less for complex state and 0.1 less for an upgradeable contract, within 0 and 1."""
     score = F.lit(0.5) + F.when(standard, 0.2).otherwise(0.0) - F.when(complex_, 0.3).otherwise(0.0) - F.when(upgradeable, 0.1).otherwise(0.0)

@@ -30,6 +30,11 @@ def _first(text: Column, roles) -> Column:
     return F.coalesce(*(F.when(contains_any(text, list(literals)), F.lit(role)) for role, literals in roles))
 
 
+def roles(lines: DataFrame, table: tuple, text: str = "text") -> DataFrame:
+    """Lines that have a role, with ``role``: the first of ``table(role, literals)`` that fits."""
+    return lines.withColumn("role", _first(F.col(text), table)).where("role is not null")
+
+
 def classified(lines: DataFrame, text: str = "text", several: bool = False) -> DataFrame:
     """Lines with ``source``, ``sink`` and ``sanitizer``: the first role that fits or, with ``several``, arrays of all."""
     t = F.col(text)

@@ -47,14 +47,14 @@ def findings(facts: Facts, max_cycle: int = 6) -> DataFrame:
     wide = rings.join(rings.join(named, "node", "left_anti").select("scc").distinct(), "scc", "left_semi").groupBy("scc").agg(F.array_sort(F.collect_set("node")).alias("path"))
     t = trust(facts)
     weak = edges.join(t.where(F.col("trust") < LEAST_TRUST).select(F.col("contract").alias("dst")), "dst").join(t.where("privileged").select(F.col("contract").alias("src")), "src")
-    names = facts.state.select("contract", "name").distinct()
-    shared = names.join(names.withColumnRenamed("contract", "other"), "name").where("contract < other").join(t.where("not synchronised").select("contract").distinct(), "contract", "left_semi")
+    names = facts.state.select(F.col("contract").alias("owner"), "name")
+    shared = graph.shared_names(names, t.where("not synchronised").select(F.col("contract").alias("owner")))
     several = calls.groupBy("src", "function").agg(F.count_distinct("dst").alias("n"), F.array_join(F.array_sort(F.collect_set("dst")), ", ").alias("all")).where("n > 1")
     found = [
         row(cycles, "circular-dependency", "High", F.col("path")[0], path),
         row(wide, "circular-dependency", "High", F.col("path")[0], F.array_join("path", ", ")),
         row(weak, "trust-boundary-violation", "High", F.col("src"), F.col("dst")),
-        row(shared, "state-inconsistency", "Medium", F.col("contract"), F.concat_ws(": ", "other", "name")),
+        row(shared, "state-inconsistency", "Medium", F.col("a"), F.concat_ws(": ", "b", "name")),
         row(several, "atomicity-violation", "High", F.col("src"), F.concat_ws(": ", "function", "all")),
         row(cycles.where(F.col("length") <= MAX_HOPS), "cross-contract-reentrancy", "Critical", F.col("path")[0], path),
     ]

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .functions import traits
 from .functions.scales import severity_ord
 from .operators import dataflow, findings as fd, graph, line_taint, spans
+from .plans import report
 from .sources import project, scan
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,12 +268,12 @@ def risk_score(t):
 
 @query("SELECT file, count(DISTINCT detector_id) AS n_detectors, count(*) AS n FROM found GROUP BY file", FOUND)
 def distinct_detectors(t):
-    return t.found().groupBy("file").agg(F.count_distinct("detector_id").alias("n_detectors"), F.count("*").alias("n"))
+    return fd.distinct_rules(t.found(), ["file"])
 
 
 @query("SELECT CASE WHEN file % 7 = 0 THEN 'dep' ELSE 'src' END AS origin, severity, count(*) AS n FROM found GROUP BY ALL", FOUND)
 def source_dependency_split(t):
-    return t.found().withColumn("origin", F.when(F.col("file") % 7 == 0, "dep").otherwise("src")).groupBy("origin", "severity").agg(F.count("*").alias("n"))
+    return fd.by_origin(t.found(), F.col("file") % 7 == 0)
 
 
 @query(
@@ -314,7 +315,7 @@ def report_rollup(t):
 @query("""SELECT file, '{"file":' || file || ',"n":' || count(*) || ',"worst":' || max(sev) || '}' AS report FROM found GROUP BY file""", FOUND)
 def json_report(t):
     grouped = t.found().groupBy("file").agg(F.count("*").alias("n"), F.max(severity_ord(F.col("severity"))).alias("worst"))
-    return grouped.select("file", F.to_json(F.struct("file", "n", "worst")).alias("report"))
+    return report.as_json(grouped.select("file", "n", "worst")).select(F.get_json_object("value", "$.file").cast("long").alias("file"), F.col("value").alias("report"))
 
 
 # --- windows ------------------------------------------------------------------
@@ -357,7 +358,7 @@ def top_k_blocks(t):
 
 @query("SELECT func, count(*) FILTER (node = 'click') AS click, count(*) FILTER (node = 'error') AS error, count(*) FILTER (node = 'purchase') AS purchase FROM steps GROUP BY func", FLOW)
 def instruction_mix(t):
-    return t.steps().groupBy("func").agg(*(F.count_if(F.col("node") == n).alias(n) for n in ("click", "error", "purchase")))
+    return dataflow.instruction_mix(t.steps(), ["click", "error", "purchase"], ["func"], "node")
 
 
 # --- control flow -------------------------------------------------------------
@@ -558,9 +559,7 @@ def taint_severity(t):
 
 @query("SELECT doc_id, line_no, CASE WHEN contains(text, '@') THEN 'source' WHEN contains(text, 'icense') THEN 'sink' WHEN contains(text, '%%%') THEN 'sanitizer' END AS role FROM lines WHERE contains(text, '@') OR contains(text, 'icense') OR contains(text, '%%%')", LINES)
 def line_taint_classify(t):
-    text = F.col("text")
-    role = F.when(text.contains("@"), "source").when(text.contains("icense"), "sink").when(text.contains("%%%"), "sanitizer")
-    return t.lines().select("doc_id", "line_no", role.alias("role")).where("role is not null")
+    return line_taint.roles(t.lines(), (("source", ("@",)), ("sink", ("icense",)), ("sanitizer", ("%%%",)))).select("doc_id", "line_no", "role")
 
 
 @query("SELECT func, round(greatest(0.01, least(0.9, (0.1 + CASE WHEN count(*) > 60 THEN 0.2 ELSE 0 END) * pow(0.5, count(*) FILTER (node = 'view' AND idx < 4)))), 9)::DOUBLE AS likelihood FROM steps GROUP BY func", FLOW)
@@ -756,9 +755,9 @@ def trust_score(t):
 
 @query("SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b, a.l_partkey AS name FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = a.l_partkey AND p.p_type = 'PROMO')")
 def shared_state(t):
-    held = t.lineitem.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("name")).distinct()
-    quiet = held.join(t.part.where("p_type = 'PROMO'").select(F.col("p_partkey").alias("name")), "name", "left_anti")
-    return quiet.join(held.withColumnRenamed("a", "b"), "name").where("a < b").select("a", "b", "name")
+    loud = t.part.where("p_type = 'PROMO'").select(F.col("p_partkey").alias("name"))
+    held = t.lineitem.select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("name")).join(loud, "name", "left_anti")
+    return graph.shared_names(held, held)
 
 
 @query("SELECT n AS n_nodes, e AS n_edges, round(e::DOUBLE / (n * (n - 1)), 9) AS density, round(2.0::DOUBLE * e / n, 9) AS avg_degree FROM (SELECT (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM pairs UNION ALL SELECT dst FROM pairs)) AS n, (SELECT count(*) FROM pairs) AS e)", CONTRACTS)
@@ -822,6 +821,23 @@ def all_rules(t):
     return analyze(contract_sources(t), Options(lint=True))
 
 
+@query(
+    """SELECT 'circular-dependency' AS detector_id, 'High' AS severity, a AS contract, a || ' > ' || b || ' > ' || c || ' > ' || d AS message FROM rings WHERE a < b AND a < c AND a < d
+UNION ALL SELECT 'state-inconsistency', 'Medium', x.contract, y.contract || ': ' || x.name FROM names x JOIN names y ON x.name = y.name AND x.contract < y.contract""",
+    "contracts AS (SELECT 'N' || n_nationkey AS contract, 'N' || ((7 * n_nationkey + 3) % 25) AS callee, n_regionkey FROM nation)",
+    "names AS (SELECT contract, 'next' AS name FROM contracts UNION ALL SELECT contract, 'total' || n_regionkey FROM contracts)",
+    "rings AS (SELECT w.contract AS a, x.contract AS b, y.contract AS c, z.contract AS d FROM contracts w JOIN contracts x ON x.contract = w.callee JOIN contracts y ON y.contract = x.callee JOIN contracts z ON z.contract = y.callee AND z.callee = w.contract WHERE w.contract <> x.contract)",
+)
+def cross_contract_rules(t):
+    from .plans import cross_contract
+    from .plans.planner import Facts
+
+    number = lambda c: c.cast("string")
+    text = F.concat(F.lit("contract N"), number(F.col("n_nationkey")), F.lit(" {\n    N"), number((7 * F.col("n_nationkey") + 3) % 25), F.lit(" next;\n    uint total"), number(F.col("n_regionkey")), F.lit(";\n    function go() external { next.go(); }\n}\n"))
+    files = t.nation.select(F.concat(F.lit("n/"), number(F.col("n_nationkey")), F.lit(".sol")).alias("path"), text.alias("content"))
+    return cross_contract.findings(Facts(scan.as_sources(files)))
+
+
 @query(
     """SELECT 'c/' || l_orderkey || '.sol' AS path, count(*) AS n_functions, count(*) FILTER (l_partkey % 4 = 2) AS n_view, CAST(count(*) * 2 AS BIGINT) - count(*) FILTER (l_partkey % 4 = 3) AS n_statements FROM lineitem GROUP BY l_orderkey"""
 )
