@@ -182,11 +182,6 @@ def all_of_any_of_none_of(t):
     return spans.matching(t.sources(), "text", [" der ", " la "], ["en ", "."], ["%%%", "!!"]).select("doc_id")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_discount > 0.05 AND l_linenumber <= 3")
-def function_predicate(t):
-    return t.lineitem.where("l_returnflag = 'R' and l_linestatus = 'F' and l_discount > 0.05 and l_linenumber <= 3").select("l_orderkey", "l_linenumber")
-
-
 @query(
     """SELECT doc_id, line_no AS line, CAST(sum(length(p) + 6) OVER (PARTITION BY doc_id, line_no ORDER BY i) - 6 + 1 AS INT) AS "column", 6 AS length
   FROM (SELECT doc_id, line_no, unnest(ps[:-2]) AS p, generate_subscripts(ps[:-2], 1) AS i FROM (SELECT doc_id, line_no, string_split(text, 'icense') AS ps FROM lines WHERE contains(text, 'icense')))""",
@@ -814,6 +809,17 @@ def rule_findings(t):
     return analyze(contract_sources(t), Options(enable=ids)).select("path", "line", "detector_id", "severity")
 
 
+@query(
+    """SELECT 'c/' || l_orderkey || '.sol' AS path, CASE kind WHEN 3 THEN 'setValue' ELSE 'f' END || n AS name
+  FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS n, l_partkey % 4 AS kind FROM lineitem) WHERE kind <> 2"""
+)
+def function_predicate(t):
+    from .plans.planner import Facts, open_functions
+
+    sources = contract_sources(t)
+    return open_functions(Facts(sources).functions).join(sources.select("file_id", "path"), "file_id").select("path", "name")
+
+
 @query()
 def all_rules(t):
     from .plans.planner import Options, analyze
