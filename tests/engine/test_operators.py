@@ -141,3 +141,11 @@ def test_edits_of_files_without_text(spark):
     sources = spark.createDataFrame([(1, None), (2, "a\nb")], "file_id long, content string")
     edits = spark.createDataFrame([(1, 1, 1, 1, "x", 0.5), (2, 2, 2, 2, "x", 0.5)], fixes.EDITS)
     assert {tuple(r) for r in fixes.applied(sources, edits).collect()} == {(2, "a\nx")}
+
+
+def test_unchecked_calls(spark):
+    bad = "function a(address t) external { t.call(''); }\n function b(address t) external { verifier.staticcall(''); total = 1; }\n"
+    good = "function c(address t) external { (bool success, ) = t.call(''); require(success); t.send(1); }\n function d(address t) external returns (bool) { return t.send(1); }\n function e() external { members.call(''); }\n function g(address t) external { t.call(''); emit Sent(t); }\n"
+    files = ("a", f"contract A {{ uint total; {bad}{good} }}"), ("b", f"contract B {{ using SafeERC20 for IERC20; {bad} }}"), ("c", f"library C {{ {bad} }}"), ("d", f"contract MockD {{ {bad} }}")
+    found = analyze(as_sources(spark, *files), Options(enable=("unchecked-external-call",), cap=None)).collect()
+    assert {(r.path, r.message.split(".")[0]) for r in found} == {("a.sol", "t"), ("a.sol", "verifier")}
