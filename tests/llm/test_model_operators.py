@@ -335,11 +335,12 @@ def test_pipeline_stages(spark, tables):
         out = stage(spark, docs, tables)
         if name != "mix":
             assert out.columns == docs.columns
-            before = {r.doc_id: r.text for r in docs.collect()}
-            after = {r.doc_id: r.text for r in out.collect()}
-            assert set(after) <= set(before)
-            if name != "lines":
-                assert all(before[d] == t for d, t in after.items() if d is not None and list(before).count(d) == 1) or True
+            before, after = ({tuple(r) for r in df.collect()} for df in (docs, out))
+            if name == "lines":  # texts lose lines, nothing else changes but their number of characters
+                rest = lambda rows: {(r[0], *r[2:4], *r[5:]) for r in rows}
+                assert rest(after) <= rest(before)
+            else:
+                assert after <= before
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert [c in docs.columns for c in ("doc_id", "size", "source_size", "target", "taken")] == [True] * 5
     assert sorted(map(tuple, corpus_pipeline.run(spark, tables).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
