@@ -30,8 +30,8 @@ Bounds: the models are fitted and calibrated on at most ``max_target`` labelled
 rows (the first by a hash of the id); the raw model counts every document.  A
 task sends its counts by bucket for either model; no document moves.
 
-Edge cases: null and empty texts have no n-grams, weight 0, and are accepted
-where 0 is not below the floor; very long ones are counted whole; without
+Edge cases: null and empty texts have no n-grams, weight 0, and are accepted,
+as the floor is never above 0; very long ones are counted whole; without
 labels every weight is 0 and nothing is rejected; repeated rows get equal
 weights and keys, and rows that tie with the k-th are selected with it; null
 ids are weighted like others; an empty table gives an empty result; labels
@@ -156,8 +156,8 @@ def floor_of(weights: list[float], rejected: float = REJECTED_GOOD) -> tuple[flo
         return float("-inf"), 0.0
     ordered = sorted(weights)
     k, median = int(rejected * (len(ordered) + 1)), ordered[len(ordered) // 2]
-    # Rounded away from what a document may weigh.
-    return (ordered[k - 1] if k else 2 * ordered[0] - median) - 1e-6, median
+    # Rounded away from what a document may weigh; never above 0, where nothing speaks for or against a document.
+    return min(ordered[k - 1] if k else 2 * ordered[0] - median, 0.0) - 1e-6, median
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> Model:

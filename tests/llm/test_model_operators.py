@@ -126,9 +126,10 @@ def test_importance_weights_equal_brute_force(docs):
 
 def test_floor_of_good_weights():
     assert resampling.floor_of([]) == (float("-inf"), 0.0)
-    assert resampling.floor_of([1.0, 2.0, 4.0])[0] == pytest.approx(0.0, abs=1e-5)
-    many = [float(i) for i in range(1000)]
-    assert resampling.floor_of(many)[0] == pytest.approx(4.0, abs=1e-5) and resampling.floor_of(many[::-1])[1] == 500.0
+    assert resampling.floor_of([-4.0, -2.0, 0.0])[0] == pytest.approx(-6.0, abs=1e-5)
+    many = [float(i) for i in range(-1000, 0)]
+    assert resampling.floor_of(many)[0] == pytest.approx(-996.0, abs=1e-5) and resampling.floor_of(many[::-1])[1] == -500.0
+    assert resampling.floor_of([1.0, 1.5, 2.0])[0] == pytest.approx(0.0, abs=1e-5)
 
 
 def test_classifier_weighs_small_tables(spark, empty):
