@@ -308,3 +308,25 @@ def _prefix_pairs(tokens: DataFrame, num: int, den: int) -> DataFrame:
     x, y = rows.alias("x"), rows.alias("y")
     fits = F.expr(f"x.token = y.token and x.id < y.id and x.component <> y.component and least(x.n - x.place, y.n - y.place) + 1 >= {need('x.n', 'y.n')}")
     return x.join(y, fits).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
+
+
+#: The same rows by brute force in DuckDB's SQL: all pairs that share a shingle.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {documents}
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS s FROM words)
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS MATERIALIZED (
+  SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id) p
+  JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)
+), reach AS (
+  SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v
+), least AS (
+  SELECT u, min(v) AS v FROM reach GROUP BY u
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.v, d.doc_id)) AS component_id, least(d.doc_id, coalesce(l.v, d.doc_id)) = d.doc_id AS kept
+FROM {documents} d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.u = d.doc_id
+"""

@@ -63,6 +63,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_array": suffix_dedup.ORACLE_SQL.format(documents="documents"),
+        "op2_hyperminhash": hyperminhash.ORACLE_SQL.format(documents="documents"),
         "op3_entropy_mixing": mixing.ORACLE_SQL.format(documents="documents"),
         "op7_multi_index": multi_index.ORACLE_SQL.format(embeddings="embeddings"),
     }

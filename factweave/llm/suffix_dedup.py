@@ -544,3 +544,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bucket = F.when(F.col("kind") != RANGES, F.col("key")).otherwise(F.pmod(F.xxhash64("payload"), F.lit(buckets)))
     ranges = parted.cogroup(met.groupBy(bucket.alias("part"))).applyInArrow(_settler(buckets, length), "part long, payload binary")
     return parted.cogroup(ranges.groupBy("part")).applyInArrow(_finish, OUT)
+
+
+#: The same rows by brute force in DuckDB's SQL: every string of 50 bytes, in hexadecimal.
+ORACLE_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM {documents}
+), strings AS MATERIALIZED (
+  SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM texts, LATERAL (SELECT unnest(range(0, n - 49)) AS i) WHERE n >= 50
+), late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM strings) WHERE first < doc_id
+), runs AS (
+  SELECT doc_id, min(i) AS low, max(i) + 50 AS high FROM (
+    SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+      SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM late))
+  GROUP BY doc_id, run
+), pieces AS (
+  SELECT r.doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY r.doc_id ORDER BY low), 0) AS since FROM runs r
+), cut AS (
+  SELECT p.doc_id, sum(high - low) AS n_removed, count(*) AS n_spans, max(high) AS last, string_agg(substr(t.h, CAST(2 * since + 1 AS BIGINT), CAST(2 * (low - since) AS BIGINT)), '' ORDER BY low) AS head
+  FROM pieces p JOIN texts t ON t.doc_id = p.doc_id GROUP BY p.doc_id
+)
+SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, coalesce(c.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(c.head, '') || substr(t.h, CAST(2 * coalesce(c.last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM texts t LEFT JOIN cut c ON c.doc_id = t.doc_id
+"""
