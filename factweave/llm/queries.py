@@ -67,4 +67,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_hyperminhash": hyperminhash.ORACLE_SQL.format(documents="documents"),
         "op3_entropy_mixing": mixing.ORACLE_SQL.format(documents="documents"),
         "op7_multi_index": multi_index.ORACLE_SQL.format(embeddings="embeddings"),
+        "op10_spaced_seeds": spaced_seeds.ORACLE_SQL.format(documents="documents", benchmark="benchmark"),
     }

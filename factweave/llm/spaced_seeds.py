@@ -221,3 +221,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = overlaps(source.select("uid", "text"), classes, scratch, min_overlap, min_equal).select(F.col("uid").alias("__hit")).distinct()
     scratch.keep("overlaps")
     return docs.join(hits, F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string")) == hits["__hit"], "left_anti")
+
+
+#: The same rows by brute force in DuckDB's SQL: every stretch of every diagonal with enough equal tokens.
+ORACLE_SQL = r"""
+WITH doc_tokens AS MATERIALIZED (
+  SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS p, len(t) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM {documents})
+), item_tokens AS MATERIALIZED (
+  SELECT item_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS p, len(t) AS n
+  FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM {benchmark})
+), diagonals AS MATERIALIZED (
+  SELECT d.doc_id, i.item_id, d.p - i.p AS shift, any_value(i.n) AS n FROM doc_tokens d JOIN item_tokens i ON i.token = d.token
+  GROUP BY d.doc_id, i.item_id, d.p - i.p HAVING 5 * count(*) >= 4 * least(12, any_value(i.n))
+), cells AS (
+  SELECT g.doc_id, g.item_id, g.shift, g.n, i.p, CASE WHEN d.token = i.token THEN 1 ELSE 0 END AS same
+  FROM diagonals g JOIN item_tokens i ON i.item_id = g.item_id JOIN doc_tokens d ON d.doc_id = g.doc_id AND d.p = i.p + g.shift
+), summed AS MATERIALIZED (
+  SELECT *, sum(same) OVER w AS equal, sum(5 * same - 4) OVER w AS score FROM cells WINDOW w AS (PARTITION BY doc_id, item_id, shift ORDER BY p)
+), stretches AS (
+  SELECT b.doc_id, b.item_id, b.n, b.p - a.p + 1 AS overlap, CAST(b.equal - a.equal + a.same AS BIGINT) AS equal, a.p + a.shift AS doc_token, a.p AS item_token
+  FROM summed a JOIN summed b ON b.doc_id = a.doc_id AND b.item_id = a.item_id AND b.shift = a.shift AND b.p >= a.p
+  WHERE b.score >= a.score - 5 * a.same + 4 AND b.p - a.p + 1 >= least(12, b.n)
+)
+SELECT doc_id, item_id, overlap, equal, doc_token, item_token, item_tokens FROM (
+  SELECT doc_id, item_id, overlap, equal, doc_token, item_token, n AS item_tokens, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, equal DESC, doc_token DESC, item_token DESC) AS k FROM stretches) WHERE k = 1
+"""
