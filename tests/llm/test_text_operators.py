@@ -181,6 +181,21 @@ def test_common_runs_are_given_up_for_the_next(spark, monkeypatch):
         assert kept >= set(label.values()) and len(kept) <= len(set(label.values())) + 0.1 * 30
 
 
+def test_no_pair_is_lost_by_common_runs(spark, monkeypatch):
+    """Pairs all of whose own runs are touched share runs of a common passage only."""
+    lines = []
+    for i in range(40):
+        own = [f"w{i}x{j}" for j in range(6)]
+        # Two of ten words are changed, and no run of three that holds one of the own words stays.
+        lines += [["p0", "p1", "p2", "p3", *own], ["p0", "p1", "p2", "p3", *(w if j % 3 else f"n{i}x{j}" for j, w in enumerate(own))]]
+    label = components(dict(enumerate(lines)), lambda a, b: word_edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
+    assert len(set(label.values())) == 40
+    docs = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id long, text string")
+    for small in (64, 8, 2):
+        monkeypatch.setattr(fuzzy_lines, "SMALL_BUCKET", small)
+        assert {r.doc_id for r in fuzzy_lines.dedup_lines(docs).collect() if r._n_removed == 0} == set(label.values())
+
+
 def test_line_pairs_at_the_similarity_are_recalled(spark):
     """Changed, added and missing words at random places, of lines of every length: nine pairs in ten at least."""
     rng = np.random.default_rng(23)
