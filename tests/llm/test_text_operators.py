@@ -196,6 +196,24 @@ def test_no_pair_is_lost_by_common_runs(spark, monkeypatch):
         assert {r.doc_id for r in fuzzy_lines.dedup_lines(docs).collect() if r._n_removed == 0} == set(label.values())
 
 
+def test_long_lines_are_linked_whatever_the_edits_touch(spark):
+    """One word in five is changed; where it is the long one, the runs that stay are those of few letters."""
+    rng = np.random.default_rng(29)
+    lines, pairs = [], []
+    for i in range(100):
+        short = [[f"{'abcdefghijklm'[j]}{k}{i}" for k in range(4)] for j in range(13)]
+        base = [w for j in range(13) for w in [*short[j], f"longword{i}x{j}"]][: 60 + i % 6]
+        longer = [w if not w.startswith("longword") else f"otherlong{i}x{j}" for j, w in enumerate(base)]
+        plain = [f"w{rng.integers(10**9)}" for _ in range(60 + i % 6)]
+        other = [f"n{rng.integers(10**9)}" if j % 5 == 4 else w for j, w in enumerate(plain)]
+        for a, b in ((base, longer), (plain, other)):
+            assert word_edits(a, b) == len(a) // 5
+            pairs.append((len(lines), len(lines) + 1))
+            lines += [a, b]
+    docs = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id long, text string")
+    assert {r.doc_id for r in fuzzy_lines.dedup_lines(docs).collect() if r._n_removed} == {b for _, b in pairs}
+
+
 def test_line_pairs_at_the_similarity_are_recalled(spark):
     """Changed, added and missing words at random places, of lines of every length: nine pairs in ten at least."""
     rng = np.random.default_rng(23)
