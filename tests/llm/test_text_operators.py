@@ -8,6 +8,7 @@ import re
 import numpy as np
 
 from factweave.llm import fuzzy_lines, hyperminhash, sentence_spans, spaced_seeds, suffix_dedup
+from factweave.llm.scratch import Scratch
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
@@ -196,6 +197,20 @@ def test_no_pair_is_lost_by_common_runs(spark, monkeypatch):
         assert {r.doc_id for r in fuzzy_lines.dedup_lines(docs).collect() if r._n_removed == 0} == set(label.values())
 
 
+def test_lines_that_share_a_run_by_chance_make_no_buckets(spark):
+    """Each line shares three words with the next; only the last is similar to another, by one word in five changed."""
+    lines = [[*(f"long{i}word{j}" for j in range(37)), *(f"shared{i + 1}word{j}" for j in range(3))] for i in range(30)]
+    lines = [[*(f"shared{i}word{j}" for j in range(3)), *line[3:]] for i, line in enumerate(lines)]
+    lines.append([w if j % 5 else f"changed{j}" for j, w in enumerate(lines[-1])])
+    docs = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id long, text string")
+    scratch = Scratch(spark, "lines")
+    hashed = scratch.save(fuzzy_lines.hashed_lines(docs), "hashed")
+    assert {len(r["keys"]) for r in hashed.collect()} == {3 * 8 + 1 + fuzzy_lines.MORE}
+    names = {r.h: r.doc_id for r in hashed.collect()}
+    # One run on either side is shared, and is no sign of a similar line.
+    assert {names[r.id] for r in fuzzy_lines.buckets(hashed, scratch).collect()} == {29, 30}
+
+
 def test_long_lines_are_linked_whatever_the_edits_touch(spark):
     """One word in five is changed; where it is the long one, the runs that stay are those of few letters."""
     rng = np.random.default_rng(29)
