@@ -211,6 +211,15 @@ def test_lines_that_share_a_run_by_chance_make_no_buckets(spark):
     assert {names[r.id] for r in fuzzy_lines.buckets(hashed, scratch).collect()} == {29, 30}
 
 
+def test_lines_that_share_common_words_make_no_buckets(spark):
+    """Eight words in a row are in every line; their runs come last, and no line has need of them for its blocks."""
+    passage = [f"passage{j}" for j in range(8)]
+    lines = [" ".join([*(f"own{i}word{j}" for j in range(16)), *passage, *(f"own{i}word{j}" for j in range(16, 32))]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    scratch = Scratch(spark, "lines")
+    assert fuzzy_lines.buckets(scratch.save(fuzzy_lines.hashed_lines(docs), "hashed"), scratch).count() == 0
+
+
 def test_long_lines_are_linked_whatever_the_edits_touch(spark):
     """One word in five is changed; where it is the long one, the runs that stay are those of few letters."""
     rng = np.random.default_rng(29)
