@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from factweave.llm import fuzzy_lines, hyperminhash, sentence_spans, spaced_seeds, suffix_dedup
 from factweave.llm.scratch import Scratch
@@ -425,3 +427,33 @@ def test_parts_follow_bytes_not_partitions(spark, docs):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held)
     assert counts == {11}
+
+
+def test_lines_of_repeated_words_have_unlike_sketches(spark):
+    """Every word comes an even number of times, so that by parity alone all such lines look alike."""
+    lines = [["a", "b", "c", "d"] * 10, ["e", "f", "g", "h"] * 10, ["e", "f", "g", "h"] * 10 + ["e"]]
+    words = spark.createDataFrame(list(enumerate(lines)), "h int, w array<string>").select("h", fuzzy_lines._word_hashes([0] * fuzzy_lines.SLOTS).alias("wh"))
+    sketched = words.select("h", F.expr(fuzzy_lines._SKETCH).alias("sim"))
+    x, y = sketched.alias("x"), sketched.alias("y")
+    near = x.join(y, F.expr("x.h < y.h") & fuzzy_lines._near("x.sim", "y.sim", 0.8)).select("x.h", F.col("y.h").alias("o"))
+    assert [tuple(r) for r in near.collect()] == [(1, 2)]
+
+
+def test_similar_lines_share_as_many_blocks_as_both_need(spark):
+    rng = random.Random(5)
+    texts = []
+    for n in range(6, 160, 3):
+        line = [f"w{rng.randrange(60)}" for _ in range(n)]
+        other, shorter = list(line), list(line)
+        for i in rng.sample(range(n), n // 5):
+            other[i] = f"x{rng.randrange(60)}"
+        for i in sorted(rng.sample(range(n), n // 5), reverse=True):
+            del shorter[i]
+        texts += [" ".join(x) for x in (line, other, shorter)]
+    hashed = fuzzy_lines.hashed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = {r.doc_id: (set(r["keys"] or ()), r.need) for r in hashed.collect()}
+    for i in range(0, len(texts), 3):
+        for j in (i + 1, i + 2):
+            (a, m), (b, n) = found[i], found[j]
+            if len(texts[j].split()) > 5:
+                assert len(a & b) >= max(m, n), (texts[i], texts[j])
