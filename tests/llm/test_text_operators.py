@@ -222,6 +222,23 @@ def test_lines_that_share_common_words_make_no_buckets(spark):
     assert fuzzy_lines.buckets(scratch.save(fuzzy_lines.hashed_lines(docs), "hashed"), scratch).count() == 0
 
 
+def test_lines_that_share_a_passage_leave_the_crowd(spark):
+    """Thirty lines of sixty words have a passage of twelve words in common; ten more are like the first by one word in six changed."""
+    passage = [f"passage{j}" for j in range(12)]
+    lines = [[*(f"own{i}word{j}" for j in range(24)), *passage, *(f"own{i}word{j}" for j in range(24, 48))] for i in range(30)]
+    lines += [[w if j % 6 != 5 or w in passage else f"changed{i}x{j}" for j, w in enumerate(lines[0])] for i in range(10)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    scratch, classes = Scratch(spark, "lines"), [0] * fuzzy_lines.SLOTS
+    hashed = scratch.save(fuzzy_lines.hashed_lines(docs, classes=classes), "hashed")
+    names = {r.h: r.doc_id for r in hashed.collect()}
+    links = fuzzy_lines.Links(docs, hashed, scratch, 0.8)
+    held = scratch.save(fuzzy_lines.buckets(hashed, scratch), "held")
+    crowded = {names[r.id] for r in held.where(F.col("n") > fuzzy_lines.CROWD).collect()}
+    assert crowded > {0, *range(30, 40)}
+    assert {names[r.id] for r in links.known(held, classes).collect()} == {0, *range(30, 40)}
+    assert {r.doc_id for r in fuzzy_lines.dedup_lines(docs).collect() if r._n_removed} == set(range(30, 40))
+
+
 def test_long_lines_are_linked_whatever_the_edits_touch(spark):
     """One word in five is changed; where it is the long one, the runs that stay are those of few letters."""
     rng = np.random.default_rng(29)
